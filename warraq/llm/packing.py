@@ -26,7 +26,7 @@ WINDOW = 2048
 #: Fixed value: characters at which str.split() cuts but the tokenizer's white space does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Entries of the word cache of a worker before its older half is dropped.
-CACHE = 250_000
+CACHE = 700_000
 
 
 def default_tokenizer() -> str:
@@ -73,9 +73,7 @@ class WordIds:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         cores, rest, tails = set(), [], []
-        for w in words:
-            if w in young:
-                continue
+        for w in words - young.keys():
             if (b := old.get(w)) is not None:
                 young[w] = b
                 continue
