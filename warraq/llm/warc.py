@@ -96,16 +96,15 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(f) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file, read once from start to end; any number of members."""
+    """The inflated bytes of a gzip file, read once from start to end, at most CHUNK at a time; any number of members."""
     z = zlib.decompressobj(31)
-    while data := f.read(CHUNK):
+    while data := f.read(CHUNK >> 4):
         while data:
-            out = z.decompress(data)
-            if out:
-                yield out
-            data = z.unused_data
-            if z.eof and data:
+            if z.eof:
                 z = zlib.decompressobj(31)
+            if out := z.decompress(data, CHUNK):
+                yield out
+            data = z.unused_data if z.eof else z.unconsumed_tail
     if not z.eof:
         raise ValueError("archive ends inside a gzip member")
 
