@@ -73,7 +73,7 @@ class WordIds:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         cores, rest, tails = set(), [], []
-        for w in words - young.keys():
+        for w in words.difference(young):
             if (b := old.get(w)) is not None:
                 young[w] = b
                 continue

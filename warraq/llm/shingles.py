@@ -36,7 +36,7 @@ class WordHashes:
         if len(young) > CACHE:
             self.old, self.young = young, {}
             young = self.young
-        for w in set(words) - young.keys():
+        for w in set(words).difference(young):
             young[w] = self.old.get(w) or xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
 
