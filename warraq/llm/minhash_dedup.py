@@ -44,10 +44,17 @@ class Sampler:
         for lo in range(0, len(ids), 512):
             x = ids[lo : lo + 512, None] * self.odd + self.shift
             x ^= x >> np.uint64(31)
-            r = self.r[x & np.uint64(TABLE - 1)]
-            beta = self.beta[x >> np.uint64(16) & np.uint64(TABLE - 1)]
-            t = np.floor(log_w[lo : lo + 512] / r + beta)
-            log_a = self.log_c[x >> np.uint64(48)] - r * (t - beta) - r
+            # Three indices of 16 bits, as signed words, which take() reads without a copy.
+            r = self.r.take((x & np.uint64(TABLE - 1)).view(np.int64))
+            beta = self.beta.take((x >> np.uint64(16) & np.uint64(TABLE - 1)).view(np.int64))
+            t = log_w[lo : lo + 512] / r
+            t += beta
+            np.floor(t, out=t)
+            log_a = self.log_c.take((x >> np.uint64(48)).view(np.int64))
+            beta -= t
+            beta -= 1
+            beta *= r
+            log_a += beta
             i = log_a.argmin(axis=0)
             here = log_a[i, np.arange(log_a.shape[1])]
             found, t = ids[lo + i], t[i, np.arange(log_a.shape[1])].astype(np.int64)
@@ -186,7 +193,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keyed.join(groups, "key"), "members")
-    candidates = stored(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+    # Sort-merge at every size: the ids grow with the documents, and a plan that changes with them would hide it.
+    used = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    candidates = stored(texts.join(used, "doc_id", "left_semi"), "candidates")
     pairs = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     links = stored(_verified(pairs, candidates, idf, threshold), "near")
     links = links.union(stored(_rest(stored(_apart(members, links), "apart"), reps, candidates, idf, threshold), "near"))
