@@ -1,6 +1,309 @@
-"""The registered queries of the text engine and their DuckDB oracles."""
+"""The registered queries of the text engine and their DuckDB oracles.
+
+Queries on driver tables take whole tables; those that need Arabic build it from the sentences of
+``resources`` by arithmetic on doc_id, in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from warraq.functions import resources as R
+from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tokens
+from warraq.operators import analytics as A
+from warraq.operators import checks, records, rules, spans
+from warraq.plans import duck as D
+from warraq.sources.corpus import arabic, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+long = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
+SPAN = ("start", "stop")
+
+
+@query(D.sql(D.tokens(), "SELECT lang, kind, count(*)::BIGINT AS n FROM t GROUP BY ALL"))
+def token_kind_counts(spark, sf):
+    return tokens(docs(spark, sf), "lang").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(D.sql(D.tokens(), "SELECT doc_id, idx, start, stop, kind FROM t"))
+def token_offsets(spark, sf):
+    return tokens(docs(spark, sf)).select("doc_id", *long("idx", *SPAN), "kind")
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), "SELECT doc_id, idx, start, stop, kind, piece FROM t"))
+def token_offsets_arabic(spark, sf):
+    return tokens(arabic(spark, sf)).select("doc_id", *long("idx", *SPAN), "kind", "piece")
+
+
+@query(D.sql(D.arabic(), "SELECT doc_id, " + ", ".join(f"md5({D.normalize('text', m)}) AS {m}" for m in ("strict", "lookup", "search", "aggressive")) + ", md5(" + D.respace("text") + ") AS respaced FROM ar"))
+def normalize_modes(spark, sf):
+    t = F.col("text")
+    return arabic(spark, sf).select("doc_id", *[F.md5(normalize(t, m)).alias(m) for m in ("strict", "lookup", "search", "aggressive")], F.md5(respace(t)).alias("respaced"))
+
+
+def _check(name: str) -> None:
+    def run(spark, sf):
+        return checks.CHECKS[name](arabic(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+    run.__name__ = name
+    query(D.check(name))(run)
+
+
+for _name in checks.CHECKS:
+    _check(_name)
+
+
+@query(D.sql(D.arabic(), D.hits(), "SELECT doc_id, start, stop, rule_id, suggestion FROM h"))
+def literal_rules_hits(spark, sf):
+    return rules.literal_hits(arabic(spark, sf), rules.rule_table(spark)).select("doc_id", *long(*SPAN), "rule_id", "suggestion")
+
+
+@query(D.sql(D.arabic(), D.hits("profile IN ('all', 'formal')"), "SELECT rule_id, category, count(*)::BIGINT AS n FROM h GROUP BY ALL"))
+def profile_filtered_rules(spark, sf):
+    return rules.literal_hits(arabic(spark, sf), rules.rule_table(spark, ("formal",))).groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(D.sql(D.arabic(), D.hits(), D.resolved(), "SELECT rule_id, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs, sum(start)::BIGINT AS starts FROM r GROUP BY ALL"))
+def literal_rules_resolved(spark, sf):
+    kept = spans.resolve(rules.literal_hits(arabic(spark, sf), rules.rule_table(spark)))
+    return kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("start").cast("long").alias("starts"))
+
+
+@query(D.sql(D.arabic(), D.hits(), D.tokens("ar"), "SELECT doc_id, rule_id, start, stop FROM h WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = h.doc_id AND t.kind = 'arabic' AND length(t.piece) >= 6 AND t.start < h.stop AND h.start < t.stop)"))
+def overlap_filter(spark, sf):
+    ar = arabic(spark, sf)
+    return spans.drop_overlapping(rules.literal_hits(ar, rules.rule_table(spark)), tokens(ar).where("kind = 'arabic' and char_length(piece) >= 6")).select("doc_id", "rule_id", *long(*SPAN))
+
+
+@query(D.sql(D.tokens(), "SELECT doc_id, kind, start, CASE WHEN kind = 'url' THEN start + length(regexp_replace(piece, '[.,،؛؟!?:;)»\\]}>]+\\z', '')) ELSE stop END::BIGINT AS stop FROM t WHERE kind IN ('url', 'email')"))
+def pii_spans(spark, sf):
+    return records.private_spans(docs(spark, sf)).select("doc_id", "kind", *long(*SPAN))
+
+
+def _redact(col: str) -> str:
+    for kind, pattern in records.REDACTIONS.items():
+        col = f"regexp_replace({col}, {D.quoted(pattern)}, '[REDACTED_{kind}]', 'g')"
+    return col
+
+
+@query(f"SELECT doc_id, {_redact('text')} AS text FROM documents")
+def redacted_text(spark, sf):
+    return records.redacted(docs(spark, sf))
+
+
+@query(D.readability("SELECT lang, count(*)::BIGINT AS docs, sum(words)::BIGINT AS words, sum(round(clarity * 1000000)::BIGINT)::BIGINT AS clarity_sum, count(*) FILTER (band = 'clear')::BIGINT AS clear FROM f JOIN documents USING (doc_id) GROUP BY lang"))
+def readability_by_lang(spark, sf):
+    r = A.readability(docs(spark, sf)).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum(F.round(F.col("clarity") * 1000000).cast("long")).alias("clarity_sum"), F.count(F.when(F.col("band") == "clear", 1)).alias("clear"))
+
+
+@query(D.readability("SELECT doc_id, words, sentences, avg_words, avg_chars, long_ratio, repeated_ratio, clarity, band FROM f"))
+def readability(spark, sf):
+    return A.readability(docs(spark, sf))
+
+
+@query(D.sql(D.tokens(), D.words(), "y AS (SELECT doc_id, form, count(*) AS n FROM w GROUP BY ALL)", "SELECT doc_id, sum(n)::BIGINT AS tokens, count(*)::BIGINT AS types, count(*) FILTER (n = 1)::BIGINT AS hapax, round(count(*) / sum(n), 6)::DOUBLE AS ttr, round(count(*) FILTER (n = 1) / count(*), 6)::DOUBLE AS hapax_ratio FROM y GROUP BY doc_id"))
+def vocabulary_richness(spark, sf):
+    return A.vocabulary(docs(spark, sf))
+
+
+@query(D.sql(D.tokens(), D.words(), "n AS (SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id)", "SELECT doc_id, length(text)::BIGINT AS characters, len(regexp_extract_all(text, '[^\\n]+'))::BIGINT AS paragraphs, len(regexp_extract_all(text, '[?؟]'))::BIGINT AS questions, coalesce(words, 0)::BIGINT AS words, ceil(coalesce(words, 0) * 60 / 180)::BIGINT AS reading_s, ceil(coalesce(words, 0) * 60 / 130)::BIGINT AS speaking_s FROM documents LEFT JOIN n USING (doc_id)"))
+def document_analytics(spark, sf):
+    return A.document_analytics(docs(spark, sf))
+
+
+@query(D.fingerprint("SELECT * FROM p"))
+def fingerprint(spark, sf):
+    return A.fingerprint(docs(spark, sf), "source")
+
+
+def _profiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = A.features(A.fingerprint(docs(spark, sf), "source"), "source")
+    return rows, A.profile(A.moments(rows, "source"))
+
+
+@query(D.fingerprint(D.PROFILE, "SELECT source, feature, n, round(mean, 6) AS mean, round(std, 6) AS std FROM pr"))
+def author_profile(spark, sf):
+    return _profiles(spark, sf)[1].select("source", "feature", "n", A.six(F.col("mean")).alias("mean"), A.six(F.col("std")).alias("std"))
+
+
+@query(D.fingerprint(D.PROFILE, "SELECT feature, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(q)::BIGINT AS q FROM pr GROUP BY feature"))
+def profile_merge(spark, sf):
+    rows = A.features(A.fingerprint(docs(spark, sf), "source"), "source")
+    return A.merged(A.moments(rows, "source")).select("feature", *long("n", "s", "q"))
+
+
+@query(D.fingerprint(D.PROFILE, "SELECT doc_id, round(avg(z / (z + 2)), 4) AS drift, count(*)::BIGINT AS features FROM (SELECT doc_id, abs(value / 1e6 - mean) / greatest(std, abs(mean) * 0.1, 0.02) AS z FROM v JOIN pr USING (source, feature)) GROUP BY doc_id"))
+def voice_drift(spark, sf):
+    rows, profiles = _profiles(spark, sf)
+    return A.drift(rows, profiles, "source").withColumn("drift", F.round("drift", 4))
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), D.lexicon("l", "form, dialect, weight", R.DIALECT_FORMS), f"SELECT doc_id, start, stop, form, dialect, weight::DOUBLE AS weight FROM t JOIN l ON form = {D.normalize('piece', 'lookup')} WHERE kind = 'arabic'"))
+def dialect_hits(spark, sf):
+    return A.dialect_hits(arabic(spark, sf)).select("doc_id", *long(*SPAN), "form", "dialect", "weight")
+
+
+@query(D.dialects())
+def dialect_identify(spark, sf):
+    return A.dialects(arabic(spark, sf))
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), D.lexicon("l", "tone, form, weight", R.TONE_WORDS), f"SELECT doc_id, tone, round(sum(round(weight * 1000)::BIGINT) / 1000 + 0.18, 6)::DOUBLE AS score, count(*)::BIGINT AS hits FROM t JOIN l ON form = {D.normalize('piece', 'lookup')} WHERE kind = 'arabic' GROUP BY doc_id, tone"))
+def tone_lexical(spark, sf):
+    return A.tones(arabic(spark, sf))
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), D.lexicon("l", "grp, form", R.VARIANTS), f"s AS (SELECT doc_id, grp, start, stop, piece, first(piece) OVER (PARTITION BY doc_id, grp ORDER BY start) AS preferred FROM t JOIN l ON form = {D.normalize('piece', 'lookup')} WHERE kind = 'arabic')", "SELECT * FROM s WHERE piece <> preferred"))
+def variant_consistency(spark, sf):
+    return A.variant_consistency(arabic(spark, sf)).select("doc_id", "grp", *long(*SPAN), "piece", "preferred")
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), "s AS (SELECT *, CASE WHEN regexp_matches(piece, '[0-9]') AND regexp_matches(piece, '[٠-٩]') THEN 'mixed' WHEN regexp_matches(piece, '[0-9]') THEN 'western' ELSE 'arabic_indic' END AS style FROM t WHERE kind = 'number')", "q AS (SELECT doc_id, start, stop, piece, style, first_value(nullif(style, 'mixed') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY start) AS preferred FROM s)", "SELECT * FROM q WHERE style = 'mixed' OR style <> preferred"))
+def numeral_consistency(spark, sf):
+    return A.numeral_consistency(arabic(spark, sf)).select("doc_id", *long(*SPAN), "piece", "style", "preferred")
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), f"f AS (SELECT DISTINCT {D.normalize('piece', 'lookup')} AS form FROM t WHERE kind = 'arabic')", "k AS (SELECT DISTINCT form, unnest(list_append(list_transform(range(1, length(form) + 1), lambda i: substr(form, 1, i - 1) || substr(form, i + 1)), form)) AS key FROM f WHERE length(form) >= 4)", "SELECT DISTINCT a.form AS left_form, b.form AS right_form FROM k a JOIN k b USING (key) WHERE a.form < b.form"))
+def edit_candidates(spark, sf):
+    return A.spelling_neighbours(arabic(spark, sf))
+
+
+def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Resolved rule matches as gold; all matches of documents whose id is no multiple of seven as predictions."""
+    ar = arabic(spark, sf)
+    hits = rules.literal_hits(ar, rules.rule_table(spark)).join(ar.select("doc_id", "lang", "source"), "doc_id")
+    gold = spans.resolve(hits).join(hits.select("doc_id", "start", "stop", "rule_id", "category", "lang", "source"), ["doc_id", "start", "stop", "rule_id"])
+    return gold, hits.where("doc_id % 7 <> 0")
+
+
+_EVAL = (D.arabic(), D.hits(), D.resolved(), "g AS (SELECT DISTINCT r.doc_id, r.start, r.stop, category FROM r JOIN h USING (doc_id, start, stop, rule_id))", "p AS (SELECT DISTINCT doc_id, start, stop, category FROM h WHERE doc_id % 7 <> 0)", "b AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS in_g, p.doc_id IS NOT NULL AS in_p FROM g FULL JOIN p USING (doc_id, start, stop, category))")
+_COUNTS = "count(*) FILTER (in_g AND in_p)::BIGINT AS tp, count(*) FILTER (NOT in_g)::BIGINT AS fp, count(*) FILTER (NOT in_p)::BIGINT AS fn"
+_RATES = "round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN 0.25 * pr + re = 0 THEN 0 ELSE 1.25 * pr * re / (0.25 * pr + re) END, 6)::DOUBLE AS f05"
+_PR = "CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END::DOUBLE AS pr, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END::DOUBLE AS re"
+
+
+@query(D.sql(*_EVAL, f"c AS (SELECT {_COUNTS} FROM b)", f"d AS (SELECT *, {_PR} FROM c)", f"SELECT tp, fp, fn, {_RATES} FROM d"))
+def eval_counts(spark, sf):
+    return records.evaluate(*_found(spark, sf))
+
+
+@query(D.sql(*_EVAL, f"c AS (SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, {_COUNTS} FROM b JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source)))", f"d AS (SELECT *, {_PR} FROM c)", f"SELECT lang, source, tp, fp, fn, {_RATES} FROM d"))
+def eval_slices(spark, sf):
+    return records.evaluate(*_found(spark, sf), "lang", "source")
+
+
+@query("WITH s AS (SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (quality = 1 - toxic) AS same, sum(quality) AS a1, sum(1 - toxic) AS b1 FROM labels JOIN documents USING (doc_id) GROUP BY lang), e AS (SELECT *, same / n AS o, (a1 / n) * (b1 / n) + (1 - a1 / n) * (1 - b1 / n) AS e FROM s) SELECT lang, n, round(o, 6)::DOUBLE AS observed, round(CASE WHEN abs(e - 1) < 1e-9 THEN CASE WHEN abs(o - 1) < 1e-9 THEN 1 ELSE 0 END ELSE (o - e) / (1 - e) END, 6)::DOUBLE AS kappa FROM e")
+def annotator_kappa(spark, sf):
+    pairs = table(spark, sf, "labels").join(docs(spark, sf).select("doc_id", "lang"), "doc_id").select("lang", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
+    return records.kappa(pairs, "lang")
+
+
+@query(D.distilled())
+def distill_candidates(spark, sf):
+    ar = arabic(spark, sf).select("text")
+    fixed = F.col("text")
+    for bad, good in D.FIXES:
+        fixed = F.replace(fixed, F.lit(bad), F.lit(good))
+    return records.distilled(ar.select(F.col("text").alias("original"), fixed.alias("corrected")).where("original <> corrected")).select("bad", "good", "support", "example", "rule_id")
+
+
+@query("WITH b AS (SELECT doc_id, CAST('0x' || left(sha256(text), 8) AS BIGINT) % 100 AS b FROM documents) SELECT doc_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM b")
+def student_split(spark, sf):
+    return docs(spark, sf).select("doc_id", records.split_of(F.col("text")).alias("split"))
+
+
+def _concise(col: str) -> str:
+    for a, b in R.CONCISE:
+        col = f"replace({col}, '{a}', '{b}')"
+    return col
+
+
+@query(D.sql(D.arabic(), f"SELECT doc_id, {_concise('text')} AS text, (length(text) - length({_concise('text')}))::BIGINT AS saved FROM ar"))
+def rewrite_concise_unbudgeted(spark, sf):
+    t = F.col("text")
+    for a, b in R.CONCISE:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return arabic(spark, sf).select("doc_id", t.alias("text"), (F.char_length("text") - F.char_length(t)).cast("long").alias("saved"))
+
+
+@query("SELECT c_custkey, 'السلام عليكم ' || coalesce(nullif(trim(c_name), ''), '[name]') || '، القسم: ' || coalesce(nullif(trim(c_mktsegment), ''), '[segment]') || '.' AS letter FROM customer")
+def template_render(spark, sf):
+    field = lambda c, name: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(f"[{name}]"))
+    return table(spark, sf, "customer").select("c_custkey", F.format_string("السلام عليكم %s، القسم: %s.", field("c_name", "name"), field("c_mktsegment", "segment")).alias("letter"))
+
+
+@query("""WITH j AS (SELECT user_id AS doc, (epoch_us(ts) // 1000)::BIGINT AS ms, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN 'snapshot' ELSE 'update' END AS kind FROM events),
+p AS (SELECT doc, min(ms) AS ms, 0::BIGINT AS seq FROM j WHERE doc % 3 <> 0 GROUP BY doc),
+s AS (SELECT doc, max((ms, seq)) AS snap FROM j WHERE kind = 'snapshot' GROUP BY doc),
+b AS (SELECT d.doc, snap IS NOT NULL AND (p.ms IS NULL OR (p.ms, p.seq) < snap) AS from_snapshot, snap, p.ms AS pms, p.seq AS pseq FROM (SELECT DISTINCT doc FROM j) d LEFT JOIN s USING (doc) LEFT JOIN p USING (doc)),
+t AS (SELECT doc, ms, seq, kind, from_snapshot, row_number() OVER (PARTITION BY doc ORDER BY ms, seq) AS rank FROM j JOIN b USING (doc) WHERE CASE WHEN from_snapshot THEN (ms, seq) >= snap WHEN pms IS NULL THEN true ELSE (ms, seq) > (pms, pseq) END)
+SELECT doc, ms, seq, kind, from_snapshot, rank FROM t WHERE rank <= 20""")
+def journal_recover(spark, sf):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    j = table(spark, sf, "events").select(F.col("user_id").alias("doc"), ms.alias("ms"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 50 == 0, "snapshot").otherwise("update").alias("kind"))
+    peer = j.where("doc % 3 <> 0").groupBy("doc").agg(F.min("ms").alias("ms")).withColumn("seq", F.lit(0).cast("long"))
+    return records.recover(j, peer, page=20)
+
+
+@query("SELECT event_id, (event_id % 12)::BIGINT AS attempts, least(300000, 1000 * (2 ** (event_id % 12)))::BIGINT AS wait_ms, (epoch_us(ts) // 1000 + least(300000, 1000 * (2 ** (event_id % 12))))::BIGINT AS due_ms FROM events")
+def outbox_backoff(spark, sf):
+    wait = records.retry_after(F.col("event_id") % 12)
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") % 12).alias("attempts"), wait.alias("wait_ms"), (F.unix_millis(F.col("ts").cast("timestamp")) + wait).alias("due_ms"))
+
+
+def _html(col: str) -> str:
+    for pattern, to in HTML_STEPS:
+        col = f"regexp_replace({col}, {D.quoted(pattern)}, {D.quoted(to.replace('$1', chr(92) + '1'))}, 'g')"
+    return f"trim({col})"
+
+
+@query(f"SELECT page_id, md5({_html('html')}) AS text_md5, length({_html('html')})::BIGINT AS n_chars FROM pages")
+def html_to_text(spark, sf):
+    text = html_text(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", text.alias("text")).select("page_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY ALL) SELECT *, (n - lag(n) OVER w)::BIGINT AS n_delta, (users - lag(users) OVER w)::BIGINT AS users_delta FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)")
+def analytics_trend(spark, sf):
+    daily = table(spark, sf, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    return records.trend(daily, "event_type", "day", "n", "users")
+
+
+@query("WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(qv, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q) SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_rank(spark, sf):
+    e = table(spark, sf, "embeddings")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    top = e.crossJoin(F.broadcast(one)).select("vec_id", A.six(records.cosine(F.col("embedding"), F.col("q"))).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    return top.withColumn("rank", F.row_number().over(A.Window.orderBy(F.desc("score"), "vec_id")).cast("long"))
+
+
+@query(D.check_pipeline())
+def check_pipeline(spark, sf):
+    """Rules and built-in checks of every document, resolved against each other and counted."""
+    ar = arabic(spark, sf)
+    found = rules.literal_hits(ar, rules.rule_table(spark)).select("doc_id", "start", "stop", "rule_id", "suggestion", "priority", "confidence", "severity")
+    built = checks.all_checks(ar).select("doc_id", "start", "stop", "rule_id", "suggestion", F.lit(0).alias("priority"), F.lit(0.8).alias("confidence"), F.lit("warning").alias("severity"))
+    kept = spans.resolve(found.unionByName(built))
+    return kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts"))
