@@ -26,7 +26,7 @@ SENTENCES = (
     "للتواصل: info@mail.example.com أو زوروا https://www.example.org/help.",
     "الهاتف +964 770 123 4567 متاح دائما #دعم @فريق.",
     "وذلك بالاضافه الى ما سبق ذكره في الفقرة الأولى.",
-    "كتب الطالب الدرس، وقرأ المعلم النص قراءة متأنية.",
+    "كتب الطالب الدرس الان، وقرأ المعلم النص قراءة متأنية.",
     "نرجو منكم التكرم بالموافقة على الطلب المرفق.",
     "أنتم مدعوون للمشاركة معنا، فلا تترددوا أبدا.",
     "من الممكن أن يتم القيام بدراسة الموضوع لاحقا.",

@@ -21,6 +21,8 @@ from warraq.sources.corpus import arabic, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries whose result has no SQL form.
+ROWS_ONLY: set[str] = set()
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
