@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from warraq.functions.resources import DIALECT_FORMS, TONE_WORDS, VARIANTS
 from warraq.functions.text import normalize, strip_marks, tokens
 
-ORDER = Window.partitionBy("doc_id").orderBy("idx")
+def in_order():
+    """Over the pieces of a document as they stand in the text."""
+    return Window.partitionBy("doc_id").orderBy("idx")
+
 
 
 def six(x: Column) -> Column:
@@ -27,7 +30,7 @@ def words(docs: DataFrame) -> DataFrame:
 
 def readability(docs: DataFrame) -> DataFrame:
     """Clarity by document over word tokens; sentences are counted by runs of terminators, one at least."""
-    w = words(docs).withColumn("before", F.lag("form").over(ORDER))
+    w = words(docs).withColumn("before", F.lag("form").over(in_order()))
     size = F.char_length("form")
     per = w.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("words"), F.sum(size).alias("chars"), F.sum((size >= 8).cast("long")).alias("long_words"), F.sum((F.col("form") == F.col("before")).cast("long")).alias("repeats")

@@ -9,13 +9,17 @@ from pyspark.sql.window import Window
 from warraq.functions.resources import FEMININE_COUNTED, MASCULINE_COUNTED, MASCULINE_NUMERALS
 from warraq.functions.text import LETTER_RUN, LETTERS, RUN, STROKE, pieces, tokens
 
-ORDER = Window.partitionBy("doc_id").orderBy("idx")
+def in_order():
+    """Over the pieces of a document as they stand in the text."""
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
 COLUMNS = ("doc_id", "rule_id", "start", "stop", "suggestion")
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
     """An Arabic word of two letters or more that is written again after nothing but white space."""
-    t = tokens(docs).withColumns({f"{c}{k}": F.lead(c, k).over(ORDER) for c in ("piece", "kind", "stop") for k in (1, 2)})
+    t = tokens(docs).withColumns({f"{c}{k}": F.lead(c, k).over(in_order()) for c in ("piece", "kind", "stop") for k in (1, 2)})
     hit = (F.col("kind") == "arabic") & (F.char_length("piece") > 1) & (F.col("kind1") == "whitespace") & (F.col("piece2") == F.col("piece"))
     return t.where(hit).select("doc_id", F.lit("STYLE_REPEATED_WORD").alias("rule_id"), "start", F.col("stop2").alias("stop"), F.col("piece").alias("suggestion"))
 
@@ -23,7 +27,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 def latin_punctuation(docs: DataFrame) -> DataFrame:
     """Latin comma, question mark or semicolon after an Arabic letter; blanks before the latter two belong to the span."""
     text = r"[,?;]|\s+|[^,?;\s]+"
-    t = pieces(docs, text).withColumns({f"{c}{k}": F.lag(c, k).over(ORDER) for c in ("piece", "start") for k in (1, 2)})
+    t = pieces(docs, text).withColumns({f"{c}{k}": F.lag(c, k).over(in_order()) for c in ("piece", "start") for k in (1, 2)})
     ends = lambda c: F.col(c).rlike(rf"[{LETTERS}]\z")
     close = ends("piece1")
     apart = F.col("piece1").rlike(r"\A\s") & ends("piece2") & (F.col("piece") != ",")
@@ -34,7 +38,7 @@ def latin_punctuation(docs: DataFrame) -> DataFrame:
 
 def space_before(docs: DataFrame) -> DataFrame:
     """Blanks or tabs before a punctuation mark; the mark belongs to the span."""
-    t = pieces(docs, r"[ \t]+|[^ \t]+").withColumn("following", F.lead("piece").over(ORDER))
+    t = pieces(docs, r"[ \t]+|[^ \t]+").withColumn("following", F.lead("piece").over(in_order()))
     hits = t.where(F.col("piece").rlike(r"\A[ \t]") & F.col("following").rlike(r"\A[،؛؟!.,:]"))
     return hits.select("doc_id", F.lit("PUNCT_SPACE_BEFORE").alias("rule_id"), "start", (F.col("stop") + 1).alias("stop"), F.substring("following", 1, 1).alias("suggestion"))
 
@@ -55,7 +59,7 @@ def number_agreement(docs: DataFrame, spark: SparkSession | None = None) -> Data
     rows = [(m, n, "AGREEMENT_NUM_FEM_NOUN", f) for m, f in MASCULINE_NUMERALS for n in FEMININE_COUNTED]
     rows += [(f, n, "AGREEMENT_NUM_MASC_NOUN", m) for m, f in MASCULINE_NUMERALS for n in MASCULINE_COUNTED]
     wrong = spark.createDataFrame(rows, "piece string, noun string, rule_id string, suggestion string")
-    runs = pieces(docs, RUN).withColumns({"gap": F.lead("piece", 1).over(ORDER), "noun": F.lead("piece", 2).over(ORDER)})
+    runs = pieces(docs, RUN).withColumns({"gap": F.lead("piece", 1).over(in_order()), "noun": F.lead("piece", 2).over(in_order())})
     return runs.where(F.col("gap").rlike(r"\A\s+\z")).join(F.broadcast(wrong), ["piece", "noun"]).select(*COLUMNS)
 
 
