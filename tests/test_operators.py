@@ -11,7 +11,7 @@ def docs(spark, *texts):
 
 
 def test_tokens_are_lossless_with_code_point_offsets(spark):
-    text = "😀 كتَب ``x`` `y = 1` a@b.cd #وسم @من 3.14% www.x.yz, نَعم…\n"
+    text = "😀 كتَب `y = 1` a@b.cd #وسم @من 3.14% www.x.yz, نَعم…\n"
     got = tokens(docs(spark, text)).orderBy("idx").collect()
     assert "".join(r.piece for r in got) == text
     assert all(text[r.start : r.stop] == r.piece for r in got)
