@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from warraq.functions import resources as R
 from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tokens
 from warraq.operators import analytics as A
-from warraq.operators import checks, records, rules, spans
+from warraq.operators import checks, document_rules, records, rules, sentences, spans
 from warraq.plans import duck as D
-from warraq.sources.corpus import arabic, table
+from warraq.sources.corpus import arabic, arabic_of, table
+from warraq.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Queries whose result has no SQL form.
-ROWS_ONLY: set[str] = set()
+ROWS_ONLY = {"sentence_spans", "sentence_heatmap", "long_sentences", "token_bucket", "consistency_tracker"}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -309,3 +310,91 @@ def check_pipeline(spark, sf):
     built = checks.all_checks(ar).select("doc_id", "start", "stop", "rule_id", "suggestion", F.lit(0).alias("priority"), F.lit(0.8).alias("confidence"), F.lit("warning").alias("severity"))
     kept = spans.resolve(found.unionByName(built))
     return kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts"))
+
+
+@query()
+def sentence_spans(spark, sf):
+    """Tested against examples and properties: the scan is sequential."""
+    return sentences.sentences(docs(spark, sf)).select("doc_id", *long("sent", *SPAN), "terminator")
+
+
+@query()
+def sentence_heatmap(spark, sf):
+    return sentences.heatmap(docs(spark, sf))
+
+
+@query()
+def long_sentences(spark, sf):
+    return sentences.long_sentences(docs(spark, sf))
+
+
+_VARIANT_HITS = (D.arabic(), D.tokens("ar"), D.lexicon("l", "grp, form", R.VARIANTS), f"vh AS (SELECT doc_id, grp AS rule_id, start, stop, piece AS surface FROM t JOIN l ON form = {D.normalize('piece', 'lookup')} WHERE kind = 'arabic')")
+
+
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    groups = spark.createDataFrame(R.VARIANTS, "rule_id string, form string")
+    t = tokens(arabic(spark, sf)).where("kind = 'arabic'").withColumn("form", normalize(F.col("piece"), "lookup"))
+    return t.join(F.broadcast(groups), "form").select("doc_id", "rule_id", *long(*SPAN), F.col("piece").alias("surface"))
+
+
+@query(D.sql(*_VARIANT_HITS, "n AS (SELECT doc_id, rule_id FROM vh GROUP BY ALL HAVING count(DISTINCT surface) >= 2)", "SELECT vh.* FROM vh JOIN n USING (doc_id, rule_id) WHERE surface <> CASE rule_id WHEN 'now' THEN 'الآن' WHEN 'responsible' THEN 'المسؤول' WHEN 'city' THEN 'المدينة' END"))
+def doc_rule_consistency(spark, sf):
+    return document_rules.consistency(_variants(spark, sf), {"now": "الآن", "responsible": "المسؤول", "city": "المدينة"})
+
+
+@query(D.sql(D.arabic(), D.hits(), "c AS (SELECT doc_id, rule_id, start, stop, count(*) OVER (PARTITION BY doc_id, rule_id) AS n, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY start, stop) AS k FROM h)", "SELECT doc_id, rule_id, start, stop, n FROM c WHERE n >= 2 AND k = 1"))
+def doc_rule_occurrence(spark, sf):
+    hits = rules.literal_hits(arabic(spark, sf), rules.rule_table(spark)).select("doc_id", "rule_id", *long(*SPAN))
+    return document_rules.occurrence(hits)
+
+
+_SUPPRESSED = ("su AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'rule' WHEN 1 THEN 'word' WHEN 2 THEN 'line' ELSE 'document' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'HAMZA_TO' WHEN 1 THEN 'لاكن' WHEN 2 THEN '1' ELSE '' END AS value FROM ar WHERE doc_id % 3 <> 0)",)
+
+
+@query(D.sql(D.arabic(), D.hits(), *_SUPPRESSED, f"SELECT h.doc_id, h.rule_id, h.start, h.stop FROM h JOIN ar USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM su WHERE su.doc_id = h.doc_id AND CASE su.kind WHEN 'document' THEN true WHEN 'rule' THEN value = rule_id WHEN 'word' THEN value = {D.normalize('substr(ar.text, h.start + 1, h.stop - h.start)', 'lookup')} ELSE value = '1' END)"))
+def suppressed_rules(spark, sf):
+    ar = arabic(spark, sf)
+    k = F.col("doc_id") % 4
+    su = ar.where("doc_id % 3 <> 0").select("doc_id", F.when(k == 0, "rule").when(k == 1, "word").when(k == 2, "line").otherwise("document").alias("kind"), F.when(k == 0, "HAMZA_TO").when(k == 1, "لاكن").when(k == 2, "1").otherwise("").alias("value"))
+    return document_rules.suppress(rules.literal_hits(ar, rules.rule_table(spark)), ar, su).select("doc_id", "rule_id", *long(*SPAN))
+
+
+@query(D.sql(D.arabic(), D.hits("autofix"), D.resolved(), "e AS (SELECT DISTINCT r.doc_id, r.start, r.stop, suggestion FROM r JOIN h USING (doc_id, start, stop, rule_id))", "g AS (SELECT e.*, text, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS pos FROM e JOIN ar USING (doc_id))", "c AS (SELECT doc_id, string_agg(substr(text, pos + 1, start - pos) || suggestion, '' ORDER BY start) AS head, max(stop) AS pos FROM g GROUP BY doc_id)", "SELECT ar.doc_id, coalesce(head || substr(text, pos + 1), text) AS text FROM ar LEFT JOIN c USING (doc_id)"))
+def corrected_text(spark, sf):
+    ar = arabic(spark, sf)
+    return document_rules.correct(ar, spans.resolve(rules.literal_hits(ar, rules.rule_table(spark)).where("autofix")))
+
+
+@query("WITH c AS (SELECT doc_id, [lang, source, quality::VARCHAR] AS replacements, CASE doc_id % 3 WHEN 0 THEN ['en'] WHEN 1 THEN ['src1', '1'] ELSE ['none'] END AS accepted FROM labels JOIN documents USING (doc_id)), r AS (SELECT list_min(list_filter(list_transform(accepted, lambda a: coalesce(list_position(replacements, a), 0)), lambda p: p > 0)) AS r FROM c) SELECT round(coalesce(avg(coalesce(1 / r, 0)), 1), 6)::DOUBLE AS mrr, count(*)::BIGINT AS cases FROM r")
+def eval_mrr(spark, sf):
+    k = F.col("doc_id") % 3
+    lists = lambda *x: F.array(*map(F.lit, x))
+    cases = table(spark, sf, "labels").join(docs(spark, sf), "doc_id").select(F.array("lang", "source", F.col("quality").cast("string")).alias("replacements"), F.when(k == 0, lists("en")).when(k == 1, lists("src1", "1")).otherwise(lists("none")).alias("accepted"))
+    return document_rules.reciprocal_rank(cases)
+
+
+@query("WITH r AS (SELECT DISTINCT user_id AS doc, (epoch_us(ts) // 1000)::BIGINT AS ms, event_id AS seq FROM events WHERE event_type <> 'click'), d AS (SELECT DISTINCT 'p' || (user_id % 2)::VARCHAR AS peer, user_id AS doc, 1706000000000::BIGINT AS ms FROM events) SELECT peer, r.doc, r.ms, r.seq FROM r JOIN d ON r.doc = d.doc WHERE (r.ms, r.seq) > (d.ms, 0)")
+def undelivered(spark, sf):
+    e = table(spark, sf, "events")
+    r = e.select(F.col("user_id").alias("doc"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("seq"), F.col("event_type").alias("origin"))
+    d = e.select(F.concat(F.lit("p"), F.col("user_id") % 2).alias("peer"), F.col("user_id").alias("doc"), F.lit(1706000000000).alias("ms"), F.lit(0).cast("long").alias("seq")).distinct()
+    return stateful.undelivered(r, d, "click")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS since, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return stateful.windows(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("since", "yyyy-MM-dd").alias("since"), "event_type", "n")
+
+
+@query()
+def token_bucket(spark, sf):
+    """A stream over the events as they lie in the file, played to its end."""
+    e = stateful.stream_of(table(spark, sf, "events"), f"{sf}/event[s].parquet")
+    return stateful.played(stateful.token_bucket(e.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))))
+
+
+@query()
+def consistency_tracker(spark, sf):
+    """A stream over the documents; the chunks of a conversation are the Arabic texts of ten ids."""
+    d = stateful.stream_of(docs(spark, sf), f"{sf}/document[s].parquet")
+    return stateful.played(stateful.consistency_tracker(arabic_of(d).select(F.floor(F.col("doc_id") / 10).alias("conv_id"), F.col("doc_id").alias("turn"), "text")))

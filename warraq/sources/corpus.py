@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arabic_of(table(spark, sf_dir, "documents"))
+
+
+def arabic_of(docs: DataFrame) -> DataFrame:
     """Three sentences per document, chosen by arithmetic on doc_id."""
     n, all_ = len(SENTENCES), F.array(*map(F.lit, SENTENCES))
     pick = lambda e: F.element_at(all_, (e % n + 1).cast("int"))
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat_ws(" ", pick(d), pick(d * 7 + 1), pick(d * 13 + 2)).alias("text"))
+    return docs.select("doc_id", "lang", "source", F.concat_ws(" ", pick(d), pick(d * 7 + 1), pick(d * 13 + 2)).alias("text"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
