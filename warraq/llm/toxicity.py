@@ -37,6 +37,8 @@ HARMLESS = ("clown fish", "clownfish", "class clown", "idiot proof", "trash bag"
 SEED_WEIGHT = 3.0
 #: Word beginnings of these lengths are learned, besides whole words.
 PREFIXES = range(3, 10)
+#: Stems that a task counts before it hands the counts on.
+TALLY = 200_000
 
 
 class Folding(dict):
@@ -149,26 +151,35 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> list[float
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_entries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from labelled documents outside the held-out fifth (crc32 of doc_id mod 5 is 0).
 
-    Fitted on at most ``most_rows`` labelled rows, chosen by hash of doc_id. ``most_entries`` of the
+    Fitted on at most ``most_rows`` labelled rows, chosen by hash of doc_id; that bound makes their
+    ids and labels small enough to broadcast, so texts are not shuffled. ``most_entries`` of the
     stems that toxic documents hold are weighed, by count. Rows without a label or an id are left
     out; of labels that differ the larger counts. Without both classes the fixed list is used.
     """
     ship(docs.sparkSession)
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).join(told, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).persist()
+    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).join(F.broadcast(told), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = {0: Counter(), 1: Counter()}
+        tally: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for y, c in enumerate(tally):
+                if c:
+                    n = pa.array(c.values(), pa.int64())
+                    none = pa.array(np.zeros(len(c), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), n if y else none, none if y else n], names=["stem", "pos", "neg"])
+                    c.clear()
+
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tally[int(y > 0)].update(stems(fold(text)))
-                tally[int(y > 0)][""] += 1
-        for y, c in tally.items():
-            items = list(c.items())
-            for k in range(0, len(items), 50_000):
-                s, n = zip(*items[k : k + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array([n[i] if y else 0 for i in range(len(n))], pa.int64()), pa.array([0 if y else x for x in n], pa.int64())], names=["stem", "pos", "neg"])
+                c = tally[int(y > 0)]
+                c.update(stems(fold(text)))
+                c[""] += 1
+                if len(c) > TALLY:
+                    yield from counted()
+        yield from counted()
 
     try:
         total = train.mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
