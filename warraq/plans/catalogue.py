@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from warraq.functions import resources as R
 from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tokens
 from warraq.operators import analytics as A
-from warraq.operators import checks, document_rules, records, rules, sentences, spans
+from warraq.operators import checks, document_rules, records, rules, sentences, serving, spans, spelling
 from warraq.plans import duck as D
 from warraq.sources.corpus import arabic, arabic_of, table
 from warraq.streaming import stateful
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Queries whose result has no SQL form.
-ROWS_ONLY = {"sentence_spans", "sentence_heatmap", "long_sentences", "token_bucket", "consistency_tracker"}
+ROWS_ONLY = {"sentence_spans", "sentence_heatmap", "long_sentences", "token_bucket", "consistency_tracker", "spell_suggestions"}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -398,3 +398,53 @@ def consistency_tracker(spark, sf):
     """A stream over the documents; the chunks of a conversation are the Arabic texts of ten ids."""
     d = stateful.stream_of(docs(spark, sf), f"{sf}/document[s].parquet")
     return stateful.played(stateful.consistency_tracker(arabic_of(d).select(F.floor(F.col("doc_id") / 10).alias("conv_id"), F.col("doc_id").alias("turn"), "text")))
+
+
+@query()
+def spell_suggestions(spark, sf):
+    """Arabic texts in which every fiftieth document has one letter dropped."""
+    ar = arabic(spark, sf)
+    slip = F.concat(F.substring("text", F.lit(1), (F.col("doc_id") % 40 + 3).cast("int")), F.substring("text", (F.col("doc_id") % 40 + 5).cast("int"), F.char_length("text")))
+    return spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))))
+
+
+_BEFORE = "substr(text, 1, start)"
+
+
+@query(D.sql(D.arabic(), D.hits(), f"SELECT h.doc_id, rule_id, start, stop, (length({_BEFORE}) - length(replace({_BEFORE}, chr(10), '')))::BIGINT AS line, length(string_split({_BEFORE}, chr(10))[-1])::BIGINT + length(regexp_replace(string_split({_BEFORE}, chr(10))[-1], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))::BIGINT AS col, substr(text, greatest(start - 20, 0) + 1, stop + 20 - greatest(start - 20, 0)) AS context, (start - greatest(start - 20, 0))::BIGINT AS context_offset FROM h JOIN ar USING (doc_id)"))
+def match_responses(spark, sf):
+    ar = arabic(spark, sf)
+    hits = rules.literal_hits(ar, rules.rule_table(spark)).select("doc_id", "rule_id", *long(*SPAN))
+    return serving.context(serving.positions(hits, ar), ar)
+
+
+@query(D.sql(D.arabic(), "SELECT doc_id, translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS text FROM ar"))
+def western_digits(spark, sf):
+    return arabic(spark, sf).select("doc_id", serving.to_western(F.col("text")).alias("text"))
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), "SELECT doc_id, idx, piece, CASE WHEN suffix(piece, 'ون') OR suffix(piece, 'ان') THEN left(piece, length(piece) - 2) || 'ين' ELSE piece END AS oblique FROM t WHERE kind = 'arabic'"))
+def oblique_forms(spark, sf):
+    return tokens(arabic(spark, sf)).where("kind = 'arabic'").select("doc_id", *long("idx"), "piece", serving.oblique(F.col("piece")).alias("oblique"))
+
+
+@query("SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, count(DISTINCT md5(text))::BIGINT AS texts FROM documents GROUP BY GROUPING SETS ((), (lang), (source))")
+def corpus_manifest(spark, sf):
+    return serving.manifest(docs(spark, sf), "lang", "source")
+
+
+@query("WITH a AS (SELECT user_id AS doc, max(event_id) AS upto FROM events WHERE event_id % 20 = 0 GROUP BY ALL) SELECT user_id AS doc, event_id AS seq FROM events LEFT JOIN a ON a.doc = user_id WHERE upto IS NULL OR event_id > upto")
+def compacted_updates(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"))
+    return serving.compacted(e, e.where("seq % 20 = 0"))
+
+
+@query("WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) SELECT * FROM r WHERE nth <= 5")
+def latest_history(spark, sf):
+    return serving.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 5)
+
+
+@query("WITH s AS (SELECT user_id, event_type, count(*)::DOUBLE AS score FROM events GROUP BY ALL), e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY user_id)) / 0.82) AS e FROM s) SELECT user_id, event_type, score, round(e / sum(e) OVER (PARTITION BY user_id), 5) AS prob FROM e")
+def softmax_rank(spark, sf):
+    s = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return serving.softmax(s, "user_id", "score")
