@@ -71,3 +71,57 @@ TONE_WORDS = (
 )
 #: Wordy phrase, shorter one; applied in this order.
 CONCISE = (("من الممكن أن", "قد"), ("في أقرب وقت ممكن", "قريبا"), ("من أجل", "لأجل"), ("يتم القيام بدراسة", "يدرس"), ("بجد واجتهاد", "بجد"))
+#: Sentences of which the corpus for grammar and style is made.
+GRAMMAR_SENTENCES = (
+    "هذا المدرسة الكبيرة في المدينة القديمة.",
+    "وصل الطالبة الجديد إلى المكتبة.",
+    "لم يكتبون الرسالة ولن يدرسون الكتاب.",
+    "كتاب الطالب في المكتبة الكبيرة.",
+    "كتب المعلم الرسالة ثم وصلت الطالبة.",
+    "قام المعلم بدراسة المشروع، قامت بتنفيذ المشروع الجديد.",
+    "قاموا بدراسة الكتاب والمشروع؛ وقام بتحقيق الأهداف.",
+    "يصل المعلم إلى المدرسة ولا يصل الطالب.",
+    "يكتب الطالب الدرس ثم لا يكتب الرسالة.",
+    "هذه الكتاب جديد، وتلك الطالب كبير.",
+    "ذهب المعلم إلى الطالبان في المدرسة.",
+    "إلى المعلمون كتبت الطالبة رسالة جديدة.",
+    "نرجو التكرم بالموافقة رسميا. وفقا للتقرير نرجو الرد. شكرا يا صديقي.",
+    "العدد 250 والنسبة 15% جدا جدا، سعيد جدا.",
+    "الدرس الان، والوقت الان ضيق جدا. سعيد جدا اليوم.",
+    "رجع مرة أخرى مجددا وعاد إلى الوراء.",
+    "يدرس الطالب في المكتبة 3 ساعات kept open ولا يدرس في البيت.",
+)
+#: Lemma, root, template, part of speech, gender, frequency.
+LEXEMES = (
+    ("كتاب", "كتب", "فعال", "noun", "masculine", 900), ("طالب", "طلب", "فاعل", "noun", "masculine", 700), ("طالبة", "طلب", "فاعلة", "noun", "feminine", 500),
+    ("مدرسة", "درس", "مفعلة", "noun", "feminine", 650), ("معلم", "علم", "مفعل", "noun", "masculine", 600), ("رسالة", "رسل", "فعالة", "noun", "feminine", 400),
+    ("مكتبة", "كتب", "مفعلة", "noun", "feminine", 300), ("مشروع", "شرع", "مفعول", "noun", "masculine", 350), ("مدينة", "مدن", "فعيلة", "noun", "feminine", 450),
+    ("درس", "درس", "فعل", "noun", "masculine", 380), ("دراسة", "درس", "فعالة", "verbal_noun", "feminine", 320), ("تنفيذ", "نفذ", "تفعيل", "verbal_noun", "masculine", 250),
+    ("تحقيق", "حقق", "تفعيل", "verbal_noun", "masculine", 240), ("كبير", "كبر", "فعيل", "adjective", "masculine", 500), ("كبيرة", "كبر", "فعيلة", "adjective", "feminine", 480),
+    ("جديد", "جدد", "فعيل", "adjective", "masculine", 520), ("جديدة", "جدد", "فعيلة", "adjective", "feminine", 510), ("قديمة", "قدم", "فعيلة", "adjective", "feminine", 310),
+    ("كتب", "كتب", "فعل", "verb", "masculine", 800), ("درس", "درس", "فعل", "verb", "masculine", 420), ("وصل", "وصل", "فعل", "verb", "masculine", 560), ("ذهب", "ذهب", "فعل", "verb", "masculine", 610),
+)
+INTRANSITIVE = ("وصل", "ذهب")
+#: Prefix of a nominal, whether it makes it definite, the preposition in it.
+NOMINAL_PREFIXES = (("", False, ""), ("ال", True, ""), ("و", False, ""), ("وال", True, ""), ("ب", False, "ب"), ("بال", True, "ب"), ("ل", False, "ل"), ("لل", True, "ل"))
+#: Ending of a nominal, its number, the genders it is for, what a final ة turns into before it.
+NOMINAL_ENDINGS = (
+    ("", "singular", "masculine", "ة"), ("", "singular", "feminine", "ة"), ("ان", "dual", "masculine", "ت"), ("ان", "dual", "feminine", "ت"),
+    ("ين", "dual", "masculine", "ت"), ("ين", "dual", "feminine", "ت"), ("ون", "plural", "masculine", ""), ("ات", "plural", "feminine", ""),
+)
+#: Prefix and ending of a verb, gender, number, tense.
+VERB_AFFIXES = (
+    ("", "", "masculine", "singular", "past"), ("", "ت", "feminine", "singular", "past"), ("", "وا", "masculine", "plural", "past"), ("ي", "", "masculine", "singular", "present"),
+    ("ت", "", "feminine", "singular", "present"), ("ي", "ون", "masculine", "plural", "present"), ("ي", "وا", "masculine", "plural", "shortened"),
+)
+#: Template, part of speech, confidence. The letters ف ع ل stand for the root's.
+TEMPLATES = (
+    ("فاعل", "noun", 0.62), ("مفعول", "noun", 0.64), ("مفعل", "noun", 0.5), ("مفعلة", "noun", 0.58), ("فعالة", "noun", 0.55), ("فعال", "noun", 0.5),
+    ("فعيل", "adjective", 0.56), ("فعيلة", "adjective", 0.57), ("تفعيل", "verbal_noun", 0.66), ("فعل", "verb", 0.4), ("يفعل", "verb", 0.55), ("استفعال", "verbal_noun", 0.7),
+)
+STEM_PREFIXES = ("", "ال", "و", "ب", "ل", "وال", "بال")
+STEM_ENDINGS = ("", "ات", "ون", "ين", "ها", "هم")
+#: Demonstrative, gender, distance; all singular.
+DEMONSTRATIVES = (("هذا", "masculine", "near"), ("هذه", "feminine", "near"), ("ذلك", "masculine", "far"), ("تلك", "feminine", "far"))
+PREPOSITIONS = ("في", "من", "إلى", "على", "عن", "مع")
+SUBJUNCTIVE_PARTICLES, JUSSIVE_PARTICLES = ("لن", "ولن", "كي", "حتى"), ("لم", "ولم", "لما")

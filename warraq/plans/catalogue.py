@@ -6,8 +6,6 @@ Queries on driver tables take whole tables; those that need Arabic build it from
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,34 +14,10 @@ from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tok
 from warraq.operators import analytics as A
 from warraq.operators import checks, document_rules, records, rules, sentences, serving, spans, spelling
 from warraq.plans import duck as D
+from warraq.plans.registry import ORACLES, QUERIES, ROWS_ONLY, SPAN, docs, long, query  # noqa: F401
 from warraq.sources.corpus import arabic, arabic_of, table
 from warraq.streaming import stateful
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-#: Queries whose result has no SQL form.
-ROWS_ONLY = {"sentence_spans", "sentence_heatmap", "long_sentences", "token_bucket", "consistency_tracker", "spell_suggestions"}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
-
-
-long = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
-SPAN = ("start", "stop")
-
-
 @query(D.sql(D.tokens(), "SELECT lang, kind, count(*)::BIGINT AS n FROM t GROUP BY ALL"))
 def token_kind_counts(spark, sf):
     return tokens(docs(spark, sf), "lang").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -448,3 +422,6 @@ def latest_history(spark, sf):
 def softmax_rank(spark, sf):
     s = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return serving.softmax(s, "user_id", "score")
+
+
+from warraq.plans import language  # noqa: E402, F401  its queries register themselves

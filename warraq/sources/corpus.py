@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.functions.resources import SENTENCES
+from warraq.functions.resources import GRAMMAR_SENTENCES, SENTENCES
 
 CASE = (
     "schema_version int, id string, text string, domain string, split string, dialect string, "
@@ -42,3 +42,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``path, text`` without a byte order mark."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return rows.select("path", F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+def grammar_of(docs: DataFrame) -> DataFrame:
+    """Three sentences for grammar and style per document, chosen by arithmetic on doc_id."""
+    n, all_ = len(GRAMMAR_SENTENCES), F.array(*map(F.lit, GRAMMAR_SENTENCES))
+    pick = lambda e: F.element_at(all_, (e % n + 1).cast("int"))
+    d = F.col("doc_id")
+    return docs.select("doc_id", "lang", "source", F.concat_ws(" ", pick(d), pick(d * 5 + 1), pick(d * 11 + 3)).alias("text"))
+
+
+def grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar_of(table(spark, sf_dir, "documents"))
