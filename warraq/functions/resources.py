@@ -90,6 +90,9 @@ GRAMMAR_SENTENCES = (
     "الدرس الان، والوقت الان ضيق جدا. سعيد جدا اليوم.",
     "رجع مرة أخرى مجددا وعاد إلى الوراء.",
     "يدرس الطالب في المكتبة 3 ساعات kept open ولا يدرس في البيت.",
+    "درس الطالب الكتاب في البيت. هذا درس جديد.",
+    "في درس الطالب. لم درس الكتاب.",
+    "تحقيق الأهداف وتنفيذ المشروع ثم دراسة الرسالة وتحقيق النتائج.",
 )
 #: Lemma, root, template, part of speech, gender, frequency.
 LEXEMES = (
@@ -125,3 +128,27 @@ STEM_ENDINGS = ("", "ات", "ون", "ين", "ها", "هم")
 DEMONSTRATIVES = (("هذا", "masculine", "near"), ("هذه", "feminine", "near"), ("ذلك", "masculine", "far"), ("تلك", "feminine", "far"))
 PREPOSITIONS = ("في", "من", "إلى", "على", "عن", "مع")
 SUBJUNCTIVE_PARTICLES, JUSSIVE_PARTICLES = ("لن", "ولن", "كي", "حتى"), ("لم", "ولم", "لما")
+#: Rules with patterns: id, pattern, suggestion ($n is a group), profile, text before, text after, exception, where that is looked for.
+PATTERN_RULES = (
+    ("PERCENT_SIGN", "([0-9]+)%", "$1٪", "all", "", "", "", ""),
+    ("NOW_HAMZA", "الان", "الآن", "all", "(?:الدرس|الوقت) +", "", "", ""),
+    ("NOW_BEFORE_COMMA", "الان", "الآن", "academic", "", "[،,]", "", ""),
+    ("VERY_HEDGE", "جدا", "للغاية", "academic", "", "", "سعيد", "sentence"),
+    ("VERY_AGAIN", "جدا جدا", "جدا", "all", "", "", "", ""),
+    ("PHRASE_AGAIN", "مرة أخرى مجددا", "مجددا", "all", "", "", "", ""),
+    ("PHRASE_BACK", "عاد\\s+إلى\\s+الوراء", "تراجع", "formal", "", "", "خطوة", "window"),
+    ("TOKENS_READ", "في\\s+المكتبة(?:\\s+الكبيرة)?", "بالمكتبة", "all", "", "", "الكبيرة", "match"),
+)
+#: Rules whose matches block overlapping matches of another: id, pattern, blocked rule.
+EXCEPTION_RULES = (("EXCEPT_HAPPY", "سعيد جدا", "VERY_HEDGE"), ("EXCEPT_PERCENT", "النسبة 15%", "PERCENT_SIGN"))
+NEGATORS = ("لم", "لن", "لا")
+TEMPORAL = ("أمس", "اليوم", "غدا", "لاحقا", "سابقا", "ثم", "بعد", "قبل")
+AUXILIARIES = (("قام", "masculine"), ("قامت", "feminine"), ("قاموا", "plural"))
+#: Verbal noun and the verb in its place: masculine, feminine, plural.
+NOMINALIZATIONS = (("دراسة", "درس", "درست", "درسوا"), ("تنفيذ", "نفذ", "نفذت", "نفذوا"), ("تحقيق", "حقق", "حققت", "حققوا"))
+CONNECTIVES = ("ثم", "أو", "لكن", "لأن", "حيث", "كما", "إذ")
+#: Part of speech of a reading, what stands around it, weight.
+SENSE_WEIGHTS = (
+    ("verb", "bias", 0.1), ("noun", "bias", 0.2), ("adjective", "bias", 0.05), ("verbal_noun", "bias", 0.1), ("verb", "bos", 1.4), ("noun", "left_pos1:verb", 0.8), ("verb", "right_pos1:noun", 1.1),
+    ("noun", "left1:في", 1.9), ("noun", "left1:هذا", 1.7), ("verb", "left1:لم", 2.1), ("noun", "right_pos1:adjective", 0.9), ("noun", "eos", 0.3), ("verb", "next_definite", 0.4), ("noun", "left_pos2:verb", 0.2),
+)

@@ -90,3 +90,82 @@ def checks() -> str:
         ("SYNTAX_IDAFA_NUN_DROP", "relation = 'IDAFA' AND number <> 'singular' AND (suffix(piece, 'ون') OR suffix(piece, 'ين') OR suffix(piece, 'ان'))", "start", "stop", cut("piece", 1)),
     )
     return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule_id, {a} AS start, {b} AS stop, {s} AS suggestion FROM rel WHERE conf >= 0.8 AND {w}" for n, w, a, b, s in specs)
+
+
+def pattern_rules() -> tuple[str, ...]:
+    """``pr3``: matches of the rules with patterns, of the profiles formal and academic."""
+    every = [r for r in R.PATTERN_RULES if r[3] in ("all", "formal", "academic")]
+    cut = lambda name, regex: f"SELECT doc_id, text, '{name}' AS rule_id, string_split_regex(text, {D.quoted(regex)}) AS g, regexp_extract_all(text, {D.quoted(regex)}) AS m FROM ar"
+    spans = lambda a, b: f"{b} AS (SELECT doc_id, text, rule_id, m[i] AS surface, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {a}))"
+    left, right = "substr(text, greatest(start - 60, 0) + 1, start - greatest(start - 60, 0))", "substr(text, stop + 1, 60)"
+    end = "'[.!?؟؛…\\n]'"
+    where = {
+        "match": "surface", "window": f"{left} || surface || {right}",
+        "sentence": f"string_split_regex(substr(text, 1, start), {end})[-1] || surface || string_split_regex(substr(text, stop + 1), {end})[1]",
+    }
+    tests, to = [], []
+    for name, regex, suggestion, _, before, after, exception, scope in every:
+        t = [f"regexp_matches({left}, {D.quoted(f'(?:{before}){chr(92)}z')})"] if before else []
+        t += [f"regexp_matches({right}, {D.quoted(f'{chr(92)}A(?:{after})')})"] if after else []
+        t += [f"NOT regexp_matches({where[scope]}, {D.quoted(exception)})"] if exception else []
+        tests.append(f"WHEN '{name}' THEN {' AND '.join(t) or 'true'}")
+        to.append(f"WHEN '{name}' THEN regexp_replace(surface, {D.quoted(regex)}, {D.quoted(suggestion.replace('$', chr(92)))}, 'g')")
+    blocked = "CASE rule_id " + " ".join(f"WHEN '{n}' THEN '{b}'" for n, _, b in R.EXCEPTION_RULES) + " END"
+    return (
+        "pr0 AS (" + " UNION ALL ".join(cut(r[0], r[1]) for r in every) + ")", spans("pr0", "pr1"),
+        "ex0 AS (" + " UNION ALL ".join(cut(n, p) for n, p, _ in R.EXCEPTION_RULES) + ")", spans("ex0", "ex1"),
+        f"ex2 AS (SELECT doc_id, {blocked} AS rule_id, start, start + length(surface) AS stop FROM ex1)", "pr2 AS (SELECT *, start + length(surface) AS stop FROM pr1)",
+        f"pr3 AS (SELECT doc_id, rule_id, start, stop, CASE rule_id {' '.join(to)} END AS suggestion FROM pr2 WHERE CASE rule_id {' '.join(tests)} END AND NOT EXISTS (SELECT 1 FROM ex2 WHERE ex2.doc_id = pr2.doc_id AND ex2.rule_id = pr2.rule_id AND ex2.start < pr2.stop AND pr2.start < ex2.stop))",
+    )
+
+
+def light_verbs() -> str:
+    rows = tuple((p + a, n, p + dict(zip(("masculine", "feminine", "plural"), v, strict=True))[g]) for a, g in R.AUXILIARIES for p in ("", "و", "ف") for n, *v in R.NOMINALIZATIONS)
+    fixed = ", ".join("(" + ", ".join(map(D.quoted, r)) + ")" for r in rows)
+    return f"SELECT doc_id, 'STYLE_LIGHT_VERB_NOMINALIZATION' AS rule_id, start, r.stop AS stop, x.verb AS suggestion, round(least(coalesce(sure, 0.85), r.sure) * 0.9, 6)::DOUBLE AS confidence FROM w4 JOIN (VALUES {fixed}) x(aux, noun, verb) ON form = aux AND r.lemma = noun WHERE r.pos = 'verbal_noun' AND r.preposition <> ''"
+
+
+def sentence_words() -> str:
+    """``sw``: Arabic words with the stretch they stand in and their analysis."""
+    return ", ".join((
+        D.tokens("ar"),
+        f"v1 AS (SELECT doc_id, idx, start, stop, piece, kind, {D.normalize('piece', 'lookup')} AS form, sum(((kind = 'punctuation' AND regexp_matches(piece, '[.!?؟؛…]')) OR (kind = 'whitespace' AND contains(piece, chr(10))))::INT) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS sent FROM t)",
+        "v2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY idx) AS place FROM v1 WHERE kind = 'arabic')", analyses("SELECT DISTINCT form FROM v2"),
+        "bs AS (SELECT *, round(least(0.999, confidence * 0.82 + least(0.18, margin * 0.6)), 6)::DOUBLE AS sure FROM an WHERE rank = 1 AND confidence >= 0.55)",
+        "sw AS (SELECT v2.*, lemma, pos, sure FROM v2 LEFT JOIN bs USING (form))",
+    ))
+
+
+def dense_sentences(words: int, nouns: int, links: int) -> str:
+    link = f"form IN {listed(R.CONNECTIVES)} OR (length(form) > 2 AND left(form, 1) IN ('و', 'ف'))"
+    return (
+        f"SELECT doc_id, 'STYLE_NOMINALIZATION_DENSITY' AS rule_id, min(start) AS start, least(max(stop), min(start) + 48) AS stop, count(*)::BIGINT AS words, count(*) FILTER (pos = 'verbal_noun')::BIGINT AS nouns, count(*) FILTER ({link})::BIGINT AS links FROM sw GROUP BY doc_id, sent "
+        f"HAVING count(*) >= {words} AND count(*) FILTER (pos = 'verbal_noun') >= {nouns} AND count(*) FILTER (pos = 'verbal_noun') > 2 * count(*) FILTER (pos = 'verb') AND count(*) FILTER ({link}) >= {links}"
+    )
+
+
+def contradictions() -> str:
+    """By self-joins, where the operator uses windows."""
+    bare = "CASE WHEN length(n.form) > 2 AND left(n.form, 1) IN ('و', 'ف') THEN substr(n.form, 2) ELSE n.form END"
+    same = "{0}.doc_id = v.doc_id AND {0}.sent = v.sent"
+    return (
+        f"SELECT v.doc_id, 'SEMANTIC_EXPLICIT_SELF_CONTRADICTION' AS rule_id, n.start AS start, v.stop AS stop, v.lemma, round(least(0.985, v.sure), 6)::DOUBLE AS confidence FROM sw v JOIN sw n ON {same.format('n')} AND n.place = v.place - 1 AND {bare} IN {listed(R.NEGATORS)} "
+        f"JOIN sw p ON {same.format('p')} AND p.place = (SELECT max(q.place) FROM sw q WHERE {same.format('q')} AND q.place < v.place AND q.lemma = v.lemma AND q.pos = 'verb') WHERE v.pos = 'verb' AND n.place - p.place <= 8 "
+        f"AND NOT EXISTS (SELECT 1 FROM sw m WHERE {same.format('m')} AND m.place > p.place AND m.place <= v.place AND m.form IN {listed(R.TEMPORAL)})"
+    )
+
+
+def senses(gate: str = "coalesce(sure, 0) < 0.86 OR gap <= 0.08") -> str:
+    """``sn``: readings of ambiguous words with their probabilities."""
+    at = lambda f, k, c: f"{f}({c}, {k}) OVER x"
+    near = ", ".join(f"'{s}{k}:' || {at(f, k, 'form')}, '{s}_pos{k}:' || {at(f, k, 'pos')}" for s, f in (("left", "lag"), ("right", "lead")) for k in (1, 2))
+    edges = f"CASE WHEN place = 1 THEN 'bos' END, CASE WHEN {at('lead', 1, 'form')} IS NULL THEN 'eos' END, CASE WHEN starts_with({at('lead', 1, 'form')}, 'ال') THEN 'next_definite' END, 'bias'"
+    return ", ".join((
+        f"sf AS (SELECT doc_id, idx, form, sure, [{near}, {edges}] AS features FROM sw WINDOW x AS (PARTITION BY doc_id, sent ORDER BY place))",
+        "rd AS (SELECT form, pos, lemma, max(confidence) AS confidence FROM an GROUP BY ALL)",
+        "re AS (SELECT form, list(confidence ORDER BY confidence DESC) AS cs FROM rd GROUP BY form HAVING count(*) >= 2)",
+        D.lexicon("sx", "pos, feature, w", R.SENSE_WEIGHTS),
+        f"sa AS (SELECT doc_id, idx, sf.form, pos, lemma, confidence, features FROM (SELECT sf.*, round(cs[1] - cs[2], 6) AS gap FROM sf JOIN re USING (form)) sf JOIN rd USING (form) WHERE {gate})",
+        "sb AS (SELECT doc_id, idx, form, sa.pos, lemma, coalesce(sum(round(w * 1000)::BIGINT), 0)::DOUBLE / 1000 + ln(confidence) * 0.08 AS score FROM sa LEFT JOIN sx ON sx.pos = sa.pos AND list_contains(features, feature) GROUP BY doc_id, idx, form, sa.pos, lemma, confidence)",
+        "sc AS (SELECT *, exp((score - max(score) OVER (PARTITION BY doc_id, idx)) / 0.82) AS e FROM sb)", "sn AS (SELECT doc_id, idx, form, pos, lemma, round(e / sum(e) OVER (PARTITION BY doc_id, idx), 5)::DOUBLE AS prob FROM sc)",
+    ))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from warraq.functions.text import normalize, tokens
-from warraq.operators import morphology, syntax
+from warraq.operators import morphology, pattern_rules, rules, senses, style, syntax
 from warraq.plans import duck as D
 from warraq.plans import grammar_sql as G
-from warraq.plans.registry import SPAN, long, query
-from warraq.sources.corpus import grammar
+from warraq.plans.registry import SPAN, docs, long, query
+from warraq.sources.corpus import arabic, grammar
 
 ANALYSIS = ("form", "lemma", "root", "pattern", "pos", "gender", "number", "definite", "preposition", "tense")
 
@@ -45,3 +45,65 @@ def token_cases(spark, sf):
 @query(D.sql(G.corpus(), G.relations(), G.checks()))
 def syntax_checks(spark, sf):
     return syntax.checks(_relations(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+def _active() -> list[pattern_rules.PatternRule]:
+    return pattern_rules.rules(("formal", "academic"))
+
+
+@query(D.sql(G.corpus(), *G.pattern_rules(), "SELECT doc_id, rule_id, start, stop, suggestion FROM pr3"))
+def pattern_rule_matches(spark, sf):
+    return pattern_rules.matches(grammar(spark, sf), _active()).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+def _sentence_words(spark, sf):
+    return style.sentence_words(grammar(spark, sf), morphology.lexemes(spark))
+
+
+@query(D.sql(G.corpus(), G.relations(), G.light_verbs()))
+def light_verbs(spark, sf):
+    return style.light_verbs(syntax.pairs(syntax.parsed(grammar(spark, sf), morphology.lexemes(spark)))).select("doc_id", "rule_id", *long(*SPAN), "suggestion", "confidence")
+
+
+@query(D.sql(G.corpus(), G.sentence_words(), G.dense_sentences(6, 1, 1)))
+def dense_sentences(spark, sf):
+    """With lower thresholds than the defaults, as the sentences of the corpus are short."""
+    return style.dense_sentences(_sentence_words(spark, sf), 6, 1, 1).select("doc_id", "rule_id", *long(*SPAN), "words", "nouns", "links")
+
+
+@query(D.sql(G.corpus(), G.sentence_words(), G.contradictions()))
+def contradictions(spark, sf):
+    return style.contradictions(_sentence_words(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "lemma", "confidence")
+
+
+@query(D.sql(D.arabic(), D.hits(), "SELECT h.doc_id, rule_id, start, stop, substr(text, start + 1, stop - start) AS source, CASE category WHEN 'spelling' THEN 'correctness' WHEN 'style' THEN 'clarity' WHEN 'dialect' THEN 'register' END AS why, CASE WHEN category = 'spelling' THEN 'safe_autofix' ELSE 'review_required' END AS decision FROM h JOIN ar USING (doc_id)"))
+def explained_matches(spark, sf):
+    ar = arabic(spark, sf)
+    return style.explanations(rules.literal_hits(ar, rules.rule_table(spark)), ar).select("doc_id", "rule_id", *long(*SPAN), "source", "why", "decision")
+
+
+@query(D.sql(D.arabic(), D.hits(), "SELECT doc_id, rule_id, start, stop, CASE WHEN category = 'style' AND doc_id % 3 > 0 THEN CASE WHEN doc_id % 5 >= 2 THEN 'voice:divergent' ELSE 'voice:aligned' END END AS tag, (priority + CASE WHEN category = 'style' AND doc_id % 3 > 0 THEN CASE WHEN doc_id % 5 >= 2 THEN 1 ELSE -1 END ELSE 0 END)::INT AS priority FROM h"))
+def personalized_matches(spark, sf):
+    ar = arabic(spark, sf)
+    far = ar.select("doc_id", (F.col("doc_id") % 5 / 4).alias("drift"), (F.col("doc_id") % 3 > 0).alias("reliable"))
+    return style.personalized(rules.literal_hits(ar, rules.rule_table(spark)), far).select("doc_id", "rule_id", *long(*SPAN), "tag", "priority")
+
+
+@query("""WITH t AS (SELECT doc_id, ['neutral', 'formal', 'conversational', 'persuasive', 'objective'][doc_id % 5 + 1] AS tone, (doc_id % 7)::DOUBLE / 6 AS sig FROM documents),
+c AS (SELECT doc_id, unnest(['academic', 'formal', 'casual', 'persuasive']) AS target, unnest([CASE WHEN tone IN ('conversational', 'neutral') THEN 0.92 ELSE 0.70 END, greatest(0.68, least(0.98, 0.72 + sig * 0.24)), CASE WHEN tone IN ('formal', 'objective') THEN 0.82 ELSE 0.64 END, CASE WHEN tone = 'persuasive' THEN 0.55 ELSE 0.86 END]::DOUBLE[]) AS rel FROM t),
+r AS (SELECT doc_id, target, round(rel, 6)::DOUBLE AS relevance FROM c) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, target) AS rank FROM r""")
+def suggestion_chips(spark, sf):
+    names = F.array(*map(F.lit, ("neutral", "formal", "conversational", "persuasive", "objective")))
+    tone = docs(spark, sf).select("doc_id", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("tone"), (F.col("doc_id") % 7 / 6).alias("dialect_signal"))
+    return style.chips(tone)
+
+
+@query(D.sql(G.corpus(), G.sentence_words(), G.senses(), "k AS (SELECT *, row_number() OVER x AS rank, round(prob - lead(prob) OVER x, 5)::DOUBLE AS margin FROM sn WINDOW x AS (PARTITION BY doc_id, idx ORDER BY prob DESC, pos, lemma))", "SELECT doc_id, idx, form, pos, lemma, prob, margin, prob >= 0.78 AND margin >= 0.18 AS accepted FROM k WHERE rank = 1"))
+def sense_selection(spark, sf):
+    return senses.chosen(senses.scored(_sentence_words(spark, sf), morphology.lexemes(spark))).select("doc_id", *long("idx"), "form", "pos", "lemma", "prob", "margin", "accepted")
+
+
+@query(D.sql(G.corpus(), G.sentence_words(), G.senses("true"), "SELECT doc_id, idx, string_agg(DISTINCT pos || ':' || lemma, '|' ORDER BY pos || ':' || lemma) AS labels, CASE WHEN max(prob) >= 0.7 THEN max({'p': prob, 'l': pos || ':' || lemma}).l END AS selected FROM sn GROUP BY doc_id, idx"))
+def student_examples(spark, sf):
+    """At a lower certainty than the default, which no reading of the corpus reaches."""
+    return senses.student_rows(senses.scored(_sentence_words(spark, sf), morphology.lexemes(spark), every=True), 0.7).select("doc_id", *long("idx"), "labels", "selected")
