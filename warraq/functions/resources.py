@@ -152,3 +152,20 @@ SENSE_WEIGHTS = (
     ("verb", "bias", 0.1), ("noun", "bias", 0.2), ("adjective", "bias", 0.05), ("verbal_noun", "bias", 0.1), ("verb", "bos", 1.4), ("noun", "left_pos1:verb", 0.8), ("verb", "right_pos1:noun", 1.1),
     ("noun", "left1:في", 1.9), ("noun", "left1:هذا", 1.7), ("verb", "left1:لم", 2.1), ("noun", "right_pos1:adjective", 0.9), ("noun", "eos", 0.3), ("verb", "next_definite", 0.4), ("noun", "left_pos2:verb", 0.2),
 )
+#: Dialect word, its standard form, confidence.
+MSA_FORMS = (
+    ("شلونك", "كيف حالك", 0.92), ("شكو", "ماذا يوجد", 0.84), ("ماكو", "لا يوجد", 0.9), ("چاي", "شاي", 0.88), ("گهوة", "قهوة", 0.9), ("ازيك", "كيف حالك", 0.92), ("دلوقتي", "الآن", 0.94),
+    ("ايه", "ماذا", 0.8), ("كيفك", "كيف حالك", 0.9), ("شو", "ماذا", 0.86), ("هلق", "الآن", 0.92), ("بدك", "تريد", 0.78),
+)
+#: Word of wanting before a verb, and the standard verb for it.
+DESIRE_FORMS = (("بدي", "أريد"), ("بدك", "تريد"), ("بده", "يريد"), ("عايز", "أريد"), ("اريد", "أريد"))
+#: Final mark by case for definite and indefinite words.
+ENDINGS = (("genitive", "\u0650", "\u064d"), ("nominative", "\u064f", "\u064c"), ("subjunctive", "\u064e", "\u064e"), ("jussive", "\u0652", "\u0652"))
+#: Replacements by rewriting mode, applied in this order within an edit budget.
+REWRITES = {
+    "formal": (("شكرا", "نشكركم"), ("نعم", "أجل"), ("جدا", "للغاية"), ("يا صديقي", "عزيزي القارئ")),
+    "concise": CONCISE,
+    "creative": (("ذهبت", "مضيت"), ("جميلا", "بديعا"), ("كبيرة", "فسيحة"), ("كثير", "وفير")),
+    "academic": (("أنا سعيد", "من المرضي"), ("يجب", "ينبغي"), ("قال", "ذكر"), ("مذهل", "لافت")),
+    "expand": ((". ", ". وعلاوة على ذلك، "), ("؛ ", "؛ وبناء على ذلك، ")),
+}

@@ -39,5 +39,5 @@ def literal_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     runs = runs.withColumns({"gap": F.lead("piece", 1).over(order), "second": F.lead("piece", 2).over(order)})
     one = F.struct(F.col("piece").alias("surface"), "start", "stop")
     two = F.struct(F.concat_ws(" ", "piece", "second").alias("surface"), "start", (F.col("stop") + 1 + F.char_length("second")).alias("stop"))
-    forms = F.when(F.col("gap") == " ", F.array(one, two)).otherwise(F.array(one))
+    forms = F.when((F.col("gap") == " ") & F.col("second").isNotNull(), F.array(one, two)).otherwise(F.array(one))
     return runs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.*").join(F.broadcast(rules), "surface").drop("surface", "words")

@@ -169,3 +169,25 @@ def senses(gate: str = "coalesce(sure, 0) < 0.86 OR gap <= 0.08") -> str:
         "sb AS (SELECT doc_id, idx, form, sa.pos, lemma, coalesce(sum(round(w * 1000)::BIGINT), 0)::DOUBLE / 1000 + ln(confidence) * 0.08 AS score FROM sa LEFT JOIN sx ON sx.pos = sa.pos AND list_contains(features, feature) GROUP BY doc_id, idx, form, sa.pos, lemma, confidence)",
         "sc AS (SELECT *, exp((score - max(score) OVER (PARTITION BY doc_id, idx)) / 0.82) AS e FROM sb)", "sn AS (SELECT doc_id, idx, form, pos, lemma, round(e / sum(e) OVER (PARTITION BY doc_id, idx), 5)::DOUBLE AS prob FROM sc)",
     ))
+
+
+def conversions() -> str:
+    """``cv``: standard forms of dialect words over the tokens of ``ar``."""
+    return ", ".join((
+        D.lexicon("ms", "form, suggestion, confidence", R.MSA_FORMS), D.lexicon("ds", "form, want", R.DESIRE_FORMS),
+        f"y1 AS (SELECT *, {D.normalize('piece', 'lookup')} AS form FROM t)",
+        "y2 AS (SELECT *, lead(kind) OVER x AS gap, lead(form, 2) OVER x AS verb, lead(kind, 2) OVER x AS vk, lead(stop, 2) OVER x AS vs FROM y1 WINDOW x AS (PARTITION BY doc_id ORDER BY idx))",
+        "cv AS (SELECT doc_id, start, stop, suggestion, confidence, 'DIALECT_WORD' AS rule_id, 'hint' AS severity, 45 AS priority FROM y2 JOIN ms USING (form) WHERE kind = 'arabic' AND confidence >= 0.76 UNION ALL "
+        "SELECT doc_id, start, vs, want || ' أن ' || verb, 0.9, 'DIALECT_DESIRE', 'hint', 60 FROM y2 JOIN ds USING (form) WHERE kind = 'arabic' AND gap = 'whitespace' AND vk = 'arabic' AND length(verb) >= 4 AND left(verb, 1) IN ('ي', 'ت', 'ن', 'أ'))",
+    ))
+
+
+def endings() -> tuple[str, str]:
+    case = "CASE m.r WHEN 'DEMONSTRATIVE' THEN 'follows' WHEN 'NAAT' THEN 'follows' WHEN 'IDAFA' THEN 'genitive' WHEN 'PREPOSITION_OBJECT' THEN 'genitive' WHEN 'JUSSIVE_VERB' THEN 'jussive' WHEN 'SUBJECT' THEN 'nominative' ELSE 'subjunctive' END"
+    pick = "CASE c " + " ".join(f"WHEN '{c}' THEN CASE WHEN definite THEN '{x}' ELSE '{y}' END" for c, x, y in R.ENDINGS) + " END"
+    return (
+        f"kc AS (SELECT doc_id, dependent, m.h AS head, {case} AS c FROM (SELECT doc_id, dependent, max({{'c': conf, 'r': relation, 'h': head}}) AS m FROM rel GROUP BY ALL))",
+        f"SELECT doc_id, idx, piece, c AS \"case\", bare || {pick} AS marked FROM (SELECT w2.*, regexp_replace(piece, '[{D.X.MARKS}]+$', '') AS bare, c FROM w2 JOIN "
+        "(SELECT k.doc_id, k.dependent, CASE WHEN k.c = 'follows' THEN h.c ELSE k.c END AS c FROM kc k LEFT JOIN kc h ON h.doc_id = k.doc_id AND h.dependent = k.head AND h.c <> 'follows') z ON z.doc_id = w2.doc_id AND z.dependent = w2.idx) q "
+        "WHERE number = 'singular' AND c IS NOT NULL AND right(bare, 1) NOT IN ('ا', 'ى', 'ي', 'و')",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from warraq.functions.text import normalize, tokens
-from warraq.operators import morphology, pattern_rules, rules, senses, style, syntax
+from warraq.operators import conversion, editing, morphology, pattern_rules, rewriting, rules, senses, spans, style, syntax
 from warraq.plans import duck as D
 from warraq.plans import grammar_sql as G
 from warraq.plans.registry import SPAN, docs, long, query
@@ -37,7 +37,7 @@ def syntax_relations(spark, sf):
     return _relations(spark, sf).select("doc_id", "relation", "head", "dependent", "confidence")
 
 
-@query(D.sql(G.corpus(), G.relations(), "m AS (SELECT doc_id, dependent, max({'c': conf, 'r': relation}) AS m FROM rel GROUP BY ALL)", "SELECT doc_id, dependent, m.r AS relation, m.c AS confidence, CASE m.r WHEN 'DEMONSTRATIVE' THEN 'follows' WHEN 'NAAT' THEN 'follows' WHEN 'IDAFA' THEN 'genitive' WHEN 'PREPOSITION_OBJECT' THEN 'genitive' WHEN 'JUSSIVE_VERB' THEN 'jussive' WHEN 'SUBJECT' THEN 'nominative' ELSE 'subjunctive' END AS \"case\" FROM m"))
+@query(D.sql(G.corpus(), G.relations(), "m AS (SELECT doc_id, dependent, max({'c': conf, 'r': relation, 'h': head}) AS m FROM rel GROUP BY ALL)", "SELECT doc_id, dependent, m.r AS relation, m.h AS head, m.c AS confidence, CASE m.r WHEN 'DEMONSTRATIVE' THEN 'follows' WHEN 'NAAT' THEN 'follows' WHEN 'IDAFA' THEN 'genitive' WHEN 'PREPOSITION_OBJECT' THEN 'genitive' WHEN 'JUSSIVE_VERB' THEN 'jussive' WHEN 'SUBJECT' THEN 'nominative' ELSE 'subjunctive' END AS \"case\" FROM m"))
 def token_cases(spark, sf):
     return syntax.cases(_relations(spark, sf))
 
@@ -107,3 +107,54 @@ def sense_selection(spark, sf):
 def student_examples(spark, sf):
     """At a lower certainty than the default, which no reading of the corpus reaches."""
     return senses.student_rows(senses.scored(_sentence_words(spark, sf), morphology.lexemes(spark), every=True), 0.7).select("doc_id", *long("idx"), "labels", "selected")
+
+
+@query(D.sql(D.arabic(), D.tokens("ar"), G.conversions(), D.resolved("cv"), "SELECT DISTINCT r.doc_id, r.rule_id, r.start, r.stop, suggestion FROM r JOIN cv USING (doc_id, rule_id, start, stop)"))
+def standard_forms(spark, sf):
+    return spans.resolve(conversion.to_standard(arabic(spark, sf))).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+@query(D.sql(G.corpus(), G.relations(), *G.endings()))
+def case_endings(spark, sf):
+    words = syntax.parsed(grammar(spark, sf), morphology.lexemes(spark))
+    cases = conversion.settled(syntax.cases(syntax.relations(syntax.pairs(words))))
+    return conversion.marked(words, cases).select("doc_id", *long("idx"), "piece", "case", "marked")
+
+
+@query(D.sql(G.corpus(), G.relations(), "a AS (SELECT doc_id, avg(coalesce(sure, 0)) AS w, count(*)::BIGINT AS words FROM w2 GROUP BY doc_id)", "b AS (SELECT doc_id, avg(conf) AS r, count(*)::BIGINT AS relations FROM rel GROUP BY doc_id)", "SELECT doc_id, words, coalesce(relations, 0) AS relations, round(w * 0.72 + coalesce(r, w) * 0.28, 5)::DOUBLE AS confidence FROM a LEFT JOIN b USING (doc_id)"))
+def parse_confidence(spark, sf):
+    words = syntax.parsed(grammar(spark, sf), morphology.lexemes(spark))
+    return syntax.parse_confidence(words, syntax.relations(syntax.pairs(words)))
+
+
+_EDITS = """ed AS (SELECT doc_id, 1 AS version, doc_id % 10 AS a, doc_id % 10 + 3 AS b, 'XY' AS put FROM ar UNION ALL SELECT doc_id, 2, 0, 0, '😀' FROM ar
+UNION ALL SELECT doc_id, 3, CASE WHEN doc_id % 7 > 0 THEN 5 END, 6, CASE WHEN doc_id % 7 > 0 THEN '' ELSE 'new' END FROM ar),
+st AS (SELECT doc_id, text, 0 AS version FROM ar UNION ALL SELECT st.doc_id, CASE WHEN a IS NULL THEN put ELSE substr(text, 1, a) || put || substr(text, b + 1) END, ed.version FROM st JOIN ed ON ed.doc_id = st.doc_id AND ed.version = st.version + 1)"""
+
+
+@query("WITH RECURSIVE" + D.sql(G.corpus(), _EDITS, "SELECT doc_id, text, version FROM st WHERE version = 3").removeprefix("WITH"))
+def edit_replay(spark, sf):
+    g = grammar(spark, sf)
+    edit = lambda v, a, b, put: g.select("doc_id", F.lit(v).alias("version"), a.cast("long").alias("start"), b.cast("long").alias("stop"), put.alias("text"))
+    k, some = F.col("doc_id") % 10, F.col("doc_id") % 7 > 0
+    edits = edit(3, F.when(some, 5), F.lit(6), F.when(some, "").otherwise("new")).unionByName(edit(1, k, k + 3, F.lit("XY"))).unionByName(edit(2, F.lit(0), F.lit(0), F.lit("😀")))
+    return editing.replay(g, edits)
+
+
+_EDITED = "concat(left(text, (20 + doc_id % 60)::INT), ' الى هذة ', substr(text, (24 + doc_id % 60)::INT))"
+
+
+@query(D.sql(D.arabic().replace(" ar AS ", " was AS "), f"ar AS (SELECT doc_id, lang, source, {_EDITED} AS text FROM was)", D.hits(), "SELECT doc_id, rule_id, start, stop, suggestion FROM h"))
+def incremental_check(spark, sf):
+    """One edit to every text, checked about the edit alone; the oracle checks the whole new texts."""
+    old = arabic(spark, sf)
+    at = (F.col("doc_id") % 60).cast("int")
+    new = old.withColumn("text", F.concat(F.substring("text", F.lit(1), at + 20), F.lit(" الى هذة "), F.substring("text", at + 24, F.char_length("text"))))
+    check = lambda d: rules.literal_hits(d, rules.rule_table(spark)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+    return editing.recheck(old, new, check(old), check).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+@query()
+def rewrite_budgeted(spark, sf):
+    """Tested against examples and properties: the budget is spent in order."""
+    return rewriting.rewrite(arabic(spark, sf), "academic").drop("log")
