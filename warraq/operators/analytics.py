@@ -153,3 +153,34 @@ def spelling_neighbours(docs: DataFrame) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(1), F.char_length("form")), lambda i: F.concat(F.substring("form", F.lit(1), i - 1), F.substring("form", i + 1, F.char_length("form"))))
     keys = forms.select("form", F.explode(F.array_distinct(F.concat(F.array("form"), cut))).alias("key"))
     return keys.alias("a").join(keys.alias("b"), "key").where("a.form < b.form").select(F.col("a.form").alias("left_form"), F.col("b.form").alias("right_form")).distinct()
+
+
+#: Words that address a reader's question.
+MARKERS = ("لذلك", "لأن", "مثال", "النتيجة")
+
+
+def engagement(docs: DataFrame) -> DataFrame:
+    """Engagement by document from clarity, questions, markers, variety of sentence lengths and type-token ratio.
+
+    A sentence is what stands between terminators or line ends and holds a word.
+    """
+    ends = ((F.col("kind") == "punctuation") & F.col("piece").rlike(r"[.!?؟؛…]")) | ((F.col("kind") == "whitespace") & F.col("piece").contains("\n"))
+    t = tokens(docs).withColumn("sent", F.sum(ends.cast("long")).over(in_order())).where("kind in ('arabic', 'latin')")
+    lengths = t.groupBy("doc_id", "sent").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.array_sort(F.collect_list("n")).alias("ns"))
+    # in whole numbers, so that the order of addition does not matter: sum |k*n - total| / (k * total)
+    off = F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + F.abs(n * F.col("k") - F.col("total")))
+    variety = F.when(F.col("k") > 1, F.least(F.lit(1.0), off / (F.col("k") * F.greatest(F.col("total"), F.col("k"))))).otherwise(0.0)
+    lengths = lengths.select("doc_id", variety.alias("variety"))
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    base = docs.select("doc_id", F.coalesce(count("[?؟]"), F.lit(0)).alias("q"), F.coalesce(count("|".join(MARKERS)), F.lit(0)).alias("m"))
+    rows = base.join(readability(docs).select("doc_id", "clarity"), "doc_id").join(vocabulary(docs).select("doc_id", "ttr"), "doc_id", "left").join(lengths, "doc_id", "left")
+    value = F.col("clarity") * 0.52 + F.least(F.lit(15.0), F.col("q") * 3.0) + F.least(F.lit(12.0), F.col("m") * 2.0) + F.coalesce("variety", F.lit(0.0)) * 14.0 + F.least(F.lit(7.0), F.coalesce("ttr", F.lit(0.0)) * 10.0)
+    return rows.select("doc_id", F.round(clamp(value), 4).alias("engagement"), F.round(F.coalesce("variety", F.lit(0.0)), 6).alias("variety"))
+
+
+def tone_balance(scores: DataFrame) -> DataFrame:
+    """Entropy of the scores of ``doc_id, tone, score`` as a share of the most it could be, in hundredths; 0 with one tone."""
+    total = Window.partitionBy("doc_id")
+    p = F.col("score") / F.sum("score").over(total)
+    rows = scores.where("score > 0").withColumn("p", p).groupBy("doc_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count(F.lit(1)).alias("n"), F.max_by("tone", F.struct("score", "tone")).alias("dominant"))
+    return rows.select("doc_id", "dominant", F.round(F.when(F.col("n") > 1, clamp(F.col("h") / F.log2("n") * 100)).otherwise(0.0), 4).alias("balance"))

@@ -41,3 +41,26 @@ def literal_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     two = F.struct(F.concat_ws(" ", "piece", "second").alias("surface"), "start", (F.col("stop") + 1 + F.char_length("second")).alias("stop"))
     forms = F.when((F.col("gap") == " ") & F.col("second").isNotNull(), F.array(one, two)).otherwise(F.array(one))
     return runs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.*").join(F.broadcast(rules), "surface").drop("surface", "words")
+
+
+#: Confidence and priority of a rule that gives none, by category; other categories have 0.8 and 0.
+DEFAULTS = {"spelling": (0.99, 80), "punctuation": (0.98, 70), "grammar": (0.9, 60), "style": (0.72, 20), "dialect": (0.72, 30)}
+RULE_ROW = "id string, category string, severity string, pattern string, suggestion string, confidence double, priority int, autofix boolean, profile string"
+
+
+def canonical(rows: DataFrame) -> DataFrame:
+    """Rules with defaults for what they leave out; one without an id, category or pattern is an error."""
+    by = lambda k, other: F.coalesce(F.create_map(*[F.lit(x) for c, v in DEFAULTS.items() for x in (c, v[k])])[F.col("category")], F.lit(other))
+    severity = F.coalesce("severity", F.lit("error"))
+    sound = F.when(F.col("id").rlike(r"\A[A-Z0-9_:\-]+\z") & F.col("category").isNotNull() & (F.col("pattern") != ""), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("rule is not sound: "), F.coalesce("id", F.lit("no id")))))
+    return rows.select(
+        sound.alias("id"), "category", severity.alias("severity"), "pattern", "suggestion", F.coalesce("confidence", by(0, 0.8)).alias("confidence"),
+        F.coalesce("priority", by(1, 0)).alias("priority"), F.coalesce("autofix", (F.col("category") == "spelling") & (severity == "error")).alias("autofix"), F.coalesce("profile", F.lit("all")).alias("profile"),
+    )
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical rules from JSON lines; a malformed line or an id that occurs twice is an error."""
+    rows = canonical(spark.read.schema(RULE_ROW).option("mode", "FAILFAST").json(path))
+    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return rows.withColumn("n", n).withColumn("id", F.when(F.col("n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("id occurs twice: "), F.col("id"))))).drop("n")

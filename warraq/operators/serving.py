@@ -58,3 +58,9 @@ def softmax(rows: DataFrame, key: str, value: str, temperature: float = 0.82) ->
     by = Window.partitionBy(key)
     e = F.exp((F.col(value) - F.max(value).over(by)) / temperature)
     return rows.withColumn("e", e).withColumn("prob", F.round(F.col("e") / F.sum("e").over(by), 5)).drop("e")
+
+
+def sized(docs: DataFrame, most: int = 50_000) -> DataFrame:
+    """Each document with its length and whether it is short enough to be served; a null text counts as empty."""
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", n.alias("n"), (n <= most).alias("accepted"))

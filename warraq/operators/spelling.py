@@ -77,3 +77,22 @@ def suggestions(docs: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
     score = F.round(2.9 * F.col("distance") - 0.16 * F.log1p("frequency"), 6)
     rank = F.row_number().over(Window.partitionBy("form").orderBy("score", "candidate"))
     return near.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def decisions(suggested: DataFrame, sure: DataFrame, margin: float = 0.28, near_margin: float = 0.12) -> DataFrame:
+    """Which words of suggestions() are wrong: ``form, candidate, confidence, reason``.
+
+    ``sure(form, confidence)`` holds the best morphological confidence of forms: a word of 0.72 or more
+    is right, and a candidate's counts in its favour. Words with letters of dialects are left alone.
+    """
+    by = F.struct("distance", "score", "candidate", "frequency")
+    per = suggested.groupBy("form").agg(F.max(F.when(F.col("rank") == 1, by)).alias("best"), F.max(F.when(F.col("rank") == 2, by)).alias("second"))
+    own = sure.groupBy("form").agg(F.max("confidence").alias("own"))
+    its = own.withColumnRenamed("form", "candidate").withColumnRenamed("own", "its")
+    rows = per.join(own, "form", "left").withColumn("candidate", F.col("best.candidate")).join(its, "candidate", "left")
+    d, gap = F.col("best.distance"), F.col("second.score") - F.col("best.score")
+    value = 0.58 + F.greatest(F.lit(0.0), 1 - d / 1.2) * 0.20 + F.least(F.lit(1.0), F.coalesce(gap / 1.2, F.lit(1.0))) * 0.10 + F.least(F.lit(1.0), F.log1p("best.frequency") / 11) * 0.06 + F.coalesce("its", F.lit(0.0)) * 0.06
+    close = (d > 0.25) & (F.abs(F.col("second.distance") - d) <= 0.30)
+    thin = gap < F.when(d <= 0.25, near_margin).otherwise(margin)
+    reason = F.when(F.col("form").rlike("[چگپژڤ]"), "dialect_letter").when(F.col("own") >= 0.72, "known_form").when(F.coalesce(close | thin, F.lit(False)), "ambiguous").when(F.col("confidence") < 0.81, "low_confidence").otherwise("corrected")
+    return rows.withColumn("confidence", F.round(F.least(F.lit(0.995), value), 6)).select("form", "candidate", "confidence", reason.alias("reason"))

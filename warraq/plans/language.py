@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warraq.functions.text import normalize, tokens
-from warraq.operators import conversion, editing, morphology, pattern_rules, rewriting, rules, senses, spans, style, syntax
+from warraq.functions import resources as R
+from warraq.functions.text import WORD, normalize, tokens
+from warraq.operators import analytics, conversion, editing, morphology, pattern_rules, records, rewriting, rules, seed_suite, senses, serving, spans, spelling, style, syntax, wordpiece
 from warraq.plans import duck as D
 from warraq.plans import grammar_sql as G
 from warraq.plans.registry import SPAN, docs, long, query
-from warraq.sources.corpus import arabic, grammar
+from warraq.sources.corpus import arabic, grammar, table
 
 ANALYSIS = ("form", "lemma", "root", "pattern", "pos", "gender", "number", "definite", "preposition", "tense")
 
@@ -158,3 +159,85 @@ def incremental_check(spark, sf):
 def rewrite_budgeted(spark, sf):
     """Tested against examples and properties: the budget is spent in order."""
     return rewriting.rewrite(arabic(spark, sf), "academic").drop("log")
+
+
+@query("SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n, coalesce(length(text), 0) <= 50000 AS accepted FROM documents")
+def served_texts(spark, sf):
+    return serving.sized(docs(spark, sf))
+
+
+_BARE_RULES = tuple((r[0], r[1], r[3], r[4]) for r in R.RULES)
+
+
+@query(D.sql(D.lexicon("b", "id, pattern, category, severity", _BARE_RULES), "SELECT id, pattern, category, severity, CASE category WHEN 'spelling' THEN 0.99 ELSE 0.72 END::DOUBLE AS confidence, CASE category WHEN 'spelling' THEN 80 WHEN 'style' THEN 20 ELSE 30 END AS priority, category = 'spelling' AND severity = 'error' AS autofix, 'all' AS profile, NULL::VARCHAR AS suggestion FROM b"))
+def canonical_rules(spark, sf):
+    """The packaged rules stripped of what has a default."""
+    bare = spark.createDataFrame([(i, c, s, p, None, None, None, None, None) for i, p, c, s in _BARE_RULES], rules.RULE_ROW)
+    return rules.canonical(bare)
+
+
+#: Rules whose first occurrence is labelled.
+_LABELLED = tuple((r[0], r[1]) for r in R.RULES if r[0] not in ("ADDITION_ONE", "ACHIEVEMENT"))
+
+
+@query(D.sql(
+    D.arabic(), D.hits(), D.tokens("ar"), D.lexicon("lb", "rule_id, target", _LABELLED), "x AS (SELECT doc_id, rule_id, strpos(text, target) - 1 AS start, strpos(text, target) - 1 + length(target) AS stop FROM ar, lb WHERE contains(text, target))",
+    "f AS (SELECT x.doc_id IS NOT NULL AS e, a.doc_id IS NOT NULL AS a FROM x FULL JOIN (SELECT DISTINCT doc_id, rule_id, start, stop FROM h) a USING (doc_id, rule_id, start, stop))",
+    "n AS (SELECT count(*) FILTER (e AND a) AS tp, count(*) FILTER (a AND NOT e) AS fp, count(*) FILTER (e AND NOT a) AS fn, (SELECT count(*) FROM t WHERE kind = 'arabic') AS words FROM f)", "m AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM n)",
+    "SELECT tp, fp, fn, words, round(p, 6)::DOUBLE AS p, round(r, 6)::DOUBLE AS r, round(1.25 * p * r / (0.25 * p + r), 6)::DOUBLE AS f05, round(fp * 1000 / words, 6)::DOUBLE AS fp_per_1000 FROM m",
+))
+def seed_evaluation(spark, sf):
+    """First occurrences of the rules' patterns as labels, against what the rules find."""
+    ar = arabic(spark, sf)
+    expected = F.filter(F.array(*(F.struct(F.lit(r).alias("rule_id"), F.lit(p).alias("target")) for r, p in _LABELLED)), lambda x: F.contains(F.col("text"), x["target"]))
+    words = tokens(ar).where("kind = 'arabic'").agg(F.count(F.lit(1)).alias("words"))
+    return seed_suite.evaluate(seed_suite.labels(ar.select("doc_id", "text", expected.alias("expected"))), rules.literal_hits(ar, rules.rule_table(spark)), words)
+
+
+@query(D.distilled().replace("SELECT bad, good, support, example,", f"SELECT bad, good, support, regexp_matches(example, '(?:\\A|[^{WORD}])' || bad || '(?:\\z|[^{WORD}])') AND NOT regexp_matches(replace(example, bad, good), '(?:\\A|[^{WORD}])' || bad || '(?:\\z|[^{WORD}])') AS verified,"))
+def verified_rules(spark, sf):
+    ar = arabic(spark, sf).select("text")
+    fixed = F.col("text")
+    for bad, good in D.FIXES:
+        fixed = F.replace(fixed, F.lit(bad), F.lit(good))
+    found = records.distilled(ar.select(F.col("text").alias("original"), fixed.alias("corrected")).where("original <> corrected"))
+    return seed_suite.verified(found).select("bad", "good", "support", "verified", "rule_id")
+
+
+@query()
+def wordpiece_ids(spark, sf):
+    """Pairs of a grammar text and an Arabic one, by a vocabulary of single letters and lemmas."""
+    letters = [chr(c) for c in range(0x621, 0x64B)]
+    vocabulary = [*wordpiece.SPECIAL, *letters, *(f"##{x}" for x in letters), *dict.fromkeys(r[0] for r in R.LEXEMES)]
+    both = grammar(spark, sf).select("doc_id", F.col("text").alias("a")).join(arabic(spark, sf).select("doc_id", F.col("text").alias("b")), "doc_id")
+    return wordpiece.encode(both, vocabulary, "a", "b").select("doc_id", F.array_join("ids", " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda x, y: x + y).alias("n"), F.aggregate("types", F.lit(0), lambda x, y: x + y).alias("second"))
+
+
+_SENT = "sum(((kind = 'punctuation' AND regexp_matches(piece, '[.!?؟؛…]')) OR (kind = 'whitespace' AND contains(piece, chr(10))))::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS sent"
+
+
+@query(D.readability("f2 AS (SELECT 1)").removesuffix("f2 AS (SELECT 1)").rstrip() + ", " + D.sql(
+    f"ts AS (SELECT doc_id, kind, {_SENT} FROM t)", "sl AS (SELECT doc_id, sent, count(*) AS n FROM ts WHERE kind IN ('arabic', 'latin') GROUP BY ALL)", "sk AS (SELECT doc_id, count(*) AS k, sum(n) AS total FROM sl GROUP BY ALL)",
+    "sv AS (SELECT doc_id, CASE WHEN any_value(k) > 1 THEN least(1.0, sum(abs(n * k - total))::DOUBLE / any_value(k * greatest(total, k))) ELSE 0 END::DOUBLE AS variety FROM sl JOIN sk USING (doc_id) GROUP BY doc_id)",
+    "vt AS (SELECT doc_id, round(count(DISTINCT form) / count(*), 6) AS ttr FROM w GROUP BY doc_id)",
+    "SELECT doc_id, round(least(100, greatest(0, clarity * 0.52::DOUBLE + least(15.0::DOUBLE, len(regexp_extract_all(text, '[?؟]')) * 3.0::DOUBLE) + least(12.0::DOUBLE, len(regexp_extract_all(text, 'لذلك|لأن|مثال|النتيجة')) * 2.0::DOUBLE) + coalesce(variety, 0) * 14.0::DOUBLE + least(7.0::DOUBLE, coalesce(ttr, 0) * 10.0::DOUBLE))), 4)::DOUBLE AS engagement, round(coalesce(variety, 0), 6)::DOUBLE AS variety FROM documents JOIN f USING (doc_id) LEFT JOIN vt USING (doc_id) LEFT JOIN sv USING (doc_id)",
+).removeprefix("WITH "))
+def engagement(spark, sf):
+    return analytics.engagement(docs(spark, sf))
+
+
+@query("WITH s AS (SELECT user_id AS doc_id, event_type AS tone, count(*)::DOUBLE AS score FROM events GROUP BY ALL), p AS (SELECT *, score / sum(score) OVER (PARTITION BY doc_id) AS p FROM s), h AS (SELECT doc_id, -sum(p * log2(p)) AS h, count(*) AS n, max({'s': score, 't': tone}).t AS dominant FROM p GROUP BY doc_id) SELECT doc_id, dominant, round(CASE WHEN n > 1 THEN least(100, greatest(0, h / log2(n) * 100)) ELSE 0 END, 4)::DOUBLE AS balance FROM h")
+def tone_balance(spark, sf):
+    """Kinds of events of a user stand for tones of a document."""
+    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("tone")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return analytics.tone_balance(s)
+
+
+@query()
+def spell_decisions(spark, sf):
+    """The corpus of spell_suggestions, where some texts lack a letter."""
+    ar = arabic(spark, sf)
+    slip = F.concat(F.substring("text", F.lit(1), (F.col("doc_id") % 40 + 3).cast("int")), F.substring("text", (F.col("doc_id") % 40 + 5).cast("int"), F.char_length("text")))
+    s = spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))))
+    forms = s.select("form").union(s.select("candidate")).distinct()
+    return spelling.decisions(s, morphology.analyses(forms, morphology.lexemes(spark)).select("form", "confidence"))
