@@ -48,3 +48,9 @@ def test_context_changes_the_reading(spark):
     got = {r.doc_id: r.pos for r in senses.chosen(s).where("form = 'درس'").collect()}
     assert got == {0: "verb", 1: "noun", 2: "noun"}
     assert s.groupBy("doc_id", "idx").agg(F.abs(F.sum("prob") - 1).alias("x")).where("x > 0.001").count() == 0
+
+
+def test_tone_shift_needs_a_steady_document(spark):
+    formal, friendly = "نرجو وفقا رسميا التكرم", "شكرا صديقي شكرا صديقي شكرا"
+    w = words(spark, f"{formal}. {formal}. {formal}. {friendly}.", f"{formal}. {friendly}.", f"{friendly}. {friendly}. {formal}.", "", None)
+    assert [(r.doc_id, r.start) for r in style.tone_shifts(w).collect()] == [(0, 72)]

@@ -88,3 +88,33 @@ def chips(tone: DataFrame) -> DataFrame:
     }
     rows = tone.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.round(c, 6).alias("relevance")) for t, c in of.items()))).alias("c")).select("doc_id", "c.*")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("relevance"), "target")).cast("long"))
+
+
+TONES = ("assertive", "conversational", "formal", "objective", "persuasive")
+BASE, NEUTRAL = 180, 1000
+
+
+def toned(sums: DataFrame, *keys: str) -> DataFrame:
+    """``keys, tone, confidence`` of rows with one sum of thousandths by tone; ties go to the first name.
+
+    Each tone has 0.18 and its words' weights, neutral has 1. Confidence is the first share and half its lead.
+    """
+    of = F.array_sort(F.array(*(F.struct((-(F.col(t) + BASE)).alias("s"), F.lit(t).alias("tone")) for t in TONES), F.struct(F.lit(-NEUTRAL).cast("long").alias("s"), F.lit("neutral").alias("tone"))))
+    total = sum((F.col(t) for t in TONES), F.lit(NEUTRAL + BASE * len(TONES)))
+    rows = sums.withColumns({"of": of, "total": total})
+    first, second = -F.col("of")[0]["s"] / F.col("total"), -F.col("of")[1]["s"] / F.col("total")
+    return rows.select(*keys, F.col("of")[0]["tone"].alias("tone"), F.round(F.least(F.lit(0.999), first + (first - second) * 0.5), 6).alias("confidence"))
+
+
+def tone_shifts(words: DataFrame, least_sentences: int = 3, steady: float = 0.38, least: float = 0.48, share: float = 0.6) -> DataFrame:
+    """Conversational stretches of sentence_words() in documents that are formal or objective for the most part."""
+    lex = F.broadcast(words.sparkSession.createDataFrame([(t, f, round(w * 1000)) for t, f, w in R.TONE_WORDS], "tone string, form string, w long"))
+    weighed = words.select("doc_id", "sent", "start", "stop", "form").join(lex, "form", "left")
+    each = [F.coalesce(F.sum(F.when(F.col("tone") == t, F.col("w"))), F.lit(0)).alias(t) for t in TONES]
+    per = weighed.groupBy("doc_id", "sent").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *each)
+    whole = toned(per.groupBy("doc_id").agg(*(F.sum(t).alias(t) for t in TONES)), "doc_id").select("doc_id", F.col("tone").alias("of_all"), F.col("confidence").alias("all_confidence")).where(F.col("of_all").isin("formal", "objective"))
+    rows = toned(per, "doc_id", "sent", "start", "stop").join(whole, "doc_id")
+    by = Window.partitionBy("doc_id")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(by), "like": F.count_if((F.col("tone") == F.col("of_all")) & (F.col("confidence") >= steady)).over(by)})
+    hit = (F.col("n") >= least_sentences) & (F.col("like") >= F.greatest(F.lit(2), F.ceil(F.col("n") * share))) & (F.col("tone") == "conversational") & (F.col("confidence") >= least)
+    return rows.where(hit).select("doc_id", F.lit("STYLE_TONE_SHIFT").alias("rule_id"), "start", F.least("stop", F.col("start") + 48).alias("stop"), F.round(F.least("confidence", "all_confidence") * 0.9, 6).alias("confidence"))

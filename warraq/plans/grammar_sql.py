@@ -191,3 +191,18 @@ def endings() -> tuple[str, str]:
         "(SELECT k.doc_id, k.dependent, CASE WHEN k.c = 'follows' THEN h.c ELSE k.c END AS c FROM kc k LEFT JOIN kc h ON h.doc_id = k.doc_id AND h.dependent = k.head AND h.c <> 'follows') z ON z.doc_id = w2.doc_id AND z.dependent = w2.idx) q "
         "WHERE number = 'singular' AND c IS NOT NULL AND right(bare, 1) NOT IN ('ا', 'ى', 'ي', 'و')",
     )
+
+
+def tone_shifts(least: float, share: float) -> str:
+    tones = ("assertive", "conversational", "formal", "objective", "persuasive")
+    sums = ", ".join(f"coalesce(sum(w) FILTER (tone = '{t}'), 0)::BIGINT AS {t}" for t in tones)
+    total = "(1900 + " + " + ".join(tones) + ")"
+    ranked = "list_sort([" + ", ".join(f"{{'s': -(180 + {t}), 't': '{t}'}}" for t in tones) + ", {'s': -1000, 't': 'neutral'}])"
+    scored = lambda source: f"SELECT *, o[1].t AS top, round(least(0.999, -o[1].s / tt + (-o[1].s / tt + o[2].s / tt) * 0.5), 6)::DOUBLE AS conf FROM (SELECT *, {ranked} AS o, {total} AS tt FROM {source})"
+    lex = D.lexicon("tl", "tone, form, w", tuple((t, f, round(w * 1000)) for t, f, w in R.TONE_WORDS))
+    return (
+        f"SELECT doc_id, 'STYLE_TONE_SHIFT' AS rule_id, start, least(stop, start + 48) AS stop, round(least(conf, dc) * 0.9, 6)::DOUBLE AS confidence FROM (WITH {lex}, se AS (SELECT doc_id, sent, min(start) AS start, max(stop) AS stop, {sums} FROM sw LEFT JOIN tl USING (form) GROUP BY doc_id, sent), "
+        f"dd AS ({scored('(SELECT doc_id, ' + ', '.join(f'sum({t})::BIGINT AS {t}' for t in tones) + ' FROM se GROUP BY doc_id)')}), "
+        f"s2 AS (SELECT s.*, dd.top AS dt, dd.conf AS dc FROM ({scored('se')}) s JOIN dd USING (doc_id)) SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, count(*) FILTER (top = dt AND conf >= 0.38) OVER (PARTITION BY doc_id) AS k FROM s2) "
+        f"WHERE dt IN ('formal', 'objective') AND n >= 3 AND k >= greatest(2, ceil(n * {share})) AND top = 'conversational' AND conf >= {least}"
+    )

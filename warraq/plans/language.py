@@ -11,6 +11,7 @@ from warraq.plans import duck as D
 from warraq.plans import grammar_sql as G
 from warraq.plans.registry import SPAN, docs, long, query
 from warraq.sources.corpus import arabic, grammar, table
+from warraq.streaming import stateful
 
 ANALYSIS = ("form", "lemma", "root", "pattern", "pos", "gender", "number", "definite", "preposition", "tense")
 
@@ -241,3 +242,16 @@ def spell_decisions(spark, sf):
     s = spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))))
     forms = s.select("form").union(s.select("candidate")).distinct()
     return spelling.decisions(s, morphology.analyses(forms, morphology.lexemes(spark)).select("form", "confidence"))
+
+
+@query(D.sql(G.corpus(), G.sentence_words(), G.tone_shifts(0.36, 0.3)))
+def tone_shifts(spark, sf):
+    """At a lower certainty and share than the defaults, as the sentences of the corpus are short."""
+    return style.tone_shifts(_sentence_words(spark, sf), least=0.36, share=0.3).select("doc_id", "rule_id", *long(*SPAN), "confidence")
+
+
+@query(D.fingerprint(D.PROFILE, "SELECT source, feature, n, round(mean, 6) AS mean, round(std, 6) AS std FROM pr"))
+def voice_stream(spark, sf):
+    """The documents as a stream of samples; the same result as author_profile."""
+    d = stateful.stream_of(docs(spark, sf), f"{sf}/document[s].parquet")
+    return stateful.learn_voices(d, stateful.shared(spark), "source").select("source", "feature", "n", analytics.six(F.col("mean")).alias("mean"), analytics.six(F.col("std")).alias("std"))

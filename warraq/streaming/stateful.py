@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from warraq.functions.resources import VARIANTS
 from warraq.functions.text import LETTERS, MARKS, STROKE, WORD
 from warraq.functions.workers import importable
+from warraq.operators import analytics
 
 
 def stream_of(batch: DataFrame, path: str) -> DataFrame:
@@ -21,11 +22,16 @@ def stream_of(batch: DataFrame, path: str) -> DataFrame:
     return batch.sparkSession.readStream.schema(batch.schema).parquet(path)
 
 
+def shared(spark: SparkSession) -> str:
+    """A new name in the folder that all executors see; a folder of our own only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="warraq-stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def played(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there, to a Parquet sink in the shared folder, and read what it wrote."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="warraq-stream-")
-    to = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    to = shared(spark)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{to}/state").option("path", f"{to}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{to}/out")
 
@@ -101,3 +107,18 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
     """Counts and sums of events by type and tumbling window of event time; on a stream, late rows are dropped behind the watermark."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("since"), "event_type", "n")
+
+
+def learn_voices(samples: DataFrame, to: str, key: str) -> DataFrame:
+    """Profiles by ``key`` from a stream of ``doc_id, key, text``, played to its end; ``to`` is a shared folder.
+
+    A micro-batch writes its sums under its number, so a batch that is run again replaces its own; sums are
+    merged when they are read. Samples without words count for nothing.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        analytics.moments(analytics.features(analytics.fingerprint(rows, key), key), key).write.mode("overwrite").parquet(f"{to}/sums/batch={n}")
+
+    samples.writeStream.foreachBatch(batch).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
+    kind = f"`{key}` string, feature string, n bigint, s decimal(38,0), q decimal(38,0)"
+    return analytics.profile(analytics.merged(samples.sparkSession.read.schema(kind).parquet(f"{to}/sums/*"), key))
