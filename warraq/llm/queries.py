@@ -67,5 +67,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_minhash_dedup, op8_line_dedup, op9_toxicity, op10_packing, pipeline,
     )
 }
-#: None of the eleven is expressible in SQL; tests/llm holds each against brute force.
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+#: Links of all pairs, and components by following links; for small tables.
+OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+f AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, root = vec_id AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id"""
+#: The digests and revisits of the archives, by a window over equal payloads.
+OP4_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM r"""
+#: Secrets decoded, learned lexicons, alignments, schedules, chunk signatures, sampling and packing have no SQL
+#: form, and tests/llm holds those queries against brute force.
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_warc": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
