@@ -7,6 +7,7 @@ import json
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -126,6 +127,19 @@ def test_schedule_keeps_within_a_block(counts):
             assert all(abs(done[s] - (t + 1 - p.first_slot) * len(p.slots[s]) / p.period) < 1 for s in p.slots)
 
 
+def test_schedule_keeps_to_the_weights_themselves():
+    weights = [1 / 3, *[2 / 57] * 19]
+    parts = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    counts = [int(w * 100_000) for w in weights]
+    phases = mixing.schedule(counts, weights)
+    slots = [mixing.place(phases, np.full(n, s), np.arange(n)) for s, n in enumerate(counts)]
+    for (slot, release, deadline), w in zip(slots, parts, strict=True):
+        first = slot < phases[0].period
+        assert phases[0].period > 20 * 4096 and all(release <= slot) and all(slot < deadline)
+        # Before and after each block.
+        assert all(abs(b - int(t) * w) < 1 and abs(b + 1 - (int(t) + 1) * w) < 1 for b, t in enumerate(slot[first]))
+
+
 def test_mixing(spark):
     texts = [f"t{i}" for i in range(700)] + [None, ""]
     frame = docs(spark, texts, source={i: None if i % 50 == 0 else "hot" if i % 3 else f"s{i % 4}" for i in range(702)}).withColumnRenamed("score", "slot")

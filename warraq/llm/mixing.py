@@ -3,14 +3,16 @@
 A source's documents, in an order by hash, are cut into blocks. Block i of a source of weight w may
 run from slot floor((i-1)/w) and must by ceil(i/w); in each slot the block with the earliest
 deadline of those released runs. With weights of sum one no deadline is missed, so at any slot each
-source is less than one block off its target. Weights are fractions of one period, after which the
-schedule repeats; only one period per set of active sources is simulated, whatever the size of
-the data. When a source is used up, the others go on with their weights scaled to one.
+source is less than one block off its target. Weights are taken exactly, as whole parts of their sum,
+and every block is simulated, on the driver and from the counts alone: eight bytes a block. When a
+source is used up, the others go on with their weights scaled to one.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,62 +25,79 @@ from pyspark.sql.window import Window
 from warraq.llm.common import ship
 
 BLOCK_DOCS = 64
-PERIOD = 4096
+#: Slots that are simulated before they are packed.
+STRETCH = 4096
 #: Documents of a source that are ranked together.
 BUCKET = 4096
 
 
-def fractions(weights: list[float], period: int) -> list[int]:
-    """Whole parts of the period in proportion to the weights, one at least, by largest remainder."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    parts = [int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (parts[i] - exact[i], i))
-    for i in order[: period - len(weights) - sum(parts)]:
-        parts[i] += 1
-    return [p + 1 for p in parts]
+def whole_parts(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    common = math.lcm(*(d for _, d in ratios))
+    parts = [n * (common // d) for n, d in ratios]
+    divisor = math.gcd(*parts)
+    return [p // divisor for p in parts]
 
 
-def one_period(parts: list[int]) -> list[np.ndarray]:
-    """Slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    period = sum(parts)
-    waiting = [(0, -(-period // p), s, 1) for s, p in enumerate(parts)]
+def windows(block: int, part: int, total: int) -> tuple[int, int]:
+    """Release and deadline of a block of a source with the weight part / total, from the start of a phase."""
+    return block * total // part, -(-(block + 1) * total // part)
+
+
+def order_of(parts: list[int]) -> Iterator[int]:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
+    total = sum(parts)
+    waiting = [(*windows(0, p, total), s, 0) for s, p in enumerate(parts)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in parts]
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             _, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i))
         deadline, s, i = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
-        slots[s].append(t)
-        if i < parts[s]:
-            heapq.heappush(waiting, (i * period // parts[s], -(-(i + 1) * period // parts[s]), s, i + 1))
-    return [np.array(x, np.int64) for x in slots]
+        yield s
+        heapq.heappush(waiting, (*windows(i + 1, parts[s], total), s, i + 1))
+
+
+def one_phase(left: list[int], parts: list[int], stretch: int) -> list[np.ndarray]:
+    """Slots of each source's blocks until the first of them has none left."""
+    if len(left) == 1:
+        return [np.arange(left[0])]
+    order, left, packed = order_of(parts), list(left), []
+    while min(left):
+        some = []
+        while min(left) and len(some) < stretch:
+            some.append(next(order))
+            left[some[-1]] -= 1
+        packed.append(np.array(some, np.int32))
+    every = np.concatenate(packed)
+    return np.split(np.argsort(every, kind="stable"), np.cumsum(np.bincount(every, minlength=len(left)))[:-1])
 
 
 @dataclass
 class Phase:
-    """A stretch of slots in which the same sources are active: by source, blocks done before it and slots in a period."""
+    """A stretch of slots in which the same sources are active: its length and, by source, blocks done before it, slots and whole parts of the weights."""
 
     first_slot: int
     period: int
     done: dict[int, int]
     slots: dict[int, np.ndarray]
+    parts: dict[int, int]
 
 
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[Phase]:
-    """Phases until every block of every source has a slot."""
+def schedule(blocks: list[int], weights: list[float], stretch: int = STRETCH) -> list[Phase]:
+    """Phases until every block of every source has a slot; ``stretch`` slots at a time are simulated and packed."""
     done, slot, out = [0] * len(blocks), 0, []
     while active := [s for s, n in enumerate(blocks) if done[s] < n]:
-        size = max(period, 1 << (16 * len(active) - 1).bit_length())
-        slots = dict(zip(active, one_period(fractions([weights[s] for s in active], size)), strict=True))
-        out.append(Phase(slot, size, {s: done[s] for s in active}, slots))
-        length = min((blocks[s] - done[s] - 1) // len(slots[s]) * size + int(slots[s][(blocks[s] - done[s] - 1) % len(slots[s])]) + 1 for s in active)
+        parts = whole_parts([weights[s] for s in active])
+        slots = dict(zip(active, one_phase([blocks[s] - done[s] for s in active], parts, stretch), strict=True))
+        length = sum(map(len, slots.values()))
+        out.append(Phase(slot, length, {s: done[s] for s in active}, slots, dict(zip(active, parts, strict=True))))
         for s in active:
-            done[s] += length // size * len(slots[s]) + int(np.searchsorted(slots[s], length % size))
+            done[s] += len(slots[s])
         slot += length
     return out
 
@@ -92,10 +111,12 @@ def place(phases: list[Phase], source: np.ndarray, block: np.ndarray) -> tuple[n
         which = np.searchsorted([p.done[s] for p in of], block[at], "right") - 1
         for k, p in enumerate(of):
             i = at[which == k]
-            n, b = len(p.slots[s]), block[i] - p.done[s]
-            slot[i] = p.first_slot + b // n * p.period + p.slots[s][b % n]
-            release[i] = p.first_slot + b * p.period // n
-            deadline[i] = p.first_slot - (-(b + 1) * p.period // n)
+            b, back = np.unique(block[i] - p.done[s], return_inverse=True)
+            total = sum(p.parts.values())
+            # The products can be larger than 64 bits, and so can the deadline of a tiny weight.
+            window = np.array([[min(y, 1 << 62) for y in windows(x, p.parts[s], total)] for x in b.tolist()], np.int64).reshape(-1, 2)[back]
+            slot[i] = p.first_slot + p.slots[s][b][back]
+            release[i], deadline[i] = p.first_slot + window[:, 0], p.first_slot + window[:, 1]
     return slot, release, deadline
 
 
