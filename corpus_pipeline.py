@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
-    return packing.pack(docs)
+    """One row per piece of a document in a sequence; sequences are numbered in the order of the documents."""
+    return packing.pack(packing.in_file_order(docs))
 
 
 STAGES = [

@@ -3,8 +3,8 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from warraq.llm import minhash_dedup, toxicity
-from warraq.llm.common import table
+from warraq.llm import minhash_dedup, mixing, toxicity
+from warraq.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -36,3 +36,14 @@ def test_one_of_each_class_stays(spark):
     docs = table(spark, SF, "documents")
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_class(spark, docs, SF).collect()}
     assert kept == {r.class_id for r in minhash_dedup.near_duplicates(docs).collect()}
+
+
+def test_sequences_follow_the_mix(spark):
+    # Texts of a window or more, so that a first piece is a sequence at once; those at the end of the mix are longest.
+    rows = [(i, "word " * (2100 if i < 130 else 2100 + 20 * i), "en", "a" if i < 64 else "hot", 1) for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    mixed = stored(corpus_pipeline.mix_sources(spark, docs, SF), "mixed")
+    assert len(mixed.inputFiles()) > 1
+    first = corpus_pipeline.pack_sequences(spark, mixed, SF).where("start = 0").orderBy("sequence_id")
+    assert [r.doc_id for r in first.collect()] == want

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,3 +256,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Rows of a table of Parquet files in ranges by name of file and place in it; other rows as they are.
+
+    Spark deals files to tasks by size, so the order in which a sorted table was written is lost
+    on reading.
+    """
+    fresh = {"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")}
+    try:
+        placed = docs.withColumns(fresh)
+    except AnalysisException:
+        return docs
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(n, *fresh).sortWithinPartitions(*fresh).drop(*fresh)
