@@ -271,6 +271,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_repeated_swapped_and_scattered_passages(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (prose(rng, 30) for _ in range(6))
+    lines = [prose(rng, 12) for _ in range(2)]
+    texts = [
+        f"{a}\n{b}", f"x\n{a}\n{a}\ny", f"{b}\nz\n{a}", f"{c}\nu\n{c}", f"w\n{c}\nv",
+        f"{lines[0]}\none", f"{lines[1]}\ntwo", "\n".join([d, *lines]), "\n".join([e, *lines, f]),
+    ]
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "x\ny", "z", texts[3], "w\nv", *texts[5:8], f"{e}\n{f}"]
+    # A block that nearly all documents hold.
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, [f"{a}\n{i}" for i in range(9)])).orderBy("doc_id").collect()]
+    assert got == [f"{a}\n0", *map(str, range(1, 9))]
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = {"p": 2, "q": 4, "r": 7, "s": 9, "t": 12, "u": 21}
+    held = [[rng.choice("pqrstu") for _ in range(rng.randrange(9))] for _ in range(60)]
+    enough = lambda x: sum(map(words.get, x)) >= 20 and max(map(words.get, x)) >= 5
+    runs = [{tuple(x[i:k]) for i in range(len(x)) for k in range(i + 1, len(x) + 1) if enough(x[i:k])} for x in held]
+    got = line_dedup.dedup_lines(docs(spark, ["\n".join(" ".join([y] * words[y]) for y in x) for x in held])).collect()
+    for r in got:
+        x, before = held[r.doc_id], set().union(*runs[: r.doc_id])
+        gone = {i for a, b in r.removed for i in range(a, b)}
+        assert all(tuple(x[a:b]) in before for a, b in r.removed)
+        kept = "".join(" " if i in gone else y for i, y in enumerate(x)).split()
+        assert not any(tuple(y[i:k]) in before for y in kept for i in range(len(y)) for k in range(i + 1, len(y) + 1))
+
+
 def test_patience_blocks_are_common_and_ascending():
     rng = random.Random(6)
     for _ in range(300):
