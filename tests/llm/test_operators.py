@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -332,6 +333,17 @@ def test_toxicity(spark):
     assert toxicity.learn(frame, labels.limit(0)).entries == toxicity.seed().entries
 
 
+def test_toxicity_weighs_all_stems(spark):
+    # Harmless longer forms that no toxic document holds, and more stems of common words than are toxic ones.
+    common = " ".join("".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=9), 0, 10**9, 10**9 // 9000))
+    texts = [common + (" grublat" if i % 2 else " grublation" if i % 8 == 0 else "") + (" zonkish" if i % 4 == 1 else "") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs(spark, texts).repartition(4), labels)
+    assert lexicon.entries["grublat"] > 0 and lexicon.entries["zonkish"] > 0 and lexicon.entries["grublati"] == 0
+    got = toxicity.assess(docs(spark, ["grublat", "grublation", "zonkish", "abcdefghi"]), lexicon).orderBy("doc_id").collect()
+    assert [r.n_hits for r in got] == [1, 0, 1, 0]
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [prose(rng, rng.choice([1, 5, 40, 300, 900])) for _ in range(80)] + [*EDGES, "a\x1cb\x85c", "İstanbul ΣΑΣ. é ́x don't <|endoftext|>x 12,5"]

@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm.common import ship, whole
+from warraq.llm.common import discard, ship, stored, whole
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -108,31 +108,31 @@ def stems(words: list[str]) -> set[str]:
     return {w[:k] for w in set(words) for k in PREFIXES if len(w) >= k} | {w + " " for w in set(words)}
 
 
-def weigh(counts: list[tuple[str, int, int]], pos: int, neg: int, least_gain: float = 20.0) -> dict[str, float]:
-    """Entries from counts of toxic and other documents by stem.
+def weigh(counts: DataFrame, pos: int, neg: int, least_gain: float = 20.0) -> dict[str, float]:
+    """Entries from ``counts(stem, pos, neg)`` of toxic and other documents by stem.
 
     A stem is kept if it tells the classes apart (likelihood ratio statistic) and points to toxic,
     and no longer stem holds nearly all of its toxic documents;
-    its longer forms that occur mostly in other documents become exceptions.
+    its longer forms that occur mostly in other documents, or only there, become exceptions.
     """
+    a, b, p = F.col("pos"), F.col("neg"), pos / (pos + neg)
 
-    def gain(a: int, b: int) -> float:
-        n, p = a + b, pos / (pos + neg)
-        return 2 * sum(x * math.log(x / (n * q)) for x, q in ((a, p), (b, 1 - p)) if x)
+    def share(x: Column, q: float) -> Column:
+        return F.when(x > 0, x * F.log(x / ((a + b) * q))).otherwise(0.0)
 
-    seen = {s: (a, b) for s, a, b in counts}
-    odds = {s: math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1)) for s, (a, b) in seen.items()}
-    kept = {s: odds[s] for s, (a, b) in seen.items() if a >= 4 and odds[s] >= 1.0 and gain(a, b) >= least_gain}
+    odds = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (neg + 1))
+    judged = counts.withColumn("odds", odds).withColumn("kept", (a >= 4) & (odds >= 1.0) & (2 * (share(a, p) + share(b, 1 - p)) >= least_gain))
+    kept = {r["stem"]: (r["pos"], r["neg"], r["odds"]) for r in judged.where("kept").collect()}
     longer: dict[str, int] = {}
     for s in kept:
         if not s.endswith(" "):
             for k in range(2, len(s)):
-                longer[s[:k]] = max(longer.get(s[:k], 0), seen[s][0])
-    out = {s: w for s, w in kept.items() if longer.get(s, 0) < 0.9 * seen[s][0] and seen[s] != seen.get(s[:-1] if s.endswith(" ") else None)}
-    for s, (a, b) in seen.items():
-        if s not in kept and b >= 3 and odds[s] < 0.5 and any(s[:k] in kept for k in range(2, len(s))):
-            out[s] = 0.0
-    return out
+                longer[s[:k]] = max(longer.get(s[:k], 0), kept[s][0])
+    out = {s: w[2] for s, w in kept.items() if longer.get(s, 0) < 0.9 * w[0] and w != kept.get(s[:-1] if s.endswith(" ") else None)}
+    beginnings = F.transform(F.sequence(F.lit(2), F.char_length("stem") - 1), lambda k: F.substring("stem", F.lit(1), k))
+    harmless = judged.where("not kept and neg >= 3 and odds < 0.5 and char_length(stem) > 2").select("stem", F.explode(beginnings).alias("short"))
+    found = harmless.join(F.broadcast(judged.where("kept").select(F.col("stem").alias("short"))), "short", "left_semi").select("stem").distinct().collect()
+    return out | {r["stem"]: 0.0 for r in found}
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> list[float]:
@@ -148,13 +148,13 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> list[float
     return w.tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_entries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from labelled documents outside the held-out fifth (crc32 of doc_id mod 5 is 0).
 
     Fitted on at most ``most_rows`` labelled rows, chosen by hash of doc_id; that bound makes their
-    ids and labels small enough to broadcast, so texts are not shuffled. ``most_entries`` of the
-    stems that toxic documents hold are weighed, by count. Rows without a label or an id are left
-    out; of labels that differ the larger counts. Without both classes the fixed list is used.
+    ids and labels small enough to broadcast, so texts are not shuffled. All their stems are
+    weighed, and only the entries collected. Rows without a label or an id are left out; of labels
+    that differ the larger counts. Without both classes the fixed list is used.
     """
     ship(docs.sparkSession)
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -181,13 +181,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_entr
                     yield from counted()
         yield from counted()
 
+    total = None
     try:
-        total = train.mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        rows = [tuple(r) for r in total.where("pos >= 4 or stem = ''").orderBy((F.col("stem") != ""), F.desc(F.col("pos") - F.col("neg") * 0.05), "stem").limit(most_entries + 1).collect()]
-        pos, neg = next(((a, b) for s, a, b in rows if s == ""), (0, 0))
-        if not pos or not neg:
+        total = stored(train.mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "stems")
+        documents = total.where("stem = ''").first()
+        if documents is None or not documents["pos"] or not documents["neg"]:
             return seed()
-        found = Lexicon(seed().entries | weigh([r for r in rows if r[0]], pos, neg))
+        found = Lexicon(seed().entries | weigh(total.where("stem <> ''"), documents["pos"], documents["neg"]))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = found.automaton()
@@ -199,6 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, most_entr
         return Lexicon(found.entries, fit(sample[:, :-1], sample[:, -1]))
     finally:
         train.unpersist()
+        if total is not None:
+            discard(total)
 
 
 def assess(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
