@@ -1,6 +1,6 @@
 import random
 
-from warraq.operators import spelling
+from warraq.operators import morphology, spelling
 
 
 def test_costs():
@@ -25,3 +25,14 @@ def test_suggestions_equal_brute_force(spark):
     got = {(r.form, r.candidate): r.distance for r in spelling.suggestions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {(a, b): d for a in rows[-1][1].split() for b in common if (d := spelling.distance(a, b)) <= 1.05}
     assert got == want
+
+
+def test_repeated_misspellings_are_checked_at_any_size(spark):
+    rows = [(i, "المدرسة الكتاب") for i in range(50)] + [(60, "المدرصة الكتااب المعلم"), (61, "المعللم المعللم المعللم")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame([(100 * k + i, t) for k in range(20) for i, t in rows], "doc_id long, text string")
+    got = [sorted(map(tuple, spelling.suggestions(x, morphology.lexemes(spark)).select("form", "candidate", "distance", "score", "rank").collect())) for x in (few, many)]
+    assert got[0] == got[1]
+    # The commoner form is the wrong one; the lexicon decides.
+    assert {("المدرصة", "المدرسة"), ("الكتااب", "الكتاب"), ("المعللم", "المعلم")} <= {r[:2] for r in got[0]}
+    assert not {"المدرسة", "الكتاب", "المعلم"} & {r[0] for r in got[0]}

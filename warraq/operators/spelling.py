@@ -11,12 +11,15 @@ from pyspark.sql.window import Window
 
 from warraq.functions.text import normalize, tokens
 from warraq.functions.workers import importable
+from warraq.operators import morphology
 
 #: Letters that are easily taken for each other, by group, and their costs.
 CONFUSED = ("اأإآٱ", "يىئ", "هة", "وؤ", "ءئؤ")
 NEAR = (("ض", "ظ"), ("ذ", "ز"), ("ث", "س"), ("ت", "ط"), ("ق", "ك"), ("د", "ذ"))
 CONFUSION, NEARNESS, HAMZA, DOUBLED, SWAP = 0.18, 0.55, 0.35, 0.55, 0.75
 HAMZAS = frozenset("ءأإؤئ")
+#: Morphological confidence of a word that is right.
+ACCEPTED = 0.72
 
 
 def _substitution(a: str, b: str) -> float:
@@ -57,26 +60,34 @@ def deletions(forms: DataFrame, column: str) -> DataFrame:
     return forms.select("*", F.explode(F.array_distinct(F.concat(F.array(form, bare), cut))).alias("key"))
 
 
-def suggestions(docs: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
-    """For words that the corpus holds once or twice, up to five of its commoner words within distance 1.05.
+def suggestions(docs: DataFrame, lexicon: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """For words that the lexicon does not accept, up to five near words: accepted ones, and commoner ones of the corpus.
 
-    Words are compared by equal deletion keys, so only near words meet; distances are taken for distinct
-    pairs. Ranked by 2.9 times the distance less 0.16 times the log of the frequency, then the word.
+    A word is accepted if its best morphological confidence is 0.72 or more; without a lexicon none
+    is. How often a word is used never makes it right, as slips are repeated too. Words are compared
+    by equal deletion keys, so only near words meet; distances are taken for distinct pairs, up to
+    1.05. Ranked by 2.9 times the distance less 0.16 times the log of the frequency relative to the
+    word's own, then the word.
     """
     importable(docs.sparkSession)
     words = tokens(docs).where("kind = 'arabic'").select(normalize(F.col("piece"), "lookup").alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.char_length("form") >= 3)
-    rare = deletions(words.where(F.col("n") < least).select("form"), "form")
-    common = deletions(words.where(F.col("n") >= least).select(F.col("form").alias("candidate"), F.col("n").alias("frequency")), "candidate")
-    pairs = rare.join(common, "key").where("form <> candidate").select("form", "candidate", "frequency").distinct()
+    if lexicon is None:
+        judged = words.withColumn("accepted", F.lit(False))
+    else:
+        sure = morphology.analyses(words, lexicon).where(F.col("confidence") >= ACCEPTED).select("form").distinct().withColumn("accepted", F.lit(True))
+        judged = words.join(sure, "form", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    checked = deletions(judged.where("not accepted").select("form", F.col("n").alias("own")), "form")
+    others = deletions(judged.select(F.col("form").alias("candidate"), F.col("n").alias("frequency"), "accepted"), "candidate")
+    pairs = checked.join(others, "key").where("form <> candidate and (accepted or frequency > own)").select("form", "own", "candidate", "frequency").distinct()
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
             yield pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     near = pairs.withColumn("distance", F.pandas_udf(run, "double")("form", "candidate")).where("distance <= 1.05")
-    score = F.round(2.9 * F.col("distance") - 0.16 * F.log1p("frequency"), 6)
+    score = F.round(2.9 * F.col("distance") - 0.16 * F.log1p(F.col("frequency") / F.col("own")), 6)
     rank = F.row_number().over(Window.partitionBy("form").orderBy("score", "candidate"))
-    return near.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= most)
+    return near.withColumn("score", score).drop("own").withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def decisions(suggested: DataFrame, sure: DataFrame, margin: float = 0.28, near_margin: float = 0.12) -> DataFrame:
@@ -94,5 +105,5 @@ def decisions(suggested: DataFrame, sure: DataFrame, margin: float = 0.28, near_
     value = 0.58 + F.greatest(F.lit(0.0), 1 - d / 1.2) * 0.20 + F.least(F.lit(1.0), F.coalesce(gap / 1.2, F.lit(1.0))) * 0.10 + F.least(F.lit(1.0), F.log1p("best.frequency") / 11) * 0.06 + F.coalesce("its", F.lit(0.0)) * 0.06
     close = (d > 0.25) & (F.abs(F.col("second.distance") - d) <= 0.30)
     thin = gap < F.when(d <= 0.25, near_margin).otherwise(margin)
-    reason = F.when(F.col("form").rlike("[چگپژڤ]"), "dialect_letter").when(F.col("own") >= 0.72, "known_form").when(F.coalesce(close | thin, F.lit(False)), "ambiguous").when(F.col("confidence") < 0.81, "low_confidence").otherwise("corrected")
+    reason = F.when(F.col("form").rlike("[چگپژڤ]"), "dialect_letter").when(F.col("own") >= ACCEPTED, "known_form").when(F.coalesce(close | thin, F.lit(False)), "ambiguous").when(F.col("confidence") < 0.81, "low_confidence").otherwise("corrected")
     return rows.withColumn("confidence", F.round(F.least(F.lit(0.995), value), 6)).select("form", "candidate", "confidence", reason.alias("reason"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from warraq.functions import resources as R
 from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tokens
 from warraq.operators import analytics as A
-from warraq.operators import checks, document_rules, records, rules, sentences, serving, spans, spelling
+from warraq.operators import checks, document_rules, morphology, records, rules, sentences, serving, spans, spelling
 from warraq.plans import duck as D
 from warraq.plans.registry import ORACLES, QUERIES, ROWS_ONLY, SPAN, docs, long, query  # noqa: F401
 from warraq.sources.corpus import arabic, arabic_of, table
@@ -379,7 +379,7 @@ def spell_suggestions(spark, sf):
     """Arabic texts in which every fiftieth document has one letter dropped."""
     ar = arabic(spark, sf)
     slip = F.concat(F.substring("text", F.lit(1), (F.col("doc_id") % 40 + 3).cast("int")), F.substring("text", (F.col("doc_id") % 40 + 5).cast("int"), F.char_length("text")))
-    return spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))))
+    return spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))), morphology.lexemes(spark))
 
 
 _BEFORE = "substr(text, 1, start)"

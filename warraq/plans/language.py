@@ -239,7 +239,7 @@ def spell_decisions(spark, sf):
     """The corpus of spell_suggestions, where some texts lack a letter."""
     ar = arabic(spark, sf)
     slip = F.concat(F.substring("text", F.lit(1), (F.col("doc_id") % 40 + 3).cast("int")), F.substring("text", (F.col("doc_id") % 40 + 5).cast("int"), F.char_length("text")))
-    s = spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))))
+    s = spelling.suggestions(ar.withColumn("text", F.when(F.col("doc_id") % 50 == 0, slip).otherwise(F.col("text"))), morphology.lexemes(spark))
     forms = s.select("form").union(s.select("candidate")).distinct()
     return spelling.decisions(s, morphology.analyses(forms, morphology.lexemes(spark)).select("form", "confidence"))
 
