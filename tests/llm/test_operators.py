@@ -48,6 +48,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_unit(v):
+    if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+        return None
+    return np.array(v) / np.linalg.norm(v)
+
+
+def brute_links(vectors, cosine=0.95):
+    unit = [brute_unit(v) for v in vectors]
+    some = [i for i, u in enumerate(unit) if u is not None]
+    return [(a, b) for a in some for b in some if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine]
+
+
+def singles(v):
+    return None if v is None else [None if x is None else float(np.float32(x)) for x in v]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((12, 16))
@@ -55,11 +71,10 @@ def test_embeddings(spark):
     vectors[5] = vectors[9] = vectors[200]
     vectors[7] = [2 * x for x in vectors[8]]
     vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0, 2.0]]
-    rows = [(i, v, "x") for i, v in enumerate(vectors)]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string"), recall=0.9999).collect()}
+    rows = [(i, v, "x", 1, 2) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string, pid int, same int"), recall=0.9999).collect()}
     assert len(got) == len(vectors)
-    unit = [embedding_dedup.unit(None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for v in vectors]
-    links = [(a, b) for a in range(306) for b in range(306) if a != b and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    links = brute_links([singles(v) for v in vectors])
     n = collections.Counter(a for a, _ in links)
     root = brute_components(306, links)
     assert [got[i].n_links for i in range(306)] == [n[i] for i in range(306)]
@@ -73,8 +88,29 @@ def test_embeddings_in_blocks(spark, monkeypatch):
     one = rng.standard_normal(8)
     rows = [(i, (one + rng.standard_normal(8) * 0.15).tolist()) for i in range(150)]
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.99999).collect()}
-    v = np.stack([embedding_dedup.unit(x) for _, x in rows])
-    assert [got[i] for i in range(150)] == ((v @ v.T >= 0.95).sum(1) - 1).tolist()
+    n = collections.Counter(a for a, _ in brute_links([v for _, v in rows]))
+    assert [got[i] for i in range(150)] == [n[i] for i in range(150)]
+
+
+def test_embeddings_of_a_chain_by_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup.plan, "__defaults__", (8,))
+    turns = [i * 0.1 for i in range(150)]
+    rng = np.random.default_rng(1)
+    frame = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    rows = [(i, (np.cos(t) * frame[int(t) % 20] + np.sin(t - int(t)) * frame[int(t) % 20 + 1]).tolist()) for i, t in enumerate(turns)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.99999).collect()}
+    links = brute_links([v for _, v in rows])
+    n = collections.Counter(a for a, _ in links)
+    assert [got[i].n_links for i in range(150)] == [n[i] for i in range(150)]
+    assert [got[i].component_id for i in range(150)] == brute_components(150, links)
+
+
+def test_embeddings_without_ids_and_of_one_id(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.1]), (4, [0.0, 1.0]), (4, [0.0, -1.0]), (3, [0.0, 2.0]), (9, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, None)]
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = [(None, 2, 9, False), (None, 2, 9, False), (4, 1, 3, False), (4, 0, 4, True), (3, 1, 3, True), (9, 2, 9, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_embeddings_empty(spark):

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of our own on a local master, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="warraq-scratch-"))
         base = _OWN_DIR[0]
@@ -49,13 +54,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by stored() that nothing reads any more."""
-    path = getattr(df, "_warraq_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by stored() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_warraq_path", None):
+            remove(df.sparkSession, path)
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted batches that agree in the first ``n_keys`` columns of whole numbers, as one batch a time."""
+    held: list[pa.RecordBatch] = []
+    at: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        change = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(starts, starts[1:]):
+            key = tuple(int(k[lo]) for k in keys)
+            if held and key != at:
+                yield pa.concat_batches(held)
+                held = []
+            at = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +126,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         cur, last, mark = new, mark, _mark(new)
         if mark == last:
             break
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._warraq_path = cur._warraq_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
