@@ -149,32 +149,51 @@ def test_secrets(spark):
     assert texts[12][a:b] == pem
 
 
-@pytest.mark.parametrize("counts", [[1000], [500, 300, 7, 1], [64, 64], [5000, 1, 1, 1, 1, 300]])
-def test_schedule_keeps_within_a_block(counts):
-    weights = [n**0.5 for n in counts]
-    phases = mixing.schedule(counts, weights, 256)
-    every = [(int(mixing.place(phases, np.array([s]), np.array([b]))[0][0]), s) for s, n in enumerate(counts) for b in range(n)]
-    assert sorted(t for t, _ in every) == list(range(sum(counts)))
-    order = [s for _, s in sorted(every)]
-    for k, p in enumerate(phases):
-        end = phases[k + 1].first_slot if k + 1 < len(phases) else len(order)
-        done = collections.Counter()
-        for t in range(p.first_slot, end):
-            done[order[t]] += 1
-            assert all(abs(done[s] - (t + 1 - p.first_slot) * len(p.slots[s]) / p.period) < 1 for s in p.slots)
+def fluid_done(counts, weights, until):
+    """Blocks of each source that the fluid mix has done by each slot, by running it event for event."""
+    left, w, t, done = [Fraction(n) for n in counts], [Fraction(x) for x in weights], Fraction(0), [Fraction(0)] * len(counts)
+    out = [list(done)]
+    for end in range(1, until + 1):
+        while t < end and any(left):
+            total = sum(x for x, n in zip(w, left) if n)
+            step = min(end - t, *(n * total / x for x, n in zip(w, left) if n))
+            for s, n in enumerate(left):
+                if n:
+                    left[s], done[s] = n - step * w[s] / total, done[s] + step * w[s] / total
+            t += step
+        out.append(list(done))
+    return out
+
+
+@pytest.mark.parametrize("counts, weights", [([1000], [1.0]), ([250, 150, 7, 1], None), ([64, 64], [0.7, 0.3]), ([600, 1, 1, 1, 1, 90], None), ([300, 300, 300], [0.9, 0.0999, 0.0001])])
+def test_schedule_keeps_within_a_block_of_the_fluid_mix(counts, weights):
+    weights = weights or [n**0.5 for n in counts]
+    got = list(mixing.schedule(counts, weights))
+    assert [t for _, _, t, _, _ in got] == list(range(sum(counts)))
+    assert sorted((s, i) for s, i, *_ in got) == [(s, i) for s, n in enumerate(counts) for i in range(n)]
+    assert all(release <= t < deadline for _, _, t, release, deadline in got)
+    want, done = fluid_done(counts, weights, sum(counts)), [0] * len(counts)
+    for s, _, t, _, _ in got:
+        done[s] += 1
+        assert all(abs(a - b) < 1 for a, b in zip(done, want[t + 1], strict=True))
 
 
 def test_schedule_keeps_to_the_weights_themselves():
-    weights = [1 / 3, *[2 / 57] * 19]
-    parts = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
-    counts = [int(w * 100_000) for w in weights]
-    phases = mixing.schedule(counts, weights)
-    slots = [mixing.place(phases, np.full(n, s), np.arange(n)) for s, n in enumerate(counts)]
-    for (slot, release, deadline), w in zip(slots, parts, strict=True):
-        first = slot < phases[0].period
-        assert phases[0].period > 20 * 4096 and all(release <= slot) and all(slot < deadline)
-        # Before and after each block.
-        assert all(abs(b - int(t) * w) < 1 and abs(b + 1 - (int(t) + 1) * w) < 1 for b, t in enumerate(slot[first]))
+    for weights, n in (([1 / 3, *[2 / 57] * 19], 60_000), ([0.9, 0.0999, 0.0001], 300_000)):
+        parts = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+        done = [0] * len(weights)
+        for s, i, t, _, _ in itertools.islice(mixing.schedule([n] * len(weights), weights), n):
+            # Before and after each block.
+            assert i == done[s] and abs(i - t * parts[s]) < 1 and abs(i + 1 - (t + 1) * parts[s]) < 1
+            done[s] += 1
+
+
+def test_schedule_of_many_sources():
+    counts = [1 + i % 17 for i in range(30_000)]
+    last = -1
+    for _, _, t, release, deadline in mixing.schedule(counts, [n**0.5 for n in counts]):
+        assert release <= t < deadline and t == last + 1
+        last = t
 
 
 def test_mixing(spark):
@@ -189,6 +208,10 @@ def test_mixing(spark):
     ordered = [r.position for r in mixing.in_order(mixing.mix(frame, block_docs=8)).collect()]
     assert ordered == sorted(ordered)
     assert mixing.mix(docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, "a", "s", 1, 2, 3), (None, "a", "s", 1, 2, 3), (5, None, None, 1, 2, 3), (5, "b", "t", 1, 2, 3), (5, "b", "t", 1, 2, 3)], "doc_id long, text string, source string, hash int, `row` int, rank int")
+    got = mixing.mix(odd, block_docs=1).collect()
+    assert sorted(r.position for r in got) == list(range(5)) and collections.Counter((r.doc_id, r.text) for r in got) == {(None, "a"): 2, (5, None): 1, (5, "b"): 2}
+    assert all((r["hash"], r["row"], r["rank"]) == (1, 2, 3) for r in got)
 
 
 def test_warc_round_trip(spark):
