@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -119,7 +120,8 @@ def test_embeddings_empty(spark):
 
 def brute_base(text):
     text, out = text or "", []
-    for kind, pattern, least, group in (("assign", secrets.ASSIGN, 12, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 18, 0), ("hex", re.compile("[0-9a-f]+"), 16, 0)):
+    assign = re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"\']? *[:=] *[\"\']?([A-Za-z0-9+/_.=-]+)")
+    for kind, pattern, least, group in (("assign", assign, 12, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 18, 0), ("hex", re.compile("[0-9a-f]+"), 16, 0)):
         out += [(m.start(), ("assign", "access", "hex").index(kind), m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
 
@@ -165,6 +167,43 @@ def fluid_done(counts, weights, until):
     return out
 
 
+def der_key(size=64):
+    return der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1]) * size) for _ in range(8)))
+
+
+def pem_of(data, label="RSA PRIVATE KEY"):
+    key = base64.b64encode(data).decode()
+    return f"-----BEGIN {label}-----\n" + "\n".join(key[i : i + 64] for i in range(0, len(key), 64)) + f"\n-----END {label}-----"
+
+
+def test_secrets_are_decoded_whatever_they_begin_with():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    key = base64.b64encode(der_key()).decode()
+    wrapped = "\n".join(key[i : i + 64] for i in range(0, len(key), 64))
+    many = base64.b64encode(b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (40).to_bytes(4, "big") + string(b"p" * 40) * 40 + string(b"k" * 90)).decode()
+    token = ".".join((part(b'{ "alg":"HS256"}'), part(b'{"sub":"1"}'), part(b"s" * 32)))
+    twice = base64.b64encode(pem_of(der_key()).encode()).decode()
+    cases = [
+        ("data: {}", twice, "pem"), ("{}", base64.b64encode(twice.encode()).decode(), "pem"), ("{}", pem_of(der_key()).encode().hex(), "pem"),
+        ("a\n\n{}\n\nb", wrapped, "der"), ("x {} y", wrapped.replace("\n", "\\n"), "der"), ("/{}", key, "der"), ("<{}>", many, "openssh"),
+        ("{}", pem_of(der_key(20_000)), "pem"), ("t={}", token, "jwt"), ("prefix12.{}", token, "jwt"), ("auth_{}", token, "jwt"), ("{}", base64.b64encode(("t " + token).encode()).decode(), "jwt"),
+    ]
+    for frame, secret, kind in cases:
+        text = frame.format(secret)
+        at = text.index(secret)
+        assert (at, secrets.KINDS.index(kind), at + len(secret)) in secrets.confirmed_spans(text), (frame, kind, secrets.confirmed_spans(text))
+    for clean in (key[:-8], wrapped[:-8], pem_of(der_key()[:-1]), twice[:200], "-" * 200, "a" * 400, token[:-40], many[:-8], base64.b64encode(b"some plain text without a key, but of a good length").decode()):
+        assert secrets.confirmed_spans(clean) == []
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 300_000, "A" * 1_000_000, "A" * 64 + ("\n" + "A" * 64) * 15_000, "aaaaaaaa." * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "MII" * 300_000, "30" * 400_000])
+def test_secrets_take_linear_time(text):
+    start = time.process_time()
+    secrets.confirmed_spans(text)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize("counts, weights", [([1000], [1.0]), ([250, 150, 7, 1], None), ([64, 64], [0.7, 0.3]), ([600, 1, 1, 1, 1, 90], None), ([300, 300, 300], [0.9, 0.0999, 0.0001])])
 def test_schedule_keeps_within_a_block_of_the_fluid_mix(counts, weights):
     weights = weights or [n**0.5 for n in counts]

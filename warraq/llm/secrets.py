@@ -1,8 +1,10 @@
 """Secret scans: three base patterns, and structures confirmed by decoding.
 
-A base64 or hex candidate is reported only when its bytes parse: DER private keys whose nested
+Every run of base64 or hex characters that is long enough is a candidate, also one that is wrapped
+over lines. It is reported only when its bytes parse: DER private keys whose nested
 lengths add up, OpenSSH private keys whose length-prefixed fields add up, PEM blocks around either,
-and signed tokens whose header and payload are JSON objects with an algorithm.
+signed tokens whose header and payload are JSON objects with an algorithm, and text in which one of
+these is found in turn.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,14 +28,17 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.{1,200000}?)-----END \1-----", re.S)
-BASE64_DER = re.compile(r"M[A-Za-z0-9+/_-]{39,}={0,2}")
-BASE64_OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{20,}={0,2}")
-HEX_DER = re.compile(r"30[0-9A-Fa-f]{78,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+BEGIN, END = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----"), "-----END %s-----"
+#: Runs of base64 and hex characters. A hex run is a base64 run, too.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: A run that goes on over lines of at least 40 characters, with line ends as they are or escaped.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+\r?\n[ \t]*+|(?:\\r)?\\n))++[A-Za-z0-9+/_-]++={0,2}")
+#: Three runs with dots between; the first begins where no run goes on.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]*+)")
+#: Layers of encoding that are taken off.
+DEPTH = 4
 WORDS = ("password", "passwd", "secret", "token")
-BASE64_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")
-HEX_CHARS = frozenset("0123456789abcdefABCDEF")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 
 
 def decode64(text: str) -> bytes | None:
@@ -102,7 +108,7 @@ def is_openssh_key(data: bytes) -> bool:
     if at + 4 > len(data):
         return False
     left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
-    if not 2 <= left <= 17:
+    if left < 2:
         return False
     while left:
         if at + 4 > len(data):
@@ -112,11 +118,13 @@ def is_openssh_key(data: bytes) -> bool:
     return at == len(data)
 
 
-def is_token(text: str) -> bool:
+def is_token(head: str, payload: str, signature: str) -> bool:
     """A signed token: header with an algorithm, payload object, and a signature unless the algorithm is none."""
-    head, payload, signature = text.split(".")
+    data = decode64(head)
+    if not data or data.lstrip()[:1] != b"{":
+        return False
     try:
-        h, p = json.loads(decode64(head) or b""), json.loads(decode64(payload) or b"")
+        h, p = json.loads(data), json.loads(decode64(payload) or b"")
     except (ValueError, RecursionError):
         return False
     if not (isinstance(h, dict) and isinstance(p, dict) and isinstance(h.get("alg"), str)):
@@ -124,6 +132,19 @@ def is_token(text: str) -> bool:
     return h["alg"].lower() == "none" or len(decode64(signature) or b"") >= 16
 
 
+def token_spans(text: str) -> Iterator[tuple[int, int, int]]:
+    """Signed tokens. A run may be the first, second or third part, and a name may stand before the first."""
+    at = 0
+    while m := TOKEN.search(text, at):
+        names = (x.start() for x in re.finditer(r"(?<=[_-])(?=e[yw])", m[1][:64]))
+        found = next((s for s in (0, *names) if is_token(m[1][s:], m[2], m[3])), None)
+        if found is None:
+            at = m.end(1)
+        else:
+            yield m.start() + found, 6, m.end()
+            at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the base patterns, leftmost non-overlapping per kind."""
     out = []
@@ -136,28 +157,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """``(start, kind, end)`` of candidates whose decoded structure holds."""
-    out = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s|^[A-Za-z-]+: [^\n]*$", "", m[2], flags=re.M)
-            data = decode64(body)
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                out.append((m.start(), 3, m.end()))
-    for pattern, chars, decode in ((BASE64_DER, BASE64_CHARS, decode64), (HEX_DER, HEX_CHARS, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            if m.start() and text[m.start() - 1] in chars - {"="}:
-                continue
-            data = decode(m[0])
-            if data and is_der_key(data):
-                out.append((m.start(), 4, m.end()))
-    for m in BASE64_OPENSSH.finditer(text) if "b3BlbnNzaC1rZXktdjE" in text else ():
-        data = decode64(m[0])
-        if data and is_openssh_key(data):
-            out.append((m.start(), 5, m.end()))
-    if "eyJ" in text:
-        out += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
+def kind_of(data: bytes, depth: int) -> int | None:
+    """The kind of a decoded candidate, or of what it holds in turn as text."""
+    if data[:1] == b"0" and is_der_key(data):
+        return 4
+    if is_openssh_key(data):
+        return 5
+    if depth:
+        # Text is told by its first bytes, so that binary data is not decoded as a whole.
+        try:
+            data[:64].decode("ascii")
+            text = data.decode("ascii")
+        except UnicodeDecodeError:
+            return None
+        inner = confirmed_spans(text, depth - 1)
+        return min(inner)[1] if inner else None
+    return None
+
+
+def readings(run: str) -> Iterator[bytes]:
+    """The bytes that a run may stand for."""
+    if len(run) % 2 == 0 and HEX_RUN.fullmatch(run):
+        yield bytes.fromhex(run)
+    if data := decode64(run):
+        yield data
+
+
+def starts(run: str) -> Iterator[int]:
+    """Places in a run at which base64 may begin: its own, and after signs that paths and names put before a value."""
+    yield 0
+    for m in re.finditer(r"(?<=[/_-])(?=M[A-Za-z0-9+/])", run[:64]):
+        yield m.start()
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and characters of base64 and hex runs, over lines first."""
+    for m in WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        yield m.start(), m.end(), re.sub(r"\s|\\[rn]", "", m[0])
+    for m in RUN.finditer(text):
+        yield m.start(), m.end(), m[0]
+
+
+def pem_spans(text: str) -> Iterator[tuple[int, int, int]]:
+    """PEM blocks from each opening line to the next closing one of its label, whose body holds a key."""
+    end = 0
+    for m in BEGIN.finditer(text):
+        if m.start() < end:
+            continue
+        close = END % m[1]
+        other = text.find("-----BEGIN ", m.end())
+        stop = text.find(close, m.end(), other if other >= 0 else len(text))
+        if stop < 0:
+            continue
+        body = re.sub(r"\\[nr]|^[A-Za-z0-9-]+: [^\n]*$", "", text[m.end() : stop], flags=re.M)
+        data = decode64(re.sub(r"\s", "", body))
+        if data and (is_der_key(data) or is_openssh_key(data)):
+            end = stop + len(close)
+            yield m.start(), 3, end
+
+
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+    """``(start, kind, end)`` of candidates whose decoded structure holds; those within a reported one are left out."""
+    out = list(pem_spans(text)) if "-----BEGIN " in text else []
+    taken = sorted((a, b) for a, _, b in out)
+    for a, b, run in candidates(text):
+        # A PEM block or a wrapped run holds its lines.
+        k = bisect_right(taken, (a, len(text) + 1)) - 1
+        if k >= 0 and b <= taken[k][1]:
+            continue
+        found = next(((a + s, k) for s in (starts(run) if b - a == len(run) else (0,)) for data in readings(run[s:]) if (k := kind_of(data, depth)) is not None), None)
+        if found:
+            out.append((found[0], found[1], b))
+            insort(taken, (a, b))
+    if "." in text:
+        out += token_spans(text)
     return out
 
 
