@@ -268,26 +268,106 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+CHAT = "conv_id long, turn long, role string, text string, me string, parent int"
+
+
+def linked(spark, rows):
+    return {(r.conv_id, r.turn): r for r in chat.link(spark.createDataFrame([(*r, "clash", 1) for r in rows], CHAT)).collect()}
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt is long."),
-        (1, 1, "assistant", "Use sorted on it."),
-        (1, 2, "user", "> How do I sort  a LIST?\n>> nobody wrote this\nOn Monday X wrote:\n> Use sorted on it.\n> It is long.\n\nThanks"),
+        (1, 1, "assistant", "Use sorted on it, please do."),
+        (1, 2, "user", "> How do I sort  a LIST?\n>> nobody wrote this\nOn Monday X wrote:\n> It is long.\n\nThanks"),
         (1, 3, "user", "> Thanks\nYou are welcome"),
-        (2, 0, "user", "> Use sorted on it.\nfrom elsewhere"),
+        (2, 0, "user", "> Use sorted on it, please do.\nfrom elsewhere"),
         (2, 1, "user", None), (2, 1, "user", None), (None, 3, "user", "> Thanks\nx"), (3, None, "user", "y"), (4, 0, "u", "> only itself\nonly itself"),
     ]
-    got = {(r.conv_id, r.turn): r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    got = linked(spark, rows)
     r = got[1, 2]
-    assert (r.text, r.parent_turn, r.root_turn, r.n_quoted, r.n_linked) == ("Thanks", 0, 0, 4, 3)
-    assert (got[1, 3].text, got[1, 3].parent_turn, got[1, 3].root_turn) == ("You are welcome", 2, 0)
+    assert (r.text, r.parent_turn, r.root_turn, r.depth, r.n_quoted, r.n_linked) == ("Thanks", 0, 0, 1, 3, 2)
+    assert (got[1, 3].text, got[1, 3].parent_turn, got[1, 3].root_turn, got[1, 3].depth) == ("You are welcome", 2, 0, 2)
     assert (got[2, 0].parent_conv, got[2, 0].root_conv, got[2, 0].root_turn) == (1, 1, 1)
     assert (got[2, 1].text, got[2, 1].parent_turn) == ("", None)
-    assert got[None, 3].text == "x" and got[None, 3].n_linked == 0
+    assert got[None, 3].text == "x" and got[None, 3].n_linked == 0 and got[3, None].root_conv == 3
     assert got[4, 0].parent_turn is None
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_wrapped_anew_and_short_ones(spark):
+    long = "We should move the meeting to Thursday because two of us cannot come on Wednesday at all."
+    rows = [
+        (7, 0, "u", "Hello.\n" + long + "\nBye."),
+        # The mail client broke the line elsewhere.
+        (7, 1, "u", "> " + long[:40].rstrip() + "\n> " + long[40:].lstrip() + "\nFine."),
+        (20, 0, "u", "Yes"), (40, 0, "u", "Shall we go?"), (40, 1, "u", "> yes\nno"),
+        # The nearest earlier writer, not the first.
+        (50, 0, "u", "Agreed"), (50, 1, "u", "Really?"), (50, 2, "u", "Agreed"), (50, 3, "u", "> Agreed\nGood."),
+        # Only a later turn here wrote it, and an earlier one elsewhere.
+        (60, 0, "u", "> " + long + "\nI saw this."), (60, 1, "u", long),
+        # A quote of a quote alone leads to what it quotes.
+        (70, 0, "u", long + " Truly."), (70, 1, "u", ">> " + long + " Truly.\nOh."),
+        # Long texts, scripts without blanks.
+        (80, 0, "u", "word " * 60_000 + "end"), (80, 1, "u", "> " + "word " * 60_000 + "end\nok"), (81, 0, "u", "今天天气很好我们去公园散步吧"), (81, 1, "u", "> 今天天气很好\n> 我们去公园散步吧\n好"),
+    ]
+    got = {k: (r.parent_conv, r.parent_turn) for k, r in linked(spark, rows).items()}
+    assert got[7, 1] == (7, 0) and got[40, 1] == (None, None) and got[50, 3] == (50, 2) and got[60, 0] == (7, 0)
+    assert got[70, 1] == (70, 0) and got[80, 1] == (80, 0) and got[81, 1] == (81, 0)
+
+
+def test_rings_have_one_root(spark):
+    line = {k: f"message number {k} says that all of this is true and nothing else matters at all here" for k in (1, 5, 7, 9, 11)}
+    quotes = {5: 7, 7: 5, 1: 5, 9: 1}
+    rows = [(k, 0, "u", (f"> {line[quotes[k]]}\n" if k in quotes else "") + line[k]) for k in line]
+    got = {c: (r.parent_conv, r.root_conv, r.depth, r.position) for (c, _), r in linked(spark, rows).items()}
+    assert got == {5: (7, 5, 0, 0), 7: (5, 5, 1, 2), 1: (5, 5, 1, 1), 9: (1, 5, 2, 3), 11: (None, 11, 0, 0)}
+
+
+def test_quotation_links_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 4)
+    rng, rows, words = random.Random(12), [], [f"w{k}" for k in range(400)]
+    for conv in range(12):
+        for turn in range(14):
+            own = " ".join(rng.choice(words) for _ in range(rng.randrange(9, 30)))
+            if rows and rng.random() < 0.1:
+                own = rng.choice(rows)[4]
+            quote = ""
+            if rows and rng.random() < 0.8:
+                there = rng.choice(rows if rng.random() < 0.3 else rows[-6:])[4].split()
+                lo = rng.randrange(len(there) - 8)
+                part = there[lo : lo + rng.randrange(8, len(there) - lo + 1)]
+                at = rng.randrange(1, len(part))
+                quote = "> " + " ".join(part[:at]) + "\n> " + " ".join(part[at:]) + "\n"
+            rows.append((conv, turn, "u", quote + own, own, quote.replace("\n", " ").replace("> ", "").split()))
+    rng.shuffle(rows)
+    parents = {}
+    for conv, turn, _, _, _, quote in rows:
+        if quote:
+            q = " " + " ".join(quote) + " "
+            holds = [(c, t) for c, t, _, _, own, _ in rows if q in f" {own} "]
+            here = [x for x in holds if x[0] == conv and x[1] < turn]
+            there = [x for x in holds if x[0] != conv]
+            if here or there:
+                parents[conv, turn] = max(here) if here else min(there)
+
+    def path(x):
+        seen = [x]
+        while seen[-1] in parents and parents[seen[-1]] not in seen:
+            seen.append(parents[seen[-1]])
+        return seen
+
+    got = linked(spark, [r[:4] for r in rows])
+    assert {k: (r.parent_conv, r.parent_turn) for k, r in got.items() if r.parent_conv is not None} == parents
+    for k, r in got.items():
+        way = path(k)
+        ring = way[way.index(parents[way[-1]]) :] if way[-1] in parents else [way[-1]]
+        assert (r.root_conv, r.root_turn) == min(ring) and r.depth == way.index(min(ring)), k
+    for root in {(r.root_conv, r.root_turn) for r in got.values()}:
+        thread = sorted((r.position, r.depth, k) for k, r in got.items() if (r.root_conv, r.root_turn) == root)
+        assert [p for p, _, _ in thread] == list(range(len(thread))) and [(d, k) for _, d, k in thread] == sorted((d, k) for _, d, k in thread)
+
+
 def test_fingerprints_against_next(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randrange(1, 600)) for _ in range(60)] + EDGES

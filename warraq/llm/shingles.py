@@ -16,7 +16,9 @@ WIDTH = 5
 #: Document frequencies are counted by word hash in this many bins, so that the table has one size at any scale.
 BINS = 1 << 18
 CACHE = 250_000
-WORD = re.compile(r"\w+")
+#: Scripts that are written without blanks (Thai, Lao, Myanmar, Khmer, Han and Kana), each character of which is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 #: Odd multipliers of the five words of a shingle.
 MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xC2B2AE3D27D4EB4F << k)) % (1 << 64) | 1 for k in range(WIDTH)]
 
