@@ -268,6 +268,29 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_payloads_are_verified(spark, tmp_path):
+    big = "long text " * 300
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "small")], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}"
+    members = warc.normalise(warc.write_archives(pages, folder), folder)
+    row = members.first()
+    entries = [json.loads(x) for x in open(row.index_path.removeprefix("file://"))]
+    data = open(row.path.removeprefix("file://"), "rb").read()
+    each = [zlib.decompress(data[e["offset"] : e["offset"] + e["length"]], 31) for e in entries]
+    assert row.n_records == 3 and sum(e["length"] for e in entries) == len(data)
+    read = warc.read_members(members, payloads=True)
+    assert {r.page_id: r.payload and bytes(r.payload).decode() for r in read.collect()} == {1: None, 2: big, 3: "small"}
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.resolve(read).collect()} == {1: (3000, 2), 2: (3000, None), 3: (5, None)}
+    full = next(x for x in each if b"page:2>" in x and b"WARC-Type: response" in x)
+    assert warc.parsed(full)[1] == 3000
+    with pytest.raises(ValueError, match="payload"):
+        warc.parsed(full.replace(b"long text", b"lang text", 1))
+    with pytest.raises(Exception, match="nothing to revisit"):
+        warc.resolve(read.where("page_id <> 2")).collect()
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.records(iter([full[:-9]])))
+
+
 CHAT = "conv_id long, turn long, role string, text string, me string, parent int"
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm.common import scratch_path, ship, stored
+from warraq.llm.common import discard, remove, scratch_path, ship, stored
 
 #: Payloads of fewer bytes are written whole even when they repeat.
 REVISIT_BYTES = 1000
@@ -22,20 +24,17 @@ CHUNK = 1 << 20
 
 
 def _open(uri: str):
+    """The file system and path of a URI of the shared folder, as Hadoop or Arrow spell its scheme."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def put(uri: str, write) -> None:
-    """Write a file under a name of this attempt's own, then move it to ``uri``; a second attempt replaces it whole."""
-    import uuid
-
+    """Write a file whose name is this attempt's own: a task that runs again writes another one, and the table of files names the one that counts."""
     system, path = _open(uri)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(own, compression=None) as f:
+    with system.open_output_stream(path, compression=None) as f:
         write(f)
-    system.move(own, path)
 
 
 def record_id(page: int | None) -> str:
@@ -115,34 +114,43 @@ def _page(field: str) -> int | None:
 
 
 def parsed(data: bytes) -> tuple:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and, for responses, the payload."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and the payload. A response's are of the payload as it
+    was read, and must be what its header says; a revisit has no payload, and those of the header."""
     head, _, block = data.partition(b"\r\n\r\n")
     h = header_fields(head)
     http, _, body = block[: int(h["content-length"])].partition(b"\r\n\r\n")
-    digest = base64.b32decode(h["warc-payload-digest"].partition(":")[2]).hex()
-    revisit = h["warc-type"] == "revisit"
-    return _page(h["warc-record-id"]), int(header_fields(http)["content-length"]), digest, h["warc-type"], _page(h["warc-refers-to"]) if revisit else None, None if revisit else body
+    digest, size = base64.b32decode(h["warc-payload-digest"].partition(":")[2]).hex(), int(header_fields(http)["content-length"])
+    if h["warc-type"] == "revisit":
+        return _page(h["warc-record-id"]), size, digest, "revisit", _page(h["warc-refers-to"]), None
+    found = hashlib.sha1(body).hexdigest()
+    if (len(body), found) != (size, digest):
+        raise ValueError(f"the payload of {h['warc-record-id']} has {len(body)} bytes and SHA-1 {found}, its header says {size} and {digest}")
+    return _page(h["warc-record-id"]), len(body), found, "response", None, body
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages to monolithic ``.warc.gz`` files, one gzip stream per partition; a manifest ``(path, n_records)``.
 
-    Equal payloads of 1,000 bytes or more are found by SHA-1 and length: the largest page_id keeps the
+    Equal payloads of 1,000 bytes or more are found by length and SHA-256: the largest page_id keeps the
     payload, others refer to it. Rows that repeat the same page_id and payload are all responses. A
     null html is an empty payload, a null url gets the record's own URN, and a null page_id
-    is never referred to. Only digests that occur twice are joined back.
+    is never referred to. Other columns are not read; an empty table writes no file. Payloads are shuffled by page_id, which
+    spreads a payload that many pages share, and only revisits are joined to them.
     """
     ship(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
-    twice = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    marked = rows.join(twice, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"same": F.sha2(F.col("html").cast("binary"), 256), "size": F.octet_length("html")})
+    large = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "same", "size").distinct()
+    last = large.groupBy("same", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = large.join(last, ["same", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("page"), F.col("same").alias("of"), "refers_to")
+    # Pages without an id are spread by payload, to meet their own revisits.
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("same") == F.col("of")), "left")
+    marked = joined.select("page_id", "url", "html", F.sha1(F.col("html").cast("binary")).alias("digest"), "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uri, n = f"{folder}/whole-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        uri, n = f"{folder}/whole-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
 
         def write(f) -> None:
             nonlocal n
@@ -162,8 +170,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Rewrite every archive of ``manifest(path)`` with one gzip member per record and a sidecar index.
 
-    The whole-file stream is inflated once. The index beside each file is a line of JSON per record:
-    offset and length of its member, record id and type. Returns ``(path, index_path, n_records)``.
+    The whole-file stream is inflated once, with one record in memory. The index beside each file is a line of JSON per record:
+    offset and length of its member, record id and type. Returns ``(path, index_path, n_records)``; a null path and
+    an empty table give no rows, a repeated path a file for each row, and other columns are not read. An archive that ends early is an error.
     """
     spark = ship(manifest.sparkSession)
 
@@ -172,7 +181,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
             out: list[tuple] = []
             for uri in b.column(0).to_pylist():
                 name = uri.rpartition("/")[2].removesuffix(".warc.gz")
-                to = f"{folder}/members-{name}.warc.gz"
+                to = f"{folder}/members-{name}-{uuid.uuid4().hex}.warc.gz"
                 lines: list[str] = []
 
                 def write(f, uri=uri, lines=lines) -> None:
@@ -194,11 +203,15 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(dict(zip(("path", "index_path", "n_records"), map(list, zip(*out, strict=True)), strict=True)))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return stored(manifest.select("path").repartition(n, "path").mapInArrow(run, "path string, index_path string, n_records long"), "normalised")
+    return stored(manifest.where("path is not null").select("path").repartition(n, "path").mapInArrow(run, "path string, index_path string, n_records long"), "normalised")
 
 
 def read_members(normalised: DataFrame, payloads: bool = False) -> DataFrame:
-    """Read every record of normalised archives by its index entry: one row per record."""
+    """Read every record of normalised archives by its index entry: one row per record.
+
+    Payloads are hashed as they are read; one that is not what its header says is an error. A revisit has the digest of its
+    header, and no payload. An empty table gives no rows; other columns are not read.
+    """
     spark = ship(normalised.sparkSession)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
@@ -222,11 +235,33 @@ def read_members(normalised: DataFrame, payloads: bool = False) -> DataFrame:
     return normalised.select("path", "index_path").repartition(n, "path").mapInArrow(run, schema)
 
 
+def resolve(records: DataFrame) -> DataFrame:
+    """``records`` as read, with each revisit's ``payload_bytes`` and ``payload_digest`` taken from the response that it refers to.
+
+    A revisit without such a response, or with another digest than it, is an error. Other columns pass through, also the null payload of
+    a revisit. Responses are reduced to one row for each page and digest before they are joined.
+    """
+    revisit = F.col("record_type") == "revisit"
+    held = records.where(~revisit).groupBy(F.col("page_id").alias("held_page"), F.col("payload_digest").alias("held_digest")).agg(F.max("payload_bytes").alias("held_bytes"))
+    joined = records.where(revisit).join(held, (F.col("refers_to") == F.col("held_page")) & (F.col("payload_digest") == F.col("held_digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("nothing to revisit for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    found = joined.withColumns({"payload_bytes": F.when(F.col("held_bytes").isNull(), lost.cast("long")).otherwise(F.col("held_bytes")), "payload_digest": F.col("held_digest")})
+    return records.where(~revisit).unionByName(found.select(*records.columns))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages, normalise the archives, and read each record back through the index.
+    """Write pages, normalise the archives, read each record back through the index and resolve revisits.
 
-    Files go to the shared folder. An empty table gives no rows.
+    Files go to the shared folder and are removed when the records have been read. An empty table gives no rows.
     """
-    folder = scratch_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    folder = scratch_path(spark, "warc")
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
-    return read_members(normalise(write_archives(pages, folder), folder))
+    manifest = write_archives(pages, folder)
+    members = normalise(manifest, folder)
+    for row in manifest.select("path").toLocalIterator():
+        remove(spark, row["path"])
+    records = stored(read_members(members), "records")
+    remove(spark, folder)
+    discard(manifest, members)
+    return resolve(records)
