@@ -17,12 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warraq.llm.common import ship, stored, whole
+from warraq.llm.common import discard, ship, stored, whole
+from warraq.llm.shingles import UNSPACED
 
 #: Words of a line that a deleted block must hold.
 ANCHOR_WORDS = 5
 #: Words of an aligned block that is deleted.
 BLOCK_WORDS = 20
+#: Words of a line: runs without blanks, and each character of a script that has none between words.
+WORDS = rf"[^\s{UNSPACED}]+|[{UNSPACED}]"
+#: Alignments with one earlier document that a task takes together.
+SHARE = 512
 #: The polynomial by which windows of lines are hashed.
 PRIME, BASE = (1 << 61) - 1, 0x1D2F3A4B5C6D7E9
 
@@ -156,13 +161,15 @@ def find_repeats(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words:
     """Line ranges to delete: ``doc_id, same, removed array<struct<first, last>>`` (ends exclusive) of documents that have any.
 
     Lines are compared without blanks at their ends. ``same`` is the MD5 of the text, so that rows
-    that share a doc_id but not the text keep their own ranges.
+    that share a doc_id but not the text keep their own ranges. Null ids are left out, a null text is empty, other
+    columns are not read, and an empty table gives no rows. An earlier document that many others are aligned with is
+    sent to several tasks.
     """
     ship(docs.sparkSession)
     split = F.split(F.col("text"), "\n")
     trimmed = F.transform(split, lambda x: F.trim(x))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where("doc_id is not null")
-    words = F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+"))))
+    words = F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(WORDS)))
     read = texts.select("doc_id", F.md5("text").alias("same"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), words.alias("words"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +181,7 @@ def find_repeats(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words:
     windows = lines.select("doc_id", F.explode("windows").alias("window"))
     first = windows.groupBy("window").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest")
     pairs = windows.join(first.select("window", "earlier"), "window").where("earlier < doc_id").select("doc_id", "earlier").distinct()
+    pairs = stored(pairs, "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,10 +192,15 @@ def find_repeats(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], names=["doc_id", "same", "removed"])
 
     # Of documents that share an id, each is aligned; the earlier one is any of its own texts.
+    hot = pairs.groupBy("earlier").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     other = lines.groupBy(F.col("doc_id").alias("earlier")).agg(F.min_by("lines", "same").alias("theirs"))
-    both = pairs.join(lines, "doc_id").join(other, "earlier").select("doc_id", "same", "lines", "words", "theirs")
+    other = other.join(hot, "earlier").select("earlier", "theirs", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = pairs.join(hot, "earlier").select("doc_id", "earlier", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"))
+    both = dealt.join(lines, "doc_id").join(other, ["earlier", "share"]).select("doc_id", "same", "lines", "words", "theirs")
     ranges = both.mapInArrow(run, "doc_id long, same string, removed array<struct<first: int, last: int>>").where(F.size("removed") > 0)
-    return ranges.groupBy("doc_id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    out = stored(ranges.groupBy("doc_id", "same").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed")), "repeats")
+    discard(lines, pairs)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -197,13 +210,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or more and a line of five or more; other repeats stay. The first document that holds a block is
     never changed on its account. A null text stays null, an emptied one is "". Rows with
     a null id stay as they are; repeated rows get the same deletions; other columns pass through; an
-    empty table gives no rows.
+    empty table gives no rows. Each character of a script without blanks is a word. ``removed`` of docs is replaced.
     """
     docs = docs.drop("removed")
-    repeats = find_repeats(docs, id_col=id_col, text_col=text_col, **options)
-    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("removed").alias("_removed"))
-    joined = docs.join(repeats, (F.col(id_col).cast("long") == F.col("_id")) & (F.md5(whole(text_col)) == F.col("_same")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.exists("_removed", lambda r: (i >= r["first"]) & (i < r["last"])))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    plain = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns]
-    return joined.select(*plain, F.coalesce("_removed", F.expr("cast(array() as array<struct<first: int, last: int>>)")).alias("removed"))
+    repeats = find_repeats(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("removed", "ranges")
+    # The row goes along as one column, so that its names meet none of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(whole(text_col)).alias("same"))
+    joined = rows.join(repeats, ["doc_id", "same"], "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("ranges", lambda r: (i >= r["first"]) & (i < r["last"])))
+    text = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    plain = [F.col(f"row.`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns]
+    return joined.select(*plain, F.coalesce("ranges", F.expr("cast(array() as array<struct<first: int, last: int>>)")).alias("removed"))
