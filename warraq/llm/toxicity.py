@@ -154,12 +154,15 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 50_000, id_col: s
     Fitted on at most ``most_rows`` labelled rows, chosen by hash of doc_id; that bound makes their
     ids and labels small enough to broadcast, so texts are not shuffled. All their stems are
     weighed, and only the entries collected. Rows without a label or an id are left out; of labels
-    that differ the larger counts. Without both classes the fixed list is used.
+    that differ the larger counts, and of texts that share a doc_id the least, so that repeated rows
+    do not add to the sample. A null text is empty. Without both classes, as with an empty table, the fixed list is used.
+    Other columns are not read.
     """
     ship(docs.sparkSession)
     told = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).join(F.broadcast(told), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).persist()
+    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).join(F.broadcast(told), "doc_id")
+    train = train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic").persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
@@ -207,7 +210,8 @@ def assess(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
     """Score every whole text: ``doc_id, held_out, score, predicted, n_words, n_hits`` per row of docs.
 
     With ``keep``, the columns of docs and ``score`` instead. Null and empty texts score as texts
-    without hits; a null doc_id is not held out; repeated rows are scored each.
+    without hits; a null doc_id is not held out; repeated rows are scored each; very long texts are scored whole; a ``score`` of docs is
+    replaced with ``keep``, and other columns do not matter. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     entries, coefficients = lexicon.entries, lexicon.coefficients
