@@ -408,6 +408,52 @@ def test_fingerprints_against_next(spark):
     assert [r.fingerprint == fingerprints.fingerprint(r.text) for r in fingerprints.fingerprints(docs(spark, EDGES)).collect()] == [True] * len(EDGES)
 
 
+def brute_fingerprint(text):
+    """Byte by byte: a chunk ends where the hash of seven bytes has all low bits set and a quarter of the size has passed."""
+    data = text.encode()
+    size = 1
+    while size * 64 < len(data):
+        size *= 2
+    out = [str(size)]
+    for s in (size, 2 * size):
+        symbols, start = [], 0
+        for end in range(len(data)):
+            h = 0
+            for k in range(7):
+                if end - k >= 0:
+                    h = (h + data[end - k] * pow(0x01000193, k + 1, 1 << 32)) % (1 << 32)
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % (1 << 32) >> 8
+            if h % s == s - 1 and end + 1 - start >= max(1, s // 4):
+                symbols.append(zlib.crc32(data[max(0, start - 6) : end + 1]) % 4096)
+                start = end + 1
+        if start < len(data):
+            symbols.append(zlib.crc32(data[max(0, start - 6) :]) % 4096)
+        out.append("".join(fingerprints.ALPHABET[x // 64] + fingerprints.ALPHABET[x % 64] for x in symbols))
+    return ":".join(out)
+
+
+def test_fingerprint_against_brute_force():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 6, 7, 30, 63, 64, 65, 500, 5000):
+        text = "".join(rng.choice("abcdé ") for _ in range(n))
+        assert fingerprints.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = [(None, "b"), (None, "a"), (None, None), (3, "x y z"), (3, "x y z"), (3, "q"), (9, "é" * 200_000)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, fingerprint string, part int")
+    got = sorted(((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.against_next(frame).collect()))
+    order = ["", "a", "b", "q", "x y z", "x y z", "é" * 200_000]
+    ids = [0, 0, 0, 3, 3, 3, 9]
+    want = []
+    for k, t in enumerate(order):
+        made = t[: len(t) - len(t) // 2] + order[(k + 1) % 7][: len(t) // 2]
+        want.append((ids[k], len(t), hashlib.sha256(made.encode()).hexdigest()))
+    assert got == sorted(want)
+    assert [r.fingerprint for r in fingerprints.fingerprints(frame).where("text is null").collect()] == ["1::"]
+
+
 def brute_alike(a, b):
     a, b = ([x[i : i + 2] for i in range(0, len(x), 2)] for x in (a, b))
     row = [0] * (len(b) + 1)
@@ -488,6 +534,23 @@ def test_line_dedup_finds_repeated_swapped_and_scattered_passages(spark):
     assert got == [f"{a}\n0", *map(str, range(1, 9))]
 
 
+def test_line_dedup_of_unspaced_scripts_and_odd_rows(spark):
+    chinese = "今天的天气非常好我们决定一起去公园散步看看花草树木顺便买一点东西"
+    long = "\n".join(f"line number {i} of a very long text that goes on" for i in range(20_000))
+    rows = [(1, chinese + "\na"), (2, "b\n" + chinese), (2, "c\n" + chinese), (2, "c\n" + chinese), (None, chinese), (3, None), (None, None), (4, long), (5, "x\n" + long), (1, "d")]
+    frame = spark.createDataFrame([(*r, "i", 1, 2, 3) for r in rows], "doc_id long, text string, _id string, ranges int, same int, `row` int")
+    got = sorted((r.doc_id or 0, r.text or "", len(r.removed), r["row"]) for r in line_dedup.dedup_lines(frame).collect())
+    want = [(1, chinese + "\na", 0), (2, "b", 1), (2, "c", 1), (2, "c", 1), (0, chinese, 0), (3, "", 0), (0, "", 0), (4, long, 0), (5, "x", 1), (1, "d", 0)]
+    assert got == sorted((*w, 3) for w in want)
+
+
+def test_line_dedup_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE", 4)
+    block = "\n".join(f"line {i} that every one of these documents holds" for i in range(5))
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, [f"{block}\n{i}" for i in range(40)])).orderBy("doc_id").collect()]
+    assert got == [f"{block}\n0", *map(str, range(1, 40))]
+
+
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(8)
     words = {"p": 2, "q": 4, "r": 7, "s": 9, "t": 12, "u": 21}
@@ -534,6 +597,35 @@ def test_toxicity(spark):
     assert toxicity.learn(frame, labels.limit(0)).entries == toxicity.seed().entries
 
 
+def test_toxicity_of_repeated_rows(spark):
+    rows = [(i % 40, f"{'grublat ' if i % 2 else 'fine '} word{i % 7} number{i % 11}", 1) for i in range(400)] + [(None, "grublat", 1), (7, None, 1), (7, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame([(i, min((t for d, t, _ in rows if d == i), key=lambda t: t or ""), 1) for i in range(40)], frame.schema)
+    lexicon = toxicity.learn(frame, labels)
+    assert lexicon == toxicity.learn(once, labels.distinct())
+    got = toxicity.assess(frame, lexicon).collect()
+    assert len(got) == len(rows) and all(len({r.score for r in got if r.doc_id == 7 and r.n_words == n}) == 1 for n in (0, 3))
+
+
+def test_toxicity_scan_against_brute_force():
+    rng = random.Random(6)
+    entries = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) + rng.choice(["", " "]): rng.choice([0.0, 1.0, 2.5]) for _ in range(40)} | {"ab ca ": 0.0, "bc a": 3.0}
+    automaton = toxicity.Lexicon(entries).automaton()
+    for _ in range(300):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(12))]
+        want = []
+        for k in range(len(words)):
+            rest = " ".join(words[k:]) + " "
+            held = [e for e in entries if rest.startswith(e)]
+            want += [entries[e] for e in [max(held, key=len)] if entries[e] > 0] if held else []
+        assert sorted(toxicity.hits(words, automaton)) == sorted(want)
+
+
+def test_folding():
+    assert toxicity.fold("Сr3т1N, ＦＯＯ\u200b! st.u\u0301pid 5h1t") == ["cretin", "foo", "st", "úpid", "shit"]
+
+
 def test_toxicity_weighs_all_stems(spark):
     # Harmless longer forms that no toxic document holds, and more stems of common words than are toxic ones.
     common = " ".join("".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=9), 0, 10**9, 10**9 // 9000))
@@ -566,6 +658,36 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_with_any_tokenizer_and_rests_that_do_not_pair(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(packing.default_tokenizer()))
+    spec["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    json.dump(spec, open(path, "w"))
+    assert packing.by_words(packing.default_tokenizer()) and not packing.by_words(path)
+    texts = [None, "", "Some CASED  Text\n", "word " * 9000, None]
+    rows = [(None if i == 4 else i % 3, t, 1, 2) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, length int, start int")
+    t = Tokenizer.from_file(path)
+    want = collections.Counter((d, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x, _, _ in rows)
+    got = packing.pack(frame, tokenizer=path).collect()
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want and all(r.doc_tokens for r in got)
+    monkeypatch.setattr(packing, "OPEN", 5)
+    laid = list(packing.pack_rows(((i, bytes(4 * 1100)) for i in range(100)), 0))
+    assert sum(r[2] for r in laid) == 110_000
+    sizes = collections.Counter()
+    for r in laid:
+        sizes[r[5]] += r[2]
+    assert all(n & (n - 1) == 0 for n in sizes.values())
+    packer, most = packing.SumOfSquares(), 0
+    for i in range(30):
+        packer.place([i, 0, 1100, bytes(4400), 1100])
+        most = max(most, packer.n_open)
+        assert packer.n_open == sum(map(len, packer.open.values()))
+    assert most == 30 and list(packer.finish()) and packer.n_open == 0
+
+
 def test_placement_has_least_sum_of_squares():
     rng = random.Random(7)
     p = packing.SumOfSquares(16)

@@ -2,13 +2,14 @@
 
 Every document's ids are cut into full windows and a rest. A rest goes to the fill level that leaves
 the least sum of squared counts of partially filled windows; the counts are kept in an array by
-level. When a partition ends, the windows that are still open are merged: pieces of the emptiest
+level. When a partition ends, or too many windows are open, those are merged: pieces of the emptiest
 are cut to fill the gaps of the fullest, and what is left is cut at powers of two, which need no
 padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,6 +29,17 @@ WINDOW = 2048
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Entries of the word cache of a worker before its older half is dropped.
 CACHE = 700_000
+#: Windows that are open at a time.
+OPEN = 8192
+#: A tokenizer whose ids of a text are those of its words in a row.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def default_tokenizer() -> str:
@@ -114,13 +126,35 @@ class WordIds:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_WORDS: dict[str, WordIds] = {}
+class TextIds:
+    """Ids of texts that are encoded as a whole, by any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind that WordIds reads: blanks part words and are dropped, and no added token holds one."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["truncation"] is None and spec["padding"] is None
+    return added and plain and spec["model"]["type"] == "BPE"
+
+
+_IDS: dict[str, WordIds | TextIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+def ids_of(path: str) -> WordIds | TextIds:
+    if path not in _IDS:
+        _IDS[path] = (WordIds if by_words(path) else TextIds)(path)
+    return _IDS[path]
 
 
 class SumOfSquares:
@@ -137,6 +171,7 @@ class SumOfSquares:
         self.cost = np.ones(window + 1, np.int64)  # of adding one to a level
         self.cost[window] = 0
         self.open: dict[int, list[list]] = {}
+        self.n_open = 0
 
     def _add(self, level: int, n: int) -> None:
         if 0 < level < self.window:
@@ -154,6 +189,7 @@ class SumOfSquares:
         filled.append(piece)
         self._add(level, -1)
         self._add(level + size, 1)
+        self.n_open += (not level) - (level + size == w)
         if level + size == w:
             return filled
         self.open.setdefault(level + size, []).append(filled)
@@ -162,7 +198,8 @@ class SumOfSquares:
     def finish(self) -> Iterator[list]:
         """Merge the open windows by cutting pieces, and cut what is left at powers of two."""
         left = [x for level in sorted(self.open, reverse=True) for x in self.open[level]]
-        self.open = {}
+        self.open, self.n_open = {}, 0
+        self.count[:], self.gain[1:], self.cost[:-1] = 0, 1 << 40, 1
         i, j = 0, len(left) - 1
         while i < j:
             gap = self.window - sum(p[2] for p in left[i])
@@ -215,6 +252,9 @@ def pack_rows(rows: Iterator[tuple[int, bytes]], first_sequence: int, window: in
             yield from laid([[doc, start, window, ids[4 * start : 4 * (start + window)], tokens]])
         if full < tokens and (done := packer.place([doc, full, tokens - full, ids[4 * full :], tokens])):
             yield from laid(done)
+        if packer.n_open > OPEN:
+            for pieces in packer.finish():
+                yield from laid(pieces)
     for pieces in packer.finish():
         yield from laid(pieces)
 
@@ -223,8 +263,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     """Pack whole documents into sequences of at most ``window`` ids; one row per piece.
 
     ``window`` is a power of two. Each input partition is packed in the order of its rows without any
-    shuffle, with memory for the open windows only, and numbers its sequences from its own range, so
-    a task that is run again gives the same rows. A null or empty text is the end id alone; a null
+    shuffle, with memory for at most 8192 open windows, and numbers its sequences from its own range, so
+    a task that is run again gives the same rows. A tokenizer that is not of the default one's kind encodes whole texts. A null or empty text is the end id alone; a null
     doc_id stays null; repeated rows are packed each; other columns are not read; an empty table
     gives no rows.
     """
@@ -235,7 +275,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = word_ids(path)
+        words = ids_of(path)
         schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
         def rows() -> Iterator[tuple[int, bytes]]:
