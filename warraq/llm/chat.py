@@ -15,19 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from warraq.llm.common import discard, ship, stored, whole
-from warraq.llm.shingles import MULTIPLIERS, WIDTH, WORD, WordHashes, mixed
+from warraq.llm.shingles import MULTIPLIERS, WIDTH, WordHashes, mixed, words_of
 
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 #: A line that introduces a quote: it goes with the quote below it.
 INTRODUCES = re.compile(r"^(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$", re.I)
+PARAGRAPH = re.compile(r"\n\s*\n")
 SENTENCE = re.compile(r"(?<=[.!?…؟。！？])\s+")
 #: Of so many windows in a row one is a hash at least.
 WINNOW = 4
+#: A passage of fewer words is hashed as a whole.
+SHORT = WIDTH + WINNOW - 1
 #: A passage of fewer words is not looked for in other conversations.
 OUTSIDE_WORDS = 5
 #: Turns of a conversation that are searched together for the nearest writer.
@@ -64,14 +68,10 @@ class Hashes:
     def __init__(self):
         self.words = WordHashes()
 
-    def of(self, text: str) -> np.ndarray:
-        return self.words.of(text) if WORD.search(text) else np.empty(0, np.uint64)
-
     @staticmethod
-    def one(words: np.ndarray) -> int:
+    def one(words: list[str]) -> int:
         """One hash of all the words."""
-        odd = np.arange(1, 2 * len(words), 2, dtype=np.uint64) * np.uint64(MULTIPLIERS[0])
-        return int(mixed(mixed((words * odd).sum(keepdims=True)) + np.uint64(len(words))).view(np.int64)[0])
+        return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
     @staticmethod
     def winnowed(words: np.ndarray) -> list[int]:
@@ -79,30 +79,26 @@ class Hashes:
         n = len(words) - WIDTH + 1
         h = sum(words[k : k + n] * np.uint64(MULTIPLIERS[k]) for k in range(WIDTH))
         h = mixed(h).view(np.int64)
-        rows = np.lib.stride_tricks.sliding_window_view(h, min(WINNOW, n))
-        return np.unique(rows.min(axis=1)).tolist()
+        least = h[: n - WINNOW + 1]
+        for k in range(1, WINNOW):
+            least = np.minimum(least, h[k : n - WINNOW + 1 + k])
+        return list(set(least.tolist()))
 
     def passage(self, text: str) -> tuple[list[int], bool]:
         """The hashes to look for, and whether other conversations are searched."""
-        w = self.of(text)
-        if not len(w):
+        words = words_of(text)
+        if not words:
             return [], False
-        return (self.winnowed(w) if len(w) >= WIDTH + WINNOW - 1 else [self.one(w)]), len(w) >= OUTSIDE_WORDS
+        return (self.winnowed(self.words.hashed(words)) if len(words) >= SHORT else [self.one(words)]), len(words) >= OUTSIDE_WORDS
 
     def written(self, own: list[str]) -> list[int]:
         """Hashes by which a message may be quoted."""
         text = "\n".join(own)
-        out: set[int] = set()
-        w = self.of(text)
-        if len(w) >= WIDTH + WINNOW - 1:
-            out.update(self.winnowed(w))
-        pieces = {*own, *SENTENCE.split(text), *re.split(r"\n\s*\n", text)}
-        for piece in pieces:
-            # A short passage has few words, so most pieces need not be hashed.
-            if piece.strip() and len(piece) < 2000:
-                w = self.of(piece)
-                if 0 < len(w) < WIDTH + WINNOW - 1:
-                    out.add(self.one(w))
+        words = words_of(text)
+        out = set(self.winnowed(self.words.hashed(words))) if len(words) >= SHORT else set()
+        for piece in {*text.split("\n"), *SENTENCE.split(text), *PARAGRAPH.split(text)}:
+            if len(few := words_of(piece)) < SHORT and few:
+                out.add(self.one(few))
         return list(out)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,17 @@ BINS = 1 << 18
 CACHE = 250_000
 #: Scripts that are written without blanks (Thai, Lao, Myanmar, Khmer, Han and Kana), each character of which is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
+WORD, WORD_OR_SIGN, SIGN = re.compile(r"\w+"), re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]"), re.compile(f"[{UNSPACED}]")
 #: Odd multipliers of the five words of a shingle.
 MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xC2B2AE3D27D4EB4F << k)) % (1 << 64) | 1 for k in range(WIDTH)]
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text in lower case; the plain pattern, which is faster, serves texts of scripts with blanks."""
+    text = text.lower()
+    return (WORD if text.isascii() or not SIGN.search(text) else WORD_OR_SIGN).findall(text)
+
+
 class WordHashes:
     """64-bit hashes of a text's words, remembered in two generations of a dictionary."""
 
@@ -31,9 +38,9 @@ class WordHashes:
         self.old: dict[str, int] = {}
 
     def of(self, text: str) -> np.ndarray:
-        import xxhash
+        return self.hashed(words_of(text) or text.split())
 
-        words = WORD.findall(text.lower()) or text.split()
+    def hashed(self, words: list[str]) -> np.ndarray:
         young = self.young
         if len(young) > CACHE:
             self.old, self.young = young, {}
