@@ -481,26 +481,103 @@ def test_minhash_equals_brute_force(spark):
             for _ in range(k):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
             texts.append(" ".join(w))
-    texts += [*EDGES, "x"]
-    idf = shingles.inverse_frequencies(docs(spark, texts))
-    h = shingles.WordHashes()
-    v = [shingles.weighted(h.of(t or ""), idf) for t in texts]
-    links = [(a, b) for a in range(len(v)) for b in range(a) if (texts[a] or "") == (texts[b] or "") or shingles.jaccard(v[a], v[b]) >= 0.8]
+    texts += [*EDGES, "x", "今天天气很好我们一起去公园散步看花草树木" * 12, "明" + "今天天气很好我们一起去公园散步看花草树木" * 12]
+    v, links = brute_weights(texts), []
+    for a in range(len(v)):
+        links += [(a, b) for b in range(a) if (texts[a] or "") == (texts[b] or "") or brute_jaccard(v[a], v[b]) >= 0.8]
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs(spark, texts)).collect()}
     root = brute_components(len(v), links)
-    assert [got[i].class_id for i in range(len(v))] == root
+    assert [got[i].class_id for i in range(len(v))] == root and root[-1] == len(v) - 2
     assert [got[i].kept for i in range(len(v))] == [r == i for i, r in enumerate(root)]
-    block = shingles.Block(v[:40])
-    assert np.allclose(block.jaccard(v[3]), [shingles.jaccard(v[3], x) for x in v[:40]])
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def brute_weights(texts):
+    """Times in the text by inverse document frequency, of shingles as tuples of words."""
+    each = []
+    for t in texts:
+        w = re.findall("[\u4e00-\u9fff]|[^\\W\u4e00-\u9fff]+", (t or "").lower())
+        each.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))))
+    held = collections.Counter(s for c in each for s in c)
+    return [{s: n * (np.log((len(texts) + 1) / (held[s] + 1)) + 1) for s, n in c.items()} for c in each]
+
+
+def brute_jaccard(a, b):
+    shared = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    total = sum(a.values()) + sum(b.values()) - shared
+    return shared / total if total else 0.0
+
+
+def test_minhash_weighs_shingles_by_their_document_frequency(spark):
+    rng = random.Random(2)
+    boiler = prose(rng, 60)
+    # Two texts share a passage that all others hold, too: by counts alone they are near.
+    texts = [f"{boiler} {prose(rng, 10)}" for _ in range(200)]
+    pair = brute_weights(texts)[:2]
+    plain = [dict.fromkeys(x, 1) for x in pair]
+    assert brute_jaccard(*plain) > 0.6 > 0.5 > brute_jaccard(*pair)
+    assert {r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts), threshold=0.6).collect()} == set(range(200))
+    assert {r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts), threshold=brute_jaccard(*pair) * 0.8, bands=60, rows=1).collect()} == {0}
+
+
+def test_minhash_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SHARE", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    rng = random.Random(5)
+    words = prose(rng, 200).split()
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 200, 20)]
+    rows = [*((20 + i, t) for i, t in enumerate(near)), (None, near[0]), (None, near[0]), (None, None), (7, "alone here"), (7, near[3]), (7, near[3]), (3, "alone here"), (9, "word " * 200_000), (8, "word " * 200_001), (5, None), (6, "")]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, pid int, same int, `key` int")
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash_dedup.near_duplicates(frame).collect()), key=str)
+    want = [*((20 + i, 3, False) for i in range(10)), *[(None, None, True)] * 3, *[(7, 3, False)] * 3, (3, 3, True), (9, 8, False), (8, 8, True), (5, 5, True), (6, 5, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_document_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PART_SHINGLES", 50)
+    monkeypatch.setattr(shingles, "RUN_BITS", 2)
+    rng = random.Random(4)
+    lines = [prose(rng, 12) for _ in range(30)]
+    texts = [" ".join(rng.sample(lines, 4)) for _ in range(90)]
+    n = [rng.randrange(1, 200) for _ in texts]
+    held = collections.Counter()
+    h = shingles.WordHashes()
+    for t, k in zip(texts, n, strict=True):
+        held.update(dict.fromkeys(shingles.shingled(h.of(t))[0].tolist(), k))
+    frame = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(zip(n, texts, strict=True))], "pid long, n long, text string").coalesce(1)
+    found = shingles.with_frequencies(frame, shingles.document_frequencies(frame, 6000)).toArrow()
+    got = {pid: dict(zip(ids.tolist(), codes.tolist(), strict=True)) for some in shingles.coded(iter(found.to_batches())) for pid, ids, _, codes in some}
+    assert len(got) == 90
+    for pid, codes in got.items():
+        for s, c in codes.items():
+            assert c == held[s] - 1 if held[s] <= 128 else abs(128 * 2 ** ((c - 127) / 5) / held[s] - 1) < 0.08, (pid, held[s], c)
+
+
 def test_samples_agree_with_weighted_jaccard():
     rng = np.random.default_rng(4)
-    ids = np.unique(rng.integers(0, 1 << 62, 400, np.uint64))
-    a, b = (ids[:300], rng.random(300) * 3 + 0.1), (ids[100:], rng.random(len(ids) - 100) * 3 + 0.1)
-    s = minhash_dedup.Sampler(4000)
-    assert abs((s.draw(*a) == s.draw(*b)).mean() - shingles.jaccard(a, b)) < 0.04
+    ids = np.unique(rng.integers(0, 1 << 63, 40_000, np.uint64)) * np.uint64(2)
+    sampler = minhash_dedup.Sampler(4000)
+    for n in (20, 400, 3000, 40_000):
+        mine = np.sort(rng.permutation(ids)[:n])
+        w = rng.random(n) * 3 + 0.1
+        for share in (0.5, 0.9):
+            a, b = (mine[: int(n * share)], w[: int(n * share)]), (mine[n - int(n * share) :], w[n - int(n * share) :] * (1 if n % 3 else 1.1))
+            equal = sampler.draw(*a) == sampler.draw(*b)
+            assert abs(equal.mean() - shingles.jaccard(a, b)) < 0.04
+
+
+def test_recall_at_the_threshold():
+    """Pairs of similarity 0.8 to 0.82 share a band as often as the formula says."""
+    rng = np.random.default_rng(9)
+    sampler, found = minhash_dedup.Sampler(), 0
+    for _ in range(600):
+        ids = np.sort(rng.integers(0, 1 << 63, 450, np.uint64) * np.uint64(2) + np.uint64(1))
+        w = rng.random(450) * 5 + 5
+        a, b = (ids[:405], w[:405]), (ids[45:], w[45:])
+        sim = shingles.jaccard(a, b)
+        assert 0.75 < sim < 0.85
+        found += bool((minhash_dedup.band_keys(sampler.draw(*a)) == minhash_dedup.band_keys(sampler.draw(*b))).any())
+    assert found >= 592
 
 
 def test_line_dedup(spark):

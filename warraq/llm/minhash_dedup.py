@@ -1,10 +1,11 @@
 """Near-duplicate documents by consistent weighted sampling.
 
-Improved consistent weighted sampling draws, for each of several samples, one shingle of a document
-such that two documents draw the same with the probability of their weighted Jaccard similarity.
-Samples are cut into bands; documents that share a band are candidates, and weighted Jaccard over
+Each shingle of five words weighs its number of times in the text by its inverse document frequency.
+Improved consistent weighted sampling draws, for each of several samples, one shingle of a text
+such that two texts draw the same with the probability of their weighted Jaccard similarity.
+Samples are cut into bands; texts that share a band are candidates, and weighted Jaccard over
 whole texts decides. Within a band's group every member is compared with the least member; while the group is in several parts, every candidate pair outside the largest is
-compared too, one member against a block of others at a time.
+compared too, one member against a block of others at a time. Equal texts are one throughout.
 """
 
 from __future__ import annotations
@@ -17,53 +18,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.common import components, discard, ship, stored, whole
-from warraq.llm.shingles import Block, WordHashes, inverse_frequencies, jaccard, mixed, weighted
+from warraq.llm.shingles import Block, WordHashes, coded, document_frequencies, inverse_frequencies, jaccard, mixed, shingled, with_frequencies
 
 BANDS, ROWS = 14, 4
 THRESHOLD = 0.8
 #: Members of a group that are held against at a time.
-BLOCK = 128
-TABLE = 1 << 16
+BLOCK = 512
+#: Members of a group that a task compares with its least member.
+SHARE = 1024
+#: Triples of random variates, as a power of two.
+TABLE_BITS = 16
 
 
 class Sampler:
-    """Consistent samples of a weighted set; the random variates of (shingle, sample) come from tables indexed by a hash."""
+    """Consistent samples of a weighted set; the random variates of (shingle, sample) come from a table indexed by a hash."""
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.odd = (rng.integers(0, 1 << 63, samples, np.uint64) << np.uint64(1) | np.uint64(1))[None, :]
-        self.shift = rng.integers(0, 1 << 63, samples, np.uint64)[None, :]
-        self.r = rng.gamma(2, 1, TABLE).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, TABLE)).astype(np.float32)
-        self.beta = rng.random(TABLE).astype(np.float32)
+        n = 1 << TABLE_BITS
+        self.odd = (rng.integers(0, 1 << 63, samples, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
+        self.r = rng.gamma(2, 1, n)
+        self.log_c = np.log(rng.gamma(2, 1, n))
+        self.beta = rng.random(n)
+        # ln a of a shingle of weight w lies between log_c - r - ln w and log_c - ln w.
+        self.least = (self.log_c - self.r).astype(np.float32)
 
     def draw(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit mark of the drawn (shingle, quantised weight) per sample."""
-        best = at = level = None
-        log_w = np.log(weights).astype(np.float32)[:, None]
-        for lo in range(0, len(ids), 512):
-            x = ids[lo : lo + 512, None] * self.odd + self.shift
-            x ^= x >> np.uint64(31)
-            # Three indices of 16 bits, as signed words, which take() reads without a copy.
-            r = self.r.take((x & np.uint64(TABLE - 1)).view(np.int64))
-            beta = self.beta.take((x >> np.uint64(16) & np.uint64(TABLE - 1)).view(np.int64))
-            t = log_w[lo : lo + 512] / r
-            t += beta
-            np.floor(t, out=t)
-            log_a = self.log_c.take((x >> np.uint64(48)).view(np.int64))
-            beta -= t
-            beta -= 1
-            beta *= r
-            log_a += beta
-            i = log_a.argmin(axis=0)
-            here = log_a[i, np.arange(log_a.shape[1])]
-            found, t = ids[lo + i], t[i, np.arange(log_a.shape[1])].astype(np.int64)
-            if best is None:
-                best, at, level = here, found, t
-            else:
-                less = (here < best) | ((here == best) & (found < at))
-                best, at, level = np.where(less, here, best), np.where(less, found, at), np.where(less, t, level)
-        return mixed(at + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        """One 64-bit mark of the drawn (shingle, quantised weight) per sample.
+
+        The value of a shingle is worked out only where its lower bound is below the value of the one with the least bound.
+        """
+        log_w = np.log(weights)
+        low_w = log_w.astype(np.float32)
+        samples, step = len(self.odd), 1024
+        limit = np.full(samples, np.inf)
+        who, which, values, levels = [], [], [], []
+        for lo in range(0, len(ids), step):
+            some = ids[lo : lo + step]
+            place = ((self.odd * some) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+            bound = self.least.take(place)
+            bound -= low_w[lo : lo + step]
+            first = bound.argmin(axis=1)
+            value, _ = self._value(place[np.arange(samples), first], log_w[lo + first])
+            limit = np.minimum(limit, value)
+            s, i = np.nonzero(bound <= (limit + 1e-4)[:, None].astype(np.float32))
+            value, level = self._value(place[s, i], log_w[lo + i])
+            who.append(s)
+            which.append(lo + i)
+            values.append(value)
+            levels.append(level)
+        s, i, value, level = map(np.concatenate, (who, which, values, levels))
+        # Shingles that share an entry of the table and a weight tie; a hash of each and the sample decides.
+        tie = mixed(ids[i] ^ self.odd[s, 0])
+        order = np.lexsort((tie, value, s))
+        s, i, level = s[order], i[order], level[order]
+        first = np.searchsorted(s, np.arange(samples))
+        return mixed(ids[i[first]] + level[first].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _value(self, place: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and the quantised weight."""
+        r, beta = self.r[place], self.beta[place]
+        t = np.floor(log_w / r + beta)
+        return self.log_c[place] - r * (t - beta + 1), t
 
 
 def band_keys(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -75,47 +91,63 @@ def band_keys(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
+def _sketches(texts: DataFrame, documents: int, chars: int, bands: int, rows: int) -> DataFrame:
+    """``pid, keys, codes``: a text's bands, and its shingles' document frequencies in the order of their hashes."""
+    idf = inverse_frequencies(documents)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sampler = WordHashes(), Sampler(bands * rows)
-        for b in batches:
-            keys = []
-            for text in b.column(2).to_pylist():
-                ids, w = weighted(words.of(text), idf)
-                keys.append(band_keys(sampler.draw(ids, w), bands).tolist() if len(ids) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "keys"])
+        sampler = Sampler(bands * rows)
+        for some in coded(batches):
+            out = [(pid, band_keys(sampler.draw(ids, times * idf[code]), bands).tolist() if len(ids) else [], code.tobytes()) for pid, ids, times, code in some]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["pid", "keys", "codes"])
+
+    found = stored(document_frequencies(texts, chars), "frequencies")
+    out = stored(with_frequencies(texts, found).mapInArrow(run, "pid long, keys array<long>, codes binary"), "sketches")
+    discard(found)
+    return out
+
 
-    return docs.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same string, keys array<long>")
+def _weights(words: WordHashes, text: str, codes: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, times = shingled(words.of(text))
+    return ids, times * idf[np.frombuffer(codes, np.uint8)]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose weighted Jaccard similarity over whole texts reaches the threshold."""
+    """The pairs ``(a, lead)`` whose weighted Jaccard similarity over whole texts reaches the threshold, as ``(a, b)``.
+
+    The members of a lead are dealt into shares; each has the lead's text once, and then theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, theirs = WordHashes(), None, None
+        words, theirs = WordHashes(), None
         for batch in batches:
-            keep = []
-            for k, (b, mine, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
-                if (b, text) != last:
-                    last, theirs = (b, text), weighted(words.of(text), idf)
-                if jaccard(weighted(words.of(mine), idf), theirs) >= threshold:
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("mine")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("theirs")), "b")
-    return both.select("a", "b", "mine", "theirs").mapInArrow(run, "a long, b long")
+            out = []
+            for lead, _, member, a, text, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = _weights(words, text, codes, idf)
+                if not member:
+                    theirs = mine
+                elif jaccard(mine, theirs) >= threshold:
+                    out.append((a, lead))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    member = pairs.join(sizes, "lead").select("lead", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"), "a")
+    lead = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"), F.col("lead").alias("a"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = member.union(lead).join(texts.select(F.col("pid").alias("a"), "text", "codes"), "a").select("lead", "share", "member", "a", "text", "codes")
+    return both.repartition(n, "lead", "share").sortWithinPartitions("lead", "share", "member").mapInArrow(run, "a long, b long")
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of groups that are in several parts: ``key, rep, part, outside`` the group's largest part, ``n`` in the group."""
+    """Members of groups that are in several parts: ``key, pid, part, outside`` the group's largest part, ``n`` in the group."""
     parts = components(links)
-    part = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("part"))
+    part = members.join(parts, F.col("pid") == F.col("node"), "left").select("key", "n", "pid", F.coalesce("component", "pid").alias("part"))
     sizes = part.groupBy("key", "part").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main")).where("parts > 1")
-    return part.join(sizes, "key").select("key", "n", "rep", "part", (F.col("part") != F.col("main")).alias("outside"))
+    return part.join(sizes, "key").select("key", "n", "pid", "part", (F.col("part") != F.col("main")).alias("outside"))
 
 
-def _rest(apart: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _rest(apart: DataFrame, sketches: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Links between members of a group that are still in different parts, by comparison of each such pair until its parts join.
 
     A group is dealt into blocks of bounded size, and members outside its largest part are sent to
@@ -137,14 +169,14 @@ def _rest(apart: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
             if not here:
                 return
             keys = np.array([r[3] for r in here], np.int64)
-            block = Block([weighted(words.of(r[4]), idf) for r in here])
-            for _, rep, part, own, text in (r for r in held if not r[0]):
+            block = Block([_weights(words, r[4], r[5], idf) for r in here])
+            for _, pid, part, own, text, codes in (r for r in held if not r[0]):
                 first = (keys == np.array(own, np.int64)).argmax(axis=1) == own.index(at[0])
-                for i in np.flatnonzero(first & (block.jaccard(weighted(words.of(text), idf)) >= threshold)).tolist():
+                for i in np.flatnonzero(first & (block.jaccard(_weights(words, text, codes, idf)) >= threshold)).tolist():
                     x, y = root(part), root(here[i][2])
                     if x != y:
                         roots[max(x, y)] = min(x, y)
-                        out.append((rep, here[i][1]))
+                        out.append((pid, here[i][1]))
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
@@ -164,11 +196,11 @@ def _rest(apart: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
 
     spark = apart.sparkSession
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = apart.select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.lit(True).alias("inside"), "rep", "part")
-    outside = apart.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("inside"), "rep", "part")
-    rows = inside.union(outside).join(reps.select("rep", "keys"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    inside = apart.select("key", F.pmod(F.xxhash64("pid"), blocks).cast("int").alias("block"), F.lit(True).alias("inside"), "pid", "part")
+    outside = apart.where("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("inside"), "pid", "part")
+    rows = inside.union(outside).join(sketches.select("pid", "keys"), "pid").join(texts.select("pid", "text", "codes"), "pid")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "block", "inside", "rep", "part", "keys", "text").repartition(n, "key", "block").sortWithinPartitions("key", "block", "inside", "rep")
+    dealt = rows.select("key", "block", "inside", "pid", "part", "keys", "text", "codes").repartition(n, "key", "block").sortWithinPartitions("key", "block", "inside", "pid")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -176,30 +208,44 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """Classes of near-duplicate documents: ``doc_id, class_id, kept`` per row of docs.
 
     Links are equal texts and pairs of weighted Jaccard similarity >= ``threshold`` over five-word
-    shingles, weighted by count and inverse document frequency; a class is a connected component and
-    its id the least doc_id. A null text is empty; texts without words link with equal texts only.
-    Rows that share a doc_id are one document. Rows with a null id link with nothing and are kept.
+    shingles, weighted by count and inverse document frequency, which is counted over all rows; a class is a connected component and
+    its id the least doc_id. A null text is empty; texts without words link with equal texts only, and those of
+    fewer than five words are one shingle. Rows that share a doc_id are one document, whose texts are linked. Rows
+    with a null id count in the frequencies, link with nothing and are kept. Very long texts are read whole.
     An empty table gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    idf = inverse_frequencies(texts)
-    sketches = stored(_sketches(texts.withColumn("same", F.md5("text")), idf, bands, rows), "sketches")
-    found = sketches.where("doc_id is not null")
-    reps = stored(found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    one = found.join(reps.select("same", "rep"), "same")
-    edges = one.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("same", F.md5("text"))
+    one = named.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    texts = stored(one.withColumns({"chars": F.char_length("text"), "pid": F.monotonically_increasing_id()}), "texts")
+    size = texts.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
+    documents, chars = size["n"] or 0, size["chars"] or 0
+    idf = inverse_frequencies(documents)
+    sketches = _sketches(texts.select("pid", "n", "text"), documents, chars, bands, rows)
+
+    # Texts that no row with an id has link with nothing.
+    used = texts.where("rep is not null").select("pid")
+    keyed = sketches.join(used, "pid", "left_semi").select("pid", F.explode("keys").alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("pid").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(keyed.join(groups, "key"), "members")
     # Sort-merge at every size: the ids grow with the documents, and a plan that changes with them would hide it.
-    used = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    candidates = stored(texts.join(used, "doc_id", "left_semi"), "candidates")
-    pairs = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    links = stored(_verified(pairs, candidates, idf, threshold), "near")
-    links = links.union(stored(_rest(stored(_apart(members, links), "apart"), reps, candidates, idf, threshold), "near"))
-    classes = components(edges.union(links))
-    discard(candidates)
-    out = sketches.select("doc_id").join(classes, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), (F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+    used = members.select("pid").distinct().hint("merge")
+    candidates = stored(texts.select("pid", "text").join(used, "pid").join(sketches.select("pid", "codes"), "pid"), "candidates")
+    pairs = stored(members.where("pid <> lead").select(F.col("pid").alias("a"), "lead").distinct(), "pairs")
+    near = stored(_verified(pairs, candidates, idf, threshold), "near")
+    apart = stored(_apart(members, near), "apart")
+    more = stored(_rest(apart, sketches, candidates, idf, threshold), "near")
+
+    ids = named.select("doc_id", "same").join(texts.select("same", "pid"), "same").select("doc_id", "pid")
+    ids = stored(ids, "ids")
+    first = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("pid").alias("a"), F.max("pid").alias("last")).where("a < last").select("doc_id", "a")
+    shared = ids.join(first, "doc_id").select("a", F.col("pid").alias("b")).distinct()
+    parts = components(near.union(more).union(shared))
+    part = texts.select("pid", "rep").join(parts, F.col("pid") == F.col("node"), "left").select("pid", "rep", F.coalesce("component", "pid").alias("part"))
+    least = part.groupBy("part").agg(F.min("rep").alias("class_id"))
+    classes = part.join(least, "part").select("pid", "class_id")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    out = ids.join(classes, "pid", "left").select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = stored(out, "classes")
+    discard(texts, sketches, members, candidates, pairs, near, apart, more, ids, parts)
+    return out
