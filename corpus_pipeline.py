@@ -1,64 +1,5 @@
-"""A training corpus from raw documents, stage by stage.
+"""The corpus pipeline: STAGES over documents, and run() for all of them."""
 
-Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
-"""
+from warraq.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from warraq.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
-from warraq.llm.common import stored, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are scored below one half; the lexicon is learned from the labels of those given."""
-    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.assess(docs, lexicon, keep=True).where("score < 0.5").select(*COLUMNS)
-
-
-def drop_repeated_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the blocks that an earlier one has; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs)
-    gone = (F.size("removed") > 0) & (F.trim("text") == "")
-    chars = F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", chars).select(*COLUMNS)
-
-
-def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates, and one row of it."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources are mixed to their target weights."""
-    return mixing.in_order(mixing.mix(docs)).select(*COLUMNS)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence; sequences are numbered in the order of the documents."""
-    return packing.pack(packing.in_file_order(docs))
-
-
-STAGES = [
-    ("toxicity", reject_toxic),
-    ("line dedup", drop_repeated_blocks),
-    ("minhash near-dedup", keep_one_of_each_class),
-    ("source mixing", mix_sources),
-    ("packing", pack_sequences),
-]
-#: Lexicon learning, patience alignment, sampling, scheduling and packing have no SQL form.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from warraq.llm import chat, embedding_dedup, fingerprints, line_dedup, minhash_dedup, mixing, packing, secrets, toxicity, warc
+from warraq.llm import pipeline as stages
 from warraq.llm.common import ship, table
 
 
@@ -57,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(ship(spark), sf_dir)
+    return stages.run(ship(spark), sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,4 +80,4 @@ r AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM r"""
 #: Secrets decoded, learned lexicons, alignments, schedules, chunk signatures, sampling and packing have no SQL
 #: form, and tests/llm holds those queries against brute force.
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_warc": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op4_warc": OP4_SQL} | ({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})
