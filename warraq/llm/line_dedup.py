@@ -169,7 +169,8 @@ def find_repeats(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words:
     split = F.split(F.col("text"), "\n")
     trimmed = F.transform(split, lambda x: F.trim(x))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where("doc_id is not null")
-    words = F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(WORDS)))
+    plain = F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+"))))
+    words = F.when(F.col("text").rlike(f"[{UNSPACED}]"), F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(WORDS)))).otherwise(plain)
     read = texts.select("doc_id", F.md5("text").alias("same"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), words.alias("words"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeats = find_repeats(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("removed", "ranges")
     # The row goes along as one column, so that its names meet none of ours.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(whole(text_col)).alias("same"))
-    joined = rows.join(repeats, ["doc_id", "same"], "left")
+    # Sort-merge at every size: a plan that changes with the number of repeats would hide what it costs.
+    joined = rows.join(repeats.hint("merge"), ["doc_id", "same"], "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("ranges", lambda r: (i >= r["first"]) & (i < r["last"])))
     text = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     plain = [F.col(f"row.`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns]
