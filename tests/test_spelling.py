@@ -6,7 +6,9 @@ from warraq.operators import morphology, spelling
 def test_costs():
     assert spelling.distance("احمد", "أحمد") == spelling.CONFUSION
     assert spelling.distance("مدرسة", "مدرسه") == spelling.CONFUSION
-    assert spelling.distance("ضلام", "ظلام") == spelling.NEARNESS
+    assert spelling.distance("ضلام", "ظلام") == spelling.distance("فلم", "قلم") == spelling.distance("صرب", "ضرب") == spelling.NEARNESS
+    assert spelling.distance("كتاب", "كتتاب") == spelling.distance("رر", "ر") == spelling.DOUBLED
+    assert spelling.distance("آمن", "من") == 1.0 and spelling.distance("قرآن", "قرن") == spelling.HAMZA
     assert spelling.distance("كتاب", "كتبا") == spelling.SWAP
     assert spelling.distance("سماء", "سما") == spelling.HAMZA
     assert spelling.distance("", "اب") == 2.0

@@ -1,15 +1,14 @@
-"""Text functions over columns. Offsets are code points and come from prefix sums, never from a regex."""
+"""Text functions over columns, and the patterns of tokens."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Letters of Arabic orthographies, marks and the elongation stroke, as ranges of code points.
-LETTERS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x621, 0x63A), (0x641, 0x64A), (0x671, 0x671), (0x66E, 0x6D3), (0x6FA, 0x6FC), (0x6FF, 0x6FF)))
-MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6DC), (0x6DF, 0x6E8), (0x6EA, 0x6ED)))
-STROKE = chr(0x640)
+#: Letters of Arabic orthographies, marks and the elongation stroke.
+LETTERS = "\u0621-\u063a\u0641-\u064a\u0671\u066e-\u06d3\u06fa-\u06fc\u06ff"
+MARKS = "\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8\u06ea-\u06ed"
+STROKE = "\u0640"
 WORD = LETTERS + MARKS + STROKE
 #: Token kinds and patterns, first match wins.
 KINDS = {
@@ -25,33 +24,25 @@ KINDS = {
     "punctuation": r"[،؛؟.!?,;:…]+",
     "symbol": r"\S",
 }
-TOKEN = "|".join(f"(?:{p})" for p in KINDS.values())
 RUN = f"[{WORD}]+|[^{WORD}]+"
 LETTER_RUN = f"[{LETTERS}]+|[^{LETTERS}]+"
 
 
-#: The commonest kinds first: no text is matched whole by two patterns, but for symbols, which come last.
-TRIED = ("latin", "punctuation", "arabic", "number", "code", "url", "email", "hashtag", "mention")
-
-
-def kind(token: Column) -> Column:
-    """The kind whose pattern covers the whole token; white space is known by its first character."""
-    out = F.when(token.rlike(r"\A\s"), "whitespace")
-    for name in TRIED:
-        out = out.when(token.rlike(rf"\A(?:{KINDS[name]})\z"), name)
-    return out.otherwise("symbol")
-
-
 def pieces(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
     """``doc_id, idx, piece, start, stop`` of the consecutive matches that make up each text."""
-    rows = docs.select("doc_id", *keep, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("idx", "piece"))
-    end = F.sum(F.char_length("piece")).over(Window.partitionBy("doc_id").orderBy("idx"))
-    return rows.withColumn("stop", end).withColumn("start", F.col("stop") - F.char_length("piece"))
+    import re
+
+    from warraq.functions.scan import rows_of
+
+    found = re.compile(pattern)
+    return rows_of(docs, lambda text: ((i, m[0], m.start(), m.end()) for i, m in enumerate(found.finditer(text))), "idx int, piece string, start long, stop long", *keep)
 
 
 def tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    """Lossless tokens with kinds: ``doc_id, idx, piece, start, stop, kind``."""
-    return pieces(docs, TOKEN, *keep).withColumn("kind", kind(F.col("piece")))
+    """Lossless tokens with kinds: ``doc_id, idx, piece, start, stop, kind``. Marks that close an address are tokens of their own."""
+    from warraq.functions import scan
+
+    return scan.rows_of(docs, lambda text: ((i, *t) for i, t in enumerate(scan.tokens_of(text))), "idx int, piece string, start long, stop long, kind string", *keep)
 
 
 def strip_marks(text: Column) -> Column:
@@ -59,7 +50,10 @@ def strip_marks(text: Column) -> Column:
 
 
 #: Compositions of an Arabic base letter and a following mark.
-COMPOSED = tuple((chr(a) + chr(b), chr(c)) for a, b, c in ((0x627, 0x653, 0x622), (0x627, 0x654, 0x623), (0x627, 0x655, 0x625), (0x648, 0x654, 0x624), (0x64A, 0x654, 0x626)))
+COMPOSED = (
+    ("\u0627\u0653", "\u0622"), ("\u0627\u0654", "\u0623"), ("\u0627\u0655", "\u0625"), ("\u0648\u0654", "\u0624"), ("\u064a\u0654", "\u0626"),
+    ("\u06d5\u0654", "\u06c0"), ("\u06c1\u0654", "\u06c2"), ("\u06d2\u0654", "\u06d3"),
+)
 FOLD_FROM, FOLD_TO = "أإآٱىؤئة", "اااايويه"
 
 

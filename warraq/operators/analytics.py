@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from warraq.functions.resources import DIALECT_FORMS, TONE_WORDS, VARIANTS
-from warraq.functions.text import normalize, strip_marks, tokens
-
-def in_order():
-    """Over the pieces of a document as they stand in the text."""
-    return Window.partitionBy("doc_id").orderBy("idx")
+from warraq.functions.scan import bare, rows_of, tokens_of, words_of
+from warraq.functions.text import normalize, tokens
+from warraq.operators.sentences import split_sentences
 
+ENDS, PARAGRAPH = re.compile(r"[.!?؟؛…]"), re.compile(r"[^\n]+")
 
 
 def six(x: Column) -> Column:
@@ -25,52 +28,83 @@ def clamp(x: Column) -> Column:
 
 def words(docs: DataFrame) -> DataFrame:
     """Arabic and Latin word tokens with their lookup form."""
-    return tokens(docs).where(F.col("kind").isin("arabic", "latin")).withColumn("form", F.lower(strip_marks(F.col("piece"))))
-
-
-def readability(docs: DataFrame) -> DataFrame:
-    """Clarity by document over word tokens; sentences are counted by runs of terminators, one at least."""
-    w = words(docs).withColumn("before", F.lag("form").over(in_order()))
-    size = F.char_length("form")
-    per = w.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("words"), F.sum(size).alias("chars"), F.sum((size >= 8).cast("long")).alias("long_words"), F.sum((F.col("form") == F.col("before")).cast("long")).alias("repeats")
-    )
-    sentences = F.greatest(F.lit(1), F.size(F.regexp_extract_all("text", F.lit(r"[.!?؟؛…]+"), F.lit(0)))).cast("long")
-    out = docs.select("doc_id", sentences.alias("sentences")).join(per, "doc_id", "left").na.fill(0)
-    n = F.nullif("words", F.lit(0))
-    avg_words, avg_chars, long_ratio = F.col("words") / F.col("sentences"), F.coalesce(F.col("chars") / n, F.lit(0.0)), F.coalesce(F.col("long_words") / n, F.lit(0.0))
+    return rows_of(docs, lambda text: ((i, *w) for i, w in enumerate(words_of(text))), "idx int, piece string, start long, stop long, form string")
+
+
+#: Whole numbers by document, all from one pass over its tokens: words, their letters without marks, those of eight or more, and those that
+#: repeat the one before; distinct words and those that occur once; sentences; letters of the pieces, and squares of these; numbers,
+#: runs of marks, those that begin with a comma; words of each stretch between terminators or line ends.
+MEASURES = (
+    "words long, chars long, long_words long, repeats long, types long, hapax long, sentences long, piece_chars long, piece_chars_sq long, "
+    "numbers long, marks long, commas long, stretches array<int>"
+)
+
+
+def measured(text: str) -> tuple:
+    forms: Counter[str] = Counter()
+    chars = long_words = repeats = pieces = squares = numbers = marks = commas = here = 0
+    before, stretches = None, []
+    for piece, _, _, kind in tokens_of(text):
+        if kind in ("arabic", "latin"):
+            form = bare(piece).lower()
+            forms[form] += 1
+            size = len(form)
+            chars, long_words, repeats = chars + size, long_words + (size >= 8), repeats + (form == before)
+            pieces, squares = pieces + len(piece), squares + len(piece) ** 2
+            before, here = form, here + 1
+            continue
+        numbers += kind == "number"
+        marks += kind == "punctuation"
+        commas += piece[0] in "،,"
+        if here and ((kind == "punctuation" and ENDS.search(piece)) or (kind == "whitespace" and "\n" in piece)):
+            stretches.append(here)
+            here = 0
+    if here:
+        stretches.append(here)
+    hapax = sum(n == 1 for n in forms.values())
+    return forms.total(), chars, long_words, repeats, len(forms), hapax, len(split_sentences(text)), pieces, squares, numbers, marks, commas, stretches
+
+
+def measures(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id``, the columns to keep and MEASURES: one row per document, without a shuffle."""
+    return rows_of(docs, lambda text: (measured(text),), MEASURES, *keep)
+
+
+def readability(docs: DataFrame, *keep: str) -> DataFrame:
+    """Clarity by document over word tokens and sentences, of which there is one at least."""
+    return readable(measures(docs, *keep), *keep)
+
+
+def readable(out: DataFrame, *keep: str) -> DataFrame:
+    n, sentences = F.nullif("words", F.lit(0)), F.greatest(F.lit(1), F.col("sentences"))
+    avg_words, avg_chars, long_ratio = F.col("words") / sentences, F.coalesce(F.col("chars") / n, F.lit(0.0)), F.coalesce(F.col("long_words") / n, F.lit(0.0))
     repeated = F.col("repeats") / F.greatest(F.lit(1), F.col("words") - 1)
     penalty = F.greatest(F.lit(0.0), avg_words - 14.0) * 1.35 + F.greatest(F.lit(0.0), avg_chars - 5.5) * 4.0 + long_ratio * 22.0 + repeated * 35.0
     clarity = F.when(F.col("words") == 0, 100.0).otherwise(clamp(100.0 - penalty))
     band = F.when(clarity >= 82, "clear").when(clarity >= 65, "moderate").when(clarity >= 45, "dense").otherwise("very_dense")
-    return out.select("doc_id", "words", "sentences", six(avg_words).alias("avg_words"), six(avg_chars).alias("avg_chars"), six(long_ratio).alias("long_ratio"), six(repeated).alias("repeated_ratio"), six(clarity).alias("clarity"), band.alias("band"))
+    return out.select("doc_id", *keep, "words", sentences.cast("long").alias("sentences"), six(avg_words).alias("avg_words"), six(avg_chars).alias("avg_chars"), six(long_ratio).alias("long_ratio"), six(repeated).alias("repeated_ratio"), six(clarity).alias("clarity"), band.alias("band"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """Types, type-token ratio and words that occur once, by document."""
-    types = words(docs).groupBy("doc_id", "form").agg(F.count(F.lit(1)).alias("n"))
-    per = types.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("hapax"))
-    return per.select("doc_id", "tokens", "types", "hapax", six(F.col("types") / F.col("tokens")).alias("ttr"), six(F.col("hapax") / F.col("types")).alias("hapax_ratio"))
+    """Types, type-token ratio and words that occur once, by document that has words."""
+    per = measures(docs).where("words > 0")
+    return per.select("doc_id", F.col("words").alias("tokens"), "types", "hapax", six(F.col("types") / F.col("words")).alias("ttr"), six(F.col("hapax") / F.col("types")).alias("hapax_ratio"))
 
 
 def document_analytics(docs: DataFrame) -> DataFrame:
     """Size, reading time at 180 and speaking time at 130 words a minute."""
-    count = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).cast("long")
-    per = words(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
-    out = docs.select("doc_id", F.char_length("text").cast("long").alias("characters"), count(r"[^\n]+").alias("paragraphs"), count("[?؟]").alias("questions")).join(per, "doc_id", "left").na.fill(0)
+
+    def found(text: str) -> Iterator[tuple]:
+        yield len(text), len(PARAGRAPH.findall(text)), text.count("?") + text.count("؟"), len(words_of(text))
+
+    out = rows_of(docs, found, "characters long, paragraphs long, questions long, words long")
     return out.select("*", F.ceil(F.col("words") * 60 / 180).cast("long").alias("reading_s"), F.ceil(F.col("words") * 60 / 130).cast("long").alias("speaking_s"))
 
 
 def fingerprint(docs: DataFrame, *keys: str) -> DataFrame:
-    """Scalar style features by document, as whole counts so that sums of them are exact."""
-    t = tokens(docs, *keys)
-    is_word = F.col("kind").isin("arabic", "latin")
-    size = F.when(is_word, F.char_length("piece")).cast("long")
-    marks = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
-    return t.groupBy("doc_id", *keys).agg(
-        F.count(size).alias("words"), F.coalesce(F.sum(size), F.lit(0)).alias("chars"), F.coalesce(F.sum(size * size), F.lit(0)).alias("chars_sq"),
-        marks("number").alias("numbers"), marks("punctuation").alias("marks"), F.sum((F.col("piece").startswith("،") | F.col("piece").startswith(",")).cast("long")).alias("commas"),
-    )
+    """Scalar style features by document that has tokens, as whole counts so that sums of them are exact."""
+    per = measures(docs.where(F.char_length("text") > 0), *keys)
+    return per.select("doc_id", *keys, "words", F.col("piece_chars").alias("chars"), F.col("piece_chars_sq").alias("chars_sq"), "numbers", "marks", "commas")
 
 
 FEATURES = {"word_length": ("chars", "words"), "number_share": ("numbers", "words"), "mark_share": ("marks", "words"), "comma_share": ("commas", "words")}
@@ -160,22 +194,23 @@ MARKERS = ("لذلك", "لأن", "مثال", "النتيجة")
 
 
 def engagement(docs: DataFrame) -> DataFrame:
-    """Engagement by document from clarity, questions, markers, variety of sentence lengths and type-token ratio.
+    """Engagement by document from clarity, questions, markers, variety of sentence lengths and type-token ratio, in one pass.
 
     A sentence is what stands between terminators or line ends and holds a word.
     """
-    ends = ((F.col("kind") == "punctuation") & F.col("piece").rlike(r"[.!?؟؛…]")) | ((F.col("kind") == "whitespace") & F.col("piece").contains("\n"))
-    t = tokens(docs).withColumn("sent", F.sum(ends.cast("long")).over(in_order())).where("kind in ('arabic', 'latin')")
-    lengths = t.groupBy("doc_id", "sent").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.array_sort(F.collect_list("n")).alias("ns"))
+
+    def found(text: str) -> Iterator[tuple]:
+        yield (*measured(text), text.count("?") + text.count("؟"), sum(map(text.count, MARKERS)))
+
+    rows = rows_of(docs, found, MEASURES + ", q long, m long")
+    rows = readable(rows, "types", "stretches", "q", "m")
     # in whole numbers, so that the order of addition does not matter: sum |k*n - total| / (k * total)
-    off = F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + F.abs(n * F.col("k") - F.col("total")))
-    variety = F.when(F.col("k") > 1, F.least(F.lit(1.0), off / (F.col("k") * F.greatest(F.col("total"), F.col("k"))))).otherwise(0.0)
-    lengths = lengths.select("doc_id", variety.alias("variety"))
-    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
-    base = docs.select("doc_id", F.coalesce(count("[?؟]"), F.lit(0)).alias("q"), F.coalesce(count("|".join(MARKERS)), F.lit(0)).alias("m"))
-    rows = base.join(readability(docs).select("doc_id", "clarity"), "doc_id").join(vocabulary(docs).select("doc_id", "ttr"), "doc_id", "left").join(lengths, "doc_id", "left")
-    value = F.col("clarity") * 0.52 + F.least(F.lit(15.0), F.col("q") * 3.0) + F.least(F.lit(12.0), F.col("m") * 2.0) + F.coalesce("variety", F.lit(0.0)) * 14.0 + F.least(F.lit(7.0), F.coalesce("ttr", F.lit(0.0)) * 10.0)
-    return rows.select("doc_id", F.round(clamp(value), 4).alias("engagement"), F.round(F.coalesce("variety", F.lit(0.0)), 6).alias("variety"))
+    k, total = F.size("stretches").cast("long"), F.col("words")
+    off = F.aggregate("stretches", F.lit(0).cast("long"), lambda a, n: a + F.abs(n * k - total))
+    variety = F.when(k > 1, F.least(F.lit(1.0), off / (k * F.greatest(total, k)))).otherwise(0.0)
+    ttr = F.coalesce(F.round(F.try_divide(F.col("types"), total), 6), F.lit(0.0))
+    value = F.col("clarity") * 0.52 + F.least(F.lit(15.0), F.col("q") * 3.0) + F.least(F.lit(12.0), F.col("m") * 2.0) + variety * 14.0 + F.least(F.lit(7.0), ttr * 10.0)
+    return rows.select("doc_id", F.round(clamp(value), 4).alias("engagement"), F.round(variety, 6).alias("variety"))
 
 
 def tone_balance(scores: DataFrame) -> DataFrame:

@@ -1,69 +1,70 @@
-"""Built-in checks. Each returns ``doc_id, rule_id, start, stop`` and a suggestion."""
+"""Built-in checks, each a pass over one text. All give ``doc_id, rule_id, start, stop`` and a suggestion."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+import re
+from collections.abc import Callable, Iterator
 
-from warraq.functions.resources import FEMININE_COUNTED, MASCULINE_COUNTED, MASCULINE_NUMERALS
-from warraq.functions.text import LETTER_RUN, LETTERS, RUN, STROKE, pieces, tokens
-
-def in_order():
-    """Over the pieces of a document as they stand in the text."""
-    return Window.partitionBy("doc_id").orderBy("idx")
+from pyspark.sql import DataFrame
 
+from warraq.functions.resources import FEMININE_COUNTED, MASCULINE_COUNTED, MASCULINE_NUMERALS
+from warraq.functions.scan import rows_of, tokens_of
+from warraq.functions.text import LETTERS, STROKE, WORD
 
 COLUMNS = ("doc_id", "rule_id", "start", "stop", "suggestion")
-
-
-def repeated_words(docs: DataFrame) -> DataFrame:
+FOUND = "rule_id string, start long, stop long, suggestion string"
+Found = Iterator[tuple[str, int, int, str]]
+Tokens = list[tuple[str, int, int, str]]
+#: Marks of the Latin script, their Arabic counterparts, and the rules for them.
+LATIN_MARKS = {",": ("،", "PUNCT_LATIN_COMMA"), "?": ("؟", "PUNCT_LATIN_QMARK"), ";": ("؛", "PUNCT_LATIN_SEMI")}
+#: Letters of dialects and the standard ones for them.
+DIALECT_LETTERS = str.maketrans("چگپژ", "جكبز")
+AFTER_LETTER = re.compile(rf"(?<=[{LETTERS}])(?:[,?;]|\s+[?;])")
+BLANK_BEFORE = re.compile(r"[ \t]+([،؛؟!.,:])")
+STROKES, LETTER_RUN, WORD_RUN = re.compile(f"{STROKE}+"), re.compile(f"[{LETTERS}]+"), re.compile(f"[{WORD}]+")
+#: Numeral and noun that must not agree: the rule and the numeral in its place.
+MISMATCHES = {(m, n): ("AGREEMENT_NUM_FEM_NOUN", f) for m, f in MASCULINE_NUMERALS for n in FEMININE_COUNTED}
+MISMATCHES |= {(f, n): ("AGREEMENT_NUM_MASC_NOUN", m) for m, f in MASCULINE_NUMERALS for n in MASCULINE_COUNTED}
+
+
+def repeated_words(text: str, tokens: Tokens) -> Found:
     """An Arabic word of two letters or more that is written again after nothing but white space."""
-    t = tokens(docs).withColumns({f"{c}{k}": F.lead(c, k).over(in_order()) for c in ("piece", "kind", "stop") for k in (1, 2)})
-    hit = (F.col("kind") == "arabic") & (F.char_length("piece") > 1) & (F.col("kind1") == "whitespace") & (F.col("piece2") == F.col("piece"))
-    return t.where(hit).select("doc_id", F.lit("STYLE_REPEATED_WORD").alias("rule_id"), "start", F.col("stop2").alias("stop"), F.col("piece").alias("suggestion"))
+    for (piece, start, _, kind), (_, _, _, between), (again, _, stop, _) in zip(tokens, tokens[1:], tokens[2:]):
+        if kind == "arabic" and len(piece) > 1 and between == "whitespace" and again == piece:
+            yield "STYLE_REPEATED_WORD", start, stop, piece
 
 
-def latin_punctuation(docs: DataFrame) -> DataFrame:
+def latin_punctuation(text: str, tokens: Tokens) -> Found:
     """Latin comma, question mark or semicolon after an Arabic letter; blanks before the latter two belong to the span."""
-    text = r"[,?;]|\s+|[^,?;\s]+"
-    t = pieces(docs, text).withColumns({f"{c}{k}": F.lag(c, k).over(in_order()) for c in ("piece", "start") for k in (1, 2)})
-    ends = lambda c: F.col(c).rlike(rf"[{LETTERS}]\z")
-    close = ends("piece1")
-    apart = F.col("piece1").rlike(r"\A\s") & ends("piece2") & (F.col("piece") != ",")
-    rule = F.when(F.col("piece") == ",", "PUNCT_LATIN_COMMA").when(F.col("piece") == "?", "PUNCT_LATIN_QMARK").otherwise("PUNCT_LATIN_SEMI")
-    hits = t.where(F.col("piece").isin(",", "?", ";") & (close | apart))
-    return hits.select("doc_id", rule.alias("rule_id"), F.when(close, F.col("start")).otherwise(F.col("start1")).alias("start"), "stop", F.translate("piece", ",?;", "،؟؛").alias("suggestion"))
+    for m in AFTER_LETTER.finditer(text):
+        to, rule = LATIN_MARKS[m[0][-1]]
+        yield rule, m.start(), m.end(), to
 
 
-def space_before(docs: DataFrame) -> DataFrame:
+def space_before(text: str, tokens: Tokens) -> Found:
     """Blanks or tabs before a punctuation mark; the mark belongs to the span."""
-    t = pieces(docs, r"[ \t]+|[^ \t]+").withColumn("following", F.lead("piece").over(in_order()))
-    hits = t.where(F.col("piece").rlike(r"\A[ \t]") & F.col("following").rlike(r"\A[،؛؟!.,:]"))
-    return hits.select("doc_id", F.lit("PUNCT_SPACE_BEFORE").alias("rule_id"), "start", (F.col("stop") + 1).alias("stop"), F.substring("following", 1, 1).alias("suggestion"))
+    return (("PUNCT_SPACE_BEFORE", m.start(), m.end(), m[1]) for m in BLANK_BEFORE.finditer(text))
 
 
-def elongations(docs: DataFrame) -> DataFrame:
-    t = pieces(docs, f"{STROKE}+|[^{STROKE}]+").where(F.col("piece").startswith(STROKE))
-    return t.select("doc_id", F.lit("STYLE_TATWEEL").alias("rule_id"), "start", "stop", F.lit("").alias("suggestion"))
+def elongations(text: str, tokens: Tokens) -> Found:
+    return (("STYLE_TATWEEL", m.start(), m.end(), "") for m in STROKES.finditer(text))
 
 
-def dialect_letters(docs: DataFrame) -> DataFrame:
-    t = pieces(docs, LETTER_RUN).where(F.col("piece").rlike("[چگپژ]"))
-    return t.select("doc_id", F.lit("DIALECT_LETTERS").alias("rule_id"), "start", "stop", F.translate("piece", "چگپژ", "جكبز").alias("suggestion"))
+def dialect_letters(text: str, tokens: Tokens) -> Found:
+    for m in LETTER_RUN.finditer(text):
+        if (to := m[0].translate(DIALECT_LETTERS)) != m[0]:
+            yield "DIALECT_LETTERS", m.start(), m.end(), to
 
 
-def number_agreement(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def number_agreement(text: str, tokens: Tokens) -> Found:
     """Numerals three to ten that agree with the counted noun where they must differ from it."""
-    spark = docs.sparkSession
-    rows = [(m, n, "AGREEMENT_NUM_FEM_NOUN", f) for m, f in MASCULINE_NUMERALS for n in FEMININE_COUNTED]
-    rows += [(f, n, "AGREEMENT_NUM_MASC_NOUN", m) for m, f in MASCULINE_NUMERALS for n in MASCULINE_COUNTED]
-    wrong = spark.createDataFrame(rows, "piece string, noun string, rule_id string, suggestion string")
-    runs = pieces(docs, RUN).withColumns({"gap": F.lead("piece", 1).over(in_order()), "noun": F.lead("piece", 2).over(in_order())})
-    return runs.where(F.col("gap").rlike(r"\A\s+\z")).join(F.broadcast(wrong), ["piece", "noun"]).select(*COLUMNS)
+    runs = list(WORD_RUN.finditer(text))
+    for a, b in zip(runs, runs[1:]):
+        if (hit := MISMATCHES.get((a[0], b[0]))) and text[a.end() : b.start()].isspace():
+            yield hit[0], a.start(), a.end(), hit[1]
 
 
-CHECKS = {
+CHECKS: dict[str, Callable[[str, Tokens], Found]] = {
     "repeated_words": repeated_words,
     "latin_punct": latin_punctuation,
     "space_before_punct": space_before,
@@ -73,9 +74,12 @@ CHECKS = {
 }
 
 
-def all_checks(docs: DataFrame) -> DataFrame:
-    out = None
-    for check in CHECKS.values():
-        rows = check(docs).select(*COLUMNS)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def all_of(text: str, names: tuple[str, ...] = tuple(CHECKS)) -> Found:
+    """Matches of the named checks, by one tokenisation."""
+    tokens = list(tokens_of(text))
+    for name in names:
+        yield from CHECKS[name](text, tokens)
+
+
+def all_checks(docs: DataFrame, names: tuple[str, ...] = tuple(CHECKS)) -> DataFrame:
+    return rows_of(docs, lambda text: all_of(text, names), FOUND).select(*COLUMNS)

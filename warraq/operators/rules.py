@@ -1,13 +1,17 @@
-"""Literal rules as equi-joins on maximal runs of word characters."""
+"""Literal rules, looked up at maximal runs of word characters."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from warraq.functions.resources import PREFIXES, RULES
-from warraq.functions.text import RUN, pieces
+from warraq.functions.scan import rows_of
+from warraq.functions.text import WORD
 
 SCHEMA = "surface string, words int, rule_id string, suggestion string, category string, severity string, confidence double, priority int, autofix boolean, profile string"
 
@@ -28,19 +32,50 @@ def rule_table(spark: SparkSession, profiles: tuple[str, ...] | None = None) ->
     return rules.where((F.col("profile") == "all") | F.col("profile").isin(*profiles)) if profiles is not None else rules
 
 
+#: Surfaces of a rule pack, which every task holds.
+MOST_SURFACES = 1_000_000
+HIT = "start long, stop long, rule_id string, suggestion string, category string, severity string, confidence double, priority int, autofix boolean, profile string"
+WORD_RUN = re.compile(f"[{WORD}]+")
+
+
+class Literals:
+    """Surfaces of one word or several, looked up at each run of word characters."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rules: dict[str, list[tuple]] = {}
+        for surface, _, *rule in rows:
+            self.rules.setdefault(surface, []).append(tuple(rule))
+        #: The most words of a surface that begins with a word.
+        self.most: dict[str, int] = {}
+        for surface in self.rules:
+            first, n = surface.split(" ", 1)[0], surface.count(" ") + 1
+            self.most[first] = max(n, self.most.get(first, 0))
+
+    def hits(self, text: str) -> Iterator[tuple]:
+        """Start, stop and the columns of each rule; words of a surface have exactly one blank between them."""
+        runs = [(m.start(), m.end()) for m in WORD_RUN.finditer(text)]
+        for i, (start, stop) in enumerate(runs):
+            most = self.most.get(text[start:stop], 0)
+            for k in range(i, min(i + most, len(runs))):
+                if k > i and (runs[k][0] != stop + 1 or text[stop] != " "):
+                    break
+                stop = runs[k][1]
+                for rule in self.rules.get(text[start:stop], ()):
+                    yield start, stop, *rule
+
+
+def literals(rules: DataFrame) -> Literals:
+    """The rules as a look-up that is sent to every task; a pack of more than a million surfaces is an error."""
+    rows = rules.select(*(x.split()[0] for x in SCHEMA.split(", "))).limit(MOST_SURFACES + 1).collect()
+    if len(rows) > MOST_SURFACES:
+        raise ValueError(f"more than {MOST_SURFACES} surfaces in a rule pack")
+    return Literals([tuple(r) for r in rows])
+
+
 def literal_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches of one- and two-word literals: ``doc_id, start, stop`` and the rule's columns.
-
-    A two-word literal is two runs with exactly one blank between. The rules are a fixed table of a few
-    hundred rows, so they are broadcast.
-    """
-    runs = pieces(docs, RUN)
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    runs = runs.withColumns({"gap": F.lead("piece", 1).over(order), "second": F.lead("piece", 2).over(order)})
-    one = F.struct(F.col("piece").alias("surface"), "start", "stop")
-    two = F.struct(F.concat_ws(" ", "piece", "second").alias("surface"), "start", (F.col("stop") + 1 + F.char_length("second")).alias("stop"))
-    forms = F.when((F.col("gap") == " ") & F.col("second").isNotNull(), F.array(one, two)).otherwise(F.array(one))
-    return runs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.*").join(F.broadcast(rules), "surface").drop("surface", "words")
+    """Matches of literals of any number of words: ``doc_id, start, stop`` and the rule's columns, in one pass over each text."""
+    look_up = literals(rules)
+    return rows_of(docs, look_up.hits, HIT)
 
 
 #: Confidence and priority of a rule that gives none, by category; other categories have 0.8 and 0.

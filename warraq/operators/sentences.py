@@ -1,71 +1,55 @@
-"""Sentences by a scan from left to right, and the checks and measures that need them.
+"""Sentences, and the checks and measures that need them.
 
-A newline or terminator ends a sentence, except a dot between digits, after a list marker, or after an
-abbreviation. Runs of terminators and closers belong to the sentence they end.
+Candidates for an end are line ends and runs of terminators with the closers behind them, found by one
+pattern. Dots that end nothing, between digits, after a list marker or in an abbreviation, are found by others and taken out.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from warraq.functions.text import tokens
-from warraq.functions.workers import importable
+from warraq.functions.scan import rows_of, tokens_of
 
-#: Fixed values.
-TERMINATORS = frozenset(".!?؟؛…")
-CLOSERS = frozenset("\"'»”’)]}")
-OPENERS = frozenset("([{'\"«،؛:—-")
+#: What ends a sentence, what closes it, and what may stand before an abbreviation.
+TERMINATORS = ".!?؟؛…"
+CLOSERS = "\"'»”’)]}"
+OPENERS = "([{'\"«،؛:—-"
 ABBREVIATIONS = ("د.", "أ.د.", "م.", "أ.", "ص.", "ج.", "هـ.", "ق.م.", "م.م.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "e.g.", "i.e.")
-DIGITS = frozenset("0123456789٠١٢٣٤٥٦٧٨٩")
+END = re.compile(rf"\n|[{TERMINATORS}]+[{re.escape(CLOSERS)}]*")
+DECIMAL = re.compile(r"(?<=[0-9٠-٩])\.(?=[0-9٠-٩])")
+#: What stands in a line before its first character that is neither blank nor an end, and the marker.
+MARKER = re.compile(rf"^(?:[^\S\n]|[{TERMINATORS}]+[{re.escape(CLOSERS)}]*)*(?:[0-9٠-٩]{{1,3}}|[A-Za-zأ-ي])[^\S\n]*(\.)", re.M)
+#: One pattern for each number of dots in an abbreviation, as they may overlap.
+SHORT = [re.compile(rf"(?:^|(?<=[\s{re.escape(OPENERS)}]))(?:{'|'.join(re.escape(a[:-1]) for a in ABBREVIATIONS if a.count('.') == n)})(\.)") for n in (1, 2)]
 LONG_WORDS = 50
 
 
-def _guarded(text: str, i: int, line: int | None) -> bool:
-    """Whether the dot at i ends nothing. ``line``: where the text of its line begins, if it has."""
-    if 0 < i < len(text) - 1 and text[i - 1] in DIGITS and text[i + 1] in DIGITS:
-        return True
-    end = i
-    while line is not None and end > line and text[end - 1].isspace():
-        end -= 1
-    if line is not None and end - line <= 3:
-        marker = text[line:end]
-        if len(marker) == 1 and (marker in DIGITS or (marker.isascii() and marker.isalpha()) or "أ" <= marker <= "ي"):
-            return True
-        if 2 <= len(marker) <= 3 and all(c in DIGITS for c in marker):
-            return True
-    for a in ABBREVIATIONS:
-        start = i + 1 - len(a)
-        if start >= 0 and text.startswith(a, start) and (start == 0 or text[start - 1].isspace() or text[start - 1] in OPENERS):
-            return True
-    return False
+def kept_dots(text: str) -> set[int]:
+    """Places of dots that end nothing."""
+    if "." not in text:
+        return set()
+    return {m.start() for m in DECIMAL.finditer(text)} | {m.start(1) for pattern in (MARKER, *SHORT) for m in pattern.finditer(text)}
 
 
 def split_sentences(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, stop, terminator)`` of each body that is not blank; the terminator is not part of the body."""
-    text, out, start, i, line = text or "", [], 0, 0, None
-    while i < len(text):
-        c = text[i]
-        if c == "\n" or (c in TERMINATORS and not (c == "." and _guarded(text, i, line))):
-            stop = i
-            if c == "\n":
-                i, line = i + 1, None
-            else:
-                while i < len(text) and text[i] in TERMINATORS:
-                    i += 1
-                while i < len(text) and text[i] in CLOSERS:
-                    i += 1
-            if text[start:stop].strip():
-                out.append((start, stop, text[stop:i] if c != "\n" else "\n"))
-            start = i
+    text, out, start = text or "", [], 0
+    dots = kept_dots(text)
+    for m in END.finditer(text):
+        stop = m.start()
+        while stop in dots:
+            stop += 1
+        # A run of which every dot is kept ends nothing.
+        if stop == m.end() or text[stop] not in TERMINATORS + "\n":
             continue
-        if line is None and not c.isspace():
-            line = i
-        i += 1
+        if text[start:stop].strip():
+            out.append((start, stop, text[stop : m.end()]))
+        start = m.end()
     if text[start:].strip():
         out.append((start, len(text), ""))
     return out
@@ -74,31 +58,28 @@ def split_sentences(text: str | None) -> list[tuple[int, int, str]]:
 def sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, sent, start, stop, terminator, body``; a text without a word has none."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([[{"start": a, "stop": b, "terminator": t} for a, b, t in split_sentences(x)] for x in s])
+    def found(text: str) -> Iterator[tuple]:
+        return ((i, a, b, end, text[a:b]) for i, (a, b, end) in enumerate(split_sentences(text)))
 
-    importable(docs.sparkSession)
-    of = F.pandas_udf(run, "array<struct<start: int, stop: int, terminator: string>>")
-    rows = docs.withColumn("s", of(F.coalesce("text", F.lit("")))).select("doc_id", "text", F.posexplode("s").alias("sent", "s"))
-    return rows.select("doc_id", "sent", "s.start", "s.stop", "s.terminator", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("body"))
+    return rows_of(docs, found, "sent int, start int, stop int, terminator string, body string")
 
 
-def located(tokens_: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tokens with the sentence that begins last at or before them, by one union and window: no range join."""
-    marks = spans.select("doc_id", F.col("start").alias("at"), F.col("sent").alias("mark"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("piece"), F.lit(None).cast("string").alias("kind"))
-    rows = tokens_.select("doc_id", F.col("start").alias("at"), F.lit(None).cast("int").alias("mark"), F.lit(1).alias("rank"), "piece", "kind")
-    over = Window.partitionBy("doc_id").orderBy("at", "rank")
-    return marks.unionByName(rows).withColumn("sent", F.last("mark", ignorenulls=True).over(over)).where("rank = 1 and sent is not null").drop("rank", "mark")
+def measured(text: str) -> list[list[int]]:
+    """Of each sentence: start, stop, words, long words and inner marks. A word belongs to the sentence that begins last before it."""
+    spans = split_sentences(text)
+    starts = [a for a, _, _ in spans]
+    out = [[a, b, 0, 0, sum(map(text[a:b].count, "،؛:("))] for a, b, _ in spans]
+    for piece, at, _, kind in tokens_of(text) if spans else ():
+        if kind in ("arabic", "latin") and (k := bisect_right(starts, at)):
+            out[k - 1][2] += 1
+            out[k - 1][3] += len(piece) >= 8
+    return out
 
 
 def heatmap(docs: DataFrame) -> DataFrame:
-    """Complexity and clarity of each sentence from its words, inner punctuation and long words."""
-    s = sentences(docs)
-    words = located(tokens(docs), s).where("kind in ('arabic', 'latin')").groupBy("doc_id", "sent").agg(F.count(F.lit(1)).alias("words"), F.sum((F.char_length("piece") >= 8).cast("long")).alias("long_words"))
-    load = F.char_length("body") - F.char_length(F.translate("body", "،؛:(", ""))
-    rows = s.join(words, ["doc_id", "sent"], "left").na.fill(0, ["words", "long_words"])
-    raw = F.greatest(F.lit(0), F.col("words") - 12) * 2.8 + load * 7.0 + F.col("long_words") * 1.8
+    """Complexity and clarity of each sentence from its words, inner punctuation and long words, in one pass over each text."""
+    rows = rows_of(docs, lambda text: ((i, *x) for i, x in enumerate(measured(text))), "sent int, start int, stop int, words long, long_words long, load int")
+    raw = F.greatest(F.lit(0), F.col("words") - 12) * 2.8 + F.col("load") * 7.0 + F.col("long_words") * 1.8
     rows = rows.withColumn("complexity", F.least(F.lit(100.0), raw.cast("double")))
     heat = F.when(F.col("complexity") < 28, "cool").when(F.col("complexity") < 52, "balanced").when(F.col("complexity") < 72, "warm").otherwise("hot")
     return rows.select("doc_id", "sent", "start", "stop", "words", F.round("complexity", 6).alias("complexity"), F.round(100 - F.col("complexity") * 0.72, 6).alias("clarity"), heat.alias("heat"))

@@ -15,9 +15,9 @@ from warraq.operators import morphology
 
 #: Letters that are easily taken for each other, by group, and their costs.
 CONFUSED = ("اأإآٱ", "يىئ", "هة", "وؤ", "ءئؤ")
-NEAR = (("ض", "ظ"), ("ذ", "ز"), ("ث", "س"), ("ت", "ط"), ("ق", "ك"), ("د", "ذ"))
+NEAR = (("ض", "ص"), ("ذ", "ز"), ("ث", "ت"), ("ظ", "ض"), ("د", "ذ"), ("ق", "ف"))
 CONFUSION, NEARNESS, HAMZA, DOUBLED, SWAP = 0.18, 0.55, 0.35, 0.55, 0.75
-HAMZAS = frozenset("ءأإؤئ")
+HAMZAS = frozenset("ءأإآؤئ")
 #: Morphological confidence of a word that is right.
 ACCEPTED = 0.72
 
@@ -34,7 +34,7 @@ def _step(word: str, i: int) -> float:
     """Cost of the letter i that only one of the two words has."""
     if word[i] in HAMZAS:
         return HAMZA
-    return DOUBLED if i and word[i] == word[i - 1] else 1.0
+    return DOUBLED if word[i] in (word[i - 1 : i], word[i + 1 : i + 2]) else 1.0
 
 
 def distance(a: str, b: str) -> float:

@@ -41,7 +41,7 @@ def normalize_modes(spark, sf):
 
 def _check(name: str) -> None:
     def run(spark, sf):
-        return checks.CHECKS[name](arabic(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+        return checks.all_checks(arabic(spark, sf), (name,)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
 
     run.__name__ = name
     query(D.check(name))(run)
@@ -91,7 +91,7 @@ def redacted_text(spark, sf):
 
 @query(D.readability("SELECT lang, count(*)::BIGINT AS docs, sum(words)::BIGINT AS words, sum(round(clarity * 1000000)::BIGINT)::BIGINT AS clarity_sum, count(*) FILTER (band = 'clear')::BIGINT AS clear FROM f JOIN documents USING (doc_id) GROUP BY lang"))
 def readability_by_lang(spark, sf):
-    r = A.readability(docs(spark, sf)).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    r = A.readability(docs(spark, sf), "lang")
     return r.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"), F.sum(F.round(F.col("clarity") * 1000000).cast("long")).alias("clarity_sum"), F.count(F.when(F.col("band") == "clear", 1)).alias("clear"))
 
 
@@ -286,20 +286,19 @@ def check_pipeline(spark, sf):
     return kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts"))
 
 
-@query()
+@query(D.sql(D.sentences(), "SELECT doc_id, sent, start, stop, terminator FROM sp"))
 def sentence_spans(spark, sf):
-    """Tested against examples and properties: the scan is sequential."""
     return sentences.sentences(docs(spark, sf)).select("doc_id", *long("sent", *SPAN), "terminator")
 
 
-@query()
+@query(D.sql(D.tokens(), D.sentences(), D.heat(), "SELECT doc_id, sent, start, stop, words, round(c, 6) AS complexity, round(100 - c * 0.72::DOUBLE, 6) AS clarity, CASE WHEN c < 28 THEN 'cool' WHEN c < 52 THEN 'balanced' WHEN c < 72 THEN 'warm' ELSE 'hot' END AS heat FROM ht"))
 def sentence_heatmap(spark, sf):
-    return sentences.heatmap(docs(spark, sf))
+    return sentences.heatmap(docs(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("sent", *SPAN)})
 
 
-@query()
+@query(D.sql(D.tokens(), D.sentences(), D.heat(), "SELECT doc_id, 'STYLE_LONG_SENTENCE' AS rule_id, start, least(stop, start + 40) AS stop, words FROM ht WHERE words > 50"))
 def long_sentences(spark, sf):
-    return sentences.long_sentences(docs(spark, sf))
+    return sentences.long_sentences(docs(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "words")
 
 
 _VARIANT_HITS = (D.arabic(), D.tokens("ar"), D.lexicon("l", "grp, form", R.VARIANTS), f"vh AS (SELECT doc_id, grp AS rule_id, start, stop, piece AS surface FROM t JOIN l ON form = {D.normalize('piece', 'lookup')} WHERE kind = 'arabic')")

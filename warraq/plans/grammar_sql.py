@@ -187,7 +187,7 @@ def endings() -> tuple[str, str]:
     pick = "CASE c " + " ".join(f"WHEN '{c}' THEN CASE WHEN definite THEN '{x}' ELSE '{y}' END" for c, x, y in R.ENDINGS) + " END"
     return (
         f"kc AS (SELECT doc_id, dependent, m.h AS head, {case} AS c FROM (SELECT doc_id, dependent, max({{'c': conf, 'r': relation, 'h': head}}) AS m FROM rel GROUP BY ALL))",
-        f"SELECT doc_id, idx, piece, c AS \"case\", bare || {pick} AS marked FROM (SELECT w2.*, regexp_replace(piece, '[{D.X.MARKS}]+$', '') AS bare, c FROM w2 JOIN "
+        f"SELECT doc_id, idx, piece, c AS \"case\", bare || {pick} AS marked FROM (SELECT w2.*, regexp_replace(piece, '[{D.MARKS}]+$', '') AS bare, c FROM w2 JOIN "
         "(SELECT k.doc_id, k.dependent, CASE WHEN k.c = 'follows' THEN h.c ELSE k.c END AS c FROM kc k LEFT JOIN kc h ON h.doc_id = k.doc_id AND h.dependent = k.head AND h.c <> 'follows') z ON z.doc_id = w2.doc_id AND z.dependent = w2.idx) q "
         "WHERE number = 'singular' AND c IS NOT NULL AND right(bare, 1) NOT IN ('ا', 'ى', 'ي', 'و')",
     )

@@ -14,7 +14,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Queries whose result has no SQL form.
 ROWS_ONLY = {
-    "sentence_spans", "sentence_heatmap", "long_sentences", "token_bucket", "consistency_tracker", "spell_suggestions", "rewrite_budgeted", "wordpiece_ids", "spell_decisions",
+    "token_bucket", "consistency_tracker", "spell_suggestions", "rewrite_budgeted", "wordpiece_ids", "spell_decisions",
 }
 
 

@@ -23,8 +23,12 @@ def stream_of(batch: DataFrame, path: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new name in the folder that all executors see; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="warraq-stream-")
+    """A new name in the folder that all executors see; where none is set, a folder of our own on a local master, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="warraq-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -76,10 +80,15 @@ def consistency_tracker(chunks: DataFrame) -> DataFrame:
 def token_bucket(events: DataFrame, capacity: float = 5.0, per_second: float = 0.001) -> DataFrame:
     """Whether each event ``user_id, event_id, ms`` is let through by a bucket that refills over event time.
 
-    State is the user's level and last time; an event that is late by its time refills nothing.
+    State is the user's level and last time; an event that is late by its time refills nothing. A user of whom nothing came for four
+    times as long as a bucket takes to fill, five minutes at least, is forgotten, so state does not grow with users for ever.
     """
+    idle = max(300_000, int(4 * capacity / per_second * 1000))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (capacity, None)
         rows = pd.concat(list(parts)).sort_values(["ms", "event_id"])
         allowed = []
@@ -90,10 +99,11 @@ def token_bucket(events: DataFrame, capacity: float = 5.0, per_second: float = 0
             allowed.append(level >= 1)
             level -= level >= 1
         state.update((float(level), int(last)))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
     importable(events.sparkSession)
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "level double, last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "level double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def undelivered(records: DataFrame, delivered: DataFrame, node: str) -> DataFrame:
