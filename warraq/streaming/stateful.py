@@ -77,11 +77,12 @@ def consistency_tracker(chunks: DataFrame) -> DataFrame:
     )
 
 
-def token_bucket(events: DataFrame, capacity: float = 5.0, per_second: float = 0.001) -> DataFrame:
+def token_bucket(events: DataFrame, capacity: float = 5.0, per_second: float = 0.001, late: str = "7 days") -> DataFrame:
     """Whether each event ``user_id, event_id, ms`` is let through by a bucket that refills over event time.
 
     State is the user's level and last time; an event that is late by its time refills nothing. A user of whom nothing came for four
-    times as long as a bucket takes to fill, five minutes at least, is forgotten, so state does not grow with users for ever.
+    times as long as a bucket takes to fill, five minutes at least, is forgotten once the watermark, ``late`` behind, has passed, so state
+    does not grow with users for ever; a forgotten bucket was full.
     """
     idle = max(300_000, int(4 * capacity / per_second * 1000))
 
@@ -99,11 +100,12 @@ def token_bucket(events: DataFrame, capacity: float = 5.0, per_second: float = 0
             allowed.append(level >= 1)
             level -= level >= 1
         state.update((float(level), int(last)))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(int(last) + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
     importable(events.sparkSession)
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "level double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select("user_id", "event_id", "ms", F.timestamp_millis("ms").alias("at")).withWatermark("at", late)
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, allowed boolean", "level double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def undelivered(records: DataFrame, delivered: DataFrame, node: str) -> DataFrame:
