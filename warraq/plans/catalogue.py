@@ -423,4 +423,4 @@ def softmax_rank(spark, sf):
     return serving.softmax(s, "user_id", "score")
 
 
-from warraq.plans import language  # noqa: E402, F401  its queries register themselves
+from warraq.plans import language, reports  # noqa: E402, F401  their queries register themselves

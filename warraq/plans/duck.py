@@ -47,7 +47,7 @@ def sql(*parts: str) -> str:
 def arabic() -> str:
     s = "[" + ", ".join(map(quoted, R.SENTENCES)) + "]"
     n = len(R.SENTENCES)
-    return f"s0 AS (SELECT {s} AS s), ar AS (SELECT doc_id, lang, source, concat_ws(' ', s[doc_id % {n} + 1], s[(doc_id * 7 + 1) % {n} + 1], s[(doc_id * 13 + 2) % {n} + 1]) AS text FROM documents, s0)"
+    return f"s0 AS (SELECT {s} AS s), ar AS (SELECT doc_id, lang, source, concat_ws(' ', s[doc_id % {n} + 1], s[(doc_id // {n} * 7 + doc_id + 1) % {n} + 1], s[(doc_id * 13 + 2) % {n} + 1], text) AS text FROM documents, s0)"
 
 
 def pieces(pattern: str, source: str, name: str) -> str:
