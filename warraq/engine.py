@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,9 @@ COLUMNS = ("doc_id", *(x.split()[0] for x in MATCH.split(", ")))
 #: How much the match of a layer counts against others.
 PRIORITIES = {"checks": 0, "patterns": 20, "sentences": 0, "consistency": 88, "spelling": 76, "syntax": 90, "style": 31, "dialect": 45}
 CATEGORY_OF = (("AGREEMENT", "grammar"), ("PUNCT", "punctuation"), ("DIALECT", "dialect"), ("CONSISTENCY", "consistency"))
+SEVERITIES = {"error": 3, "warning": 2, "hint": 1}
+#: Layers that look words up, for which a text does not suffice.
+PARSED = frozenset({"patterns", "spelling", "syntax", "style", "dialect"})
 #: Words that a user may add, and letters of one.
 MOST_WORDS, MOST_LETTERS = 500, 80
 
@@ -70,8 +73,8 @@ class Engine:
     def _allowed(self, cat: str) -> bool:
         return (self.categories is None or cat in self.categories) and cat not in self.disabled_categories
 
-    def _scanned(self, docs: DataFrame) -> DataFrame:
-        """Layers that need no more than the text: one pass and one tokenisation of each."""
+    def _scanner(self) -> Callable[[str], Iterator[tuple]]:
+        """Matches of a text by the layers that need no more than it: one pass, one tokenisation."""
         rules = self.rules if self.rules is not None else rule_table(self.spark, self.profiles)
         if self.rules is not None and self.profiles is not None:
             rules = rules.where((F.col("profile") == "all") | F.col("profile").isin(*self.profiles))
@@ -109,7 +112,18 @@ class Engine:
                 if cats.get(m[2], True) and m[1] not in off and not (own and bare(text[m[4] : m[5]]) in own) and not any(a < m[5] and m[4] < b for _, a, b in hidden):
                     yield m
 
-        return rows_of(docs, found, MATCH)
+        return found
+
+    def _resolver(self) -> Callable[[str], Iterator[tuple]]:
+        found = self._scanner()
+
+        def resolved(text: str) -> Iterator[tuple]:
+            matches = sorted(found(text), key=lambda m: (-m[8], -m[7], -SEVERITIES.get(m[3], 1), m[6] is None, m[4] - m[5], m[4], m[1]))
+            for k in spans.kept((m[4], m[5]) for m in matches):
+                _, rule, _, _, start, stop, to, *_ = matches[k]
+                yield start, stop, rule, to
+
+        return resolved
 
     def _parsed(self, docs: DataFrame) -> Iterator[DataFrame]:
         """Matches of the layers that look words up."""
@@ -142,7 +156,7 @@ class Engine:
 
     def found(self, docs: DataFrame) -> DataFrame:
         """All matches of the layers, before they are resolved: COLUMNS."""
-        out, more = self._scanned(docs), None
+        out, more = rows_of(docs, self._scanner(), MATCH), None
         for rows in self._parsed(docs):
             more = rows if more is None else more.unionByName(rows)
         if more is None:
@@ -156,7 +170,12 @@ class Engine:
         return out.unionByName(more)
 
     def check(self, docs: DataFrame, suppressions: DataFrame | None = None) -> DataFrame:
-        """Matches that stay when they are resolved against each other: ``doc_id, start, stop, rule_id, suggestion``."""
+        """Matches that stay when they are resolved against each other: ``doc_id, start, stop, rule_id, suggestion``.
+
+        Where only the texts are scanned, matches are resolved row by row in the same pass, and nothing is shuffled.
+        """
+        if suppressions is None and not set(self.layers) & PARSED:
+            return rows_of(docs, self._resolver(), "start long, stop long, rule_id string, suggestion string")
         rows = self.found(docs)
         if suppressions is not None:
             rows = document_rules.suppress(rows, docs, suppressions)

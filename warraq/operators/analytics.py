@@ -145,16 +145,25 @@ def dialect_hits(docs: DataFrame) -> DataFrame:
 
 
 def dialects(docs: DataFrame) -> DataFrame:
-    """The best-scored dialect by document: 0.08 and the weights of its forms, each shared among its dialects; ties by name."""
+    """The dialect by document: 0.08 and the weights of its forms, each shared among its dialects; ties by name.
+
+    A best score below 0.72, or a second of 0.48 and less than 0.3 behind, is ambiguous: the dialect is then mixed if the second
+    has 0.35 or more. A text without such forms is standard.
+    """
     hits = dialect_hits(docs)
     shared = hits.withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "start")))
     scores = shared.groupBy("doc_id", "dialect").agg((F.sum(F.round(F.col("weight") / F.col("labels") * 1000).cast("long")) / 1000 + 0.08).alias("score"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "dialect"))
-    gap = F.col("score") - F.coalesce(F.lead("score").over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "dialect")), F.lit(0.08))
-    top = scores.withColumns({"rank": rank, "gap": gap}).where("rank = 1")
+    second = F.coalesce(F.lead("score").over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "dialect")), F.lit(0.08))
+    weight = F.sum("score").over(Window.partitionBy("doc_id")) - 0.08 * F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    top = scores.withColumns({"rank": rank, "second": second, "weight": weight}).where("rank = 1")
     every = docs.select("doc_id").join(top, "doc_id", "left")
-    second = F.col("score") - F.col("gap")
-    return every.select("doc_id", F.coalesce("dialect", F.lit("msa")).alias("dialect"), six(F.coalesce("score", F.lit(1.0))).alias("score"), F.coalesce((F.col("score") < 0.72) | ((second >= 0.48) & (F.col("gap") < 0.3)), F.lit(False)).alias("ambiguous"))
+    gap = F.col("score") - F.col("second")
+    ambiguous = F.coalesce((F.col("score") < 0.72) | ((F.col("second") >= 0.48) & (gap < 0.3)), F.lit(False))
+    sure = F.least(F.lit(0.995), 0.48 + F.least(F.lit(0.34), F.col("weight") * 0.11) + F.least(F.lit(0.17), gap * 0.22))
+    sure = F.coalesce(F.when(ambiguous, F.least(F.lit(0.69), sure)).otherwise(sure), F.lit(0.995))
+    name = F.when(ambiguous & (F.col("second") >= 0.35), "mixed").otherwise(F.coalesce("dialect", F.lit("msa")))
+    return every.select("doc_id", name.alias("dialect"), six(F.coalesce("score", F.lit(1.0))).alias("score"), ambiguous.alias("ambiguous"), F.round(sure, 5).alias("confidence"))
 
 
 def tones(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warraq.engine import Engine
 from warraq.functions import resources as R
 from warraq.functions.text import HTML_STEPS, html_text, normalize, respace, tokens
 from warraq.operators import analytics as A
@@ -278,11 +279,8 @@ def cosine_rank(spark, sf):
 
 @query(D.check_pipeline())
 def check_pipeline(spark, sf):
-    """Rules and built-in checks of every document, resolved against each other and counted."""
-    ar = arabic(spark, sf)
-    found = rules.literal_hits(ar, rules.rule_table(spark)).select("doc_id", "start", "stop", "rule_id", "suggestion", "priority", "confidence", "severity")
-    built = checks.all_checks(ar).select("doc_id", "start", "stop", "rule_id", "suggestion", F.lit(0).alias("priority"), F.lit(0.8).alias("confidence"), F.lit("warning").alias("severity"))
-    kept = spans.resolve(found.unionByName(built))
+    """Rules and built-in checks of every document, resolved against each other in one pass and counted."""
+    kept = Engine(spark, layers=("rules", "checks"), guard_private=False).check(arabic(spark, sf))
     return kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts"))
 
 

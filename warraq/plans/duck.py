@@ -210,8 +210,9 @@ def dialects() -> str:
         arabic(), tokens("ar"), lexicon("l", "form, dialect, weight", R.DIALECT_FORMS),
         f"a AS (SELECT doc_id, dialect, round(weight / count(*) OVER (PARTITION BY doc_id, start) * 1000)::BIGINT AS w FROM t JOIN l ON form = {normalize('piece', 'lookup')} WHERE kind = 'arabic')",
         "sc AS (SELECT doc_id, dialect, sum(w) / 1000 + 0.08::DOUBLE AS score FROM a GROUP BY ALL)",
-        "rk AS (SELECT *, row_number() OVER x AS rank, score - coalesce(lead(score) OVER x, 0.08::DOUBLE) AS gap FROM sc WINDOW x AS (PARTITION BY doc_id ORDER BY score DESC, dialect))",
-        "SELECT ar.doc_id, coalesce(rk.dialect, 'msa') AS dialect, round(coalesce(score, 1.0), 6)::DOUBLE AS score, coalesce(score < 0.72 OR (score - gap >= 0.48 AND gap < 0.3), false) AS ambiguous FROM ar LEFT JOIN rk ON rk.doc_id = ar.doc_id AND rank = 1",
+        "rk AS (SELECT *, row_number() OVER x AS rank, coalesce(lead(score) OVER x, 0.08::DOUBLE) AS second, sum(score - 0.08::DOUBLE) OVER (PARTITION BY doc_id) AS weight FROM sc WINDOW x AS (PARTITION BY doc_id ORDER BY score DESC, dialect))",
+        "rm AS (SELECT ar.doc_id, dialect, score, second, weight, coalesce(score < 0.72 OR (second >= 0.48 AND score - second < 0.3), false) AS ambiguous, least(0.995::DOUBLE, 0.48::DOUBLE + least(0.34::DOUBLE, weight * 0.11::DOUBLE) + least(0.17::DOUBLE, (score - second) * 0.22::DOUBLE)) AS sure FROM ar LEFT JOIN rk ON rk.doc_id = ar.doc_id AND rank = 1)",
+        "SELECT doc_id, CASE WHEN ambiguous AND second >= 0.35 THEN 'mixed' ELSE coalesce(dialect, 'msa') END AS dialect, round(coalesce(score, 1.0), 6)::DOUBLE AS score, ambiguous, round(coalesce(CASE WHEN ambiguous THEN least(0.69::DOUBLE, sure) ELSE sure END, 0.995), 5)::DOUBLE AS confidence FROM rm",
     )
 
 
