@@ -553,6 +553,24 @@ def test_document_frequencies(spark, monkeypatch):
             assert c == held[s] - 1 if held[s] <= 128 else abs(128 * 2 ** ((c - 127) / 5) / held[s] - 1) < 0.08, (pid, held[s], c)
 
 
+def test_word_hashes_tell_words_apart():
+    h = shingles.WordHashes()
+    texts = ["a b", "ab", "Ab  aB, ab", "don't_x 12", "café İstanbul ΣΑΣ", "今天abc天气", "ไทย", "😀 𠀀 \U0003fffd", "", "?! ...", "x" * 200_000 + " y", "a\x00b", "é e\u0301"]
+    seen = {}
+    for t in texts:
+        words = shingles.words_of(t) or t.split()
+        got = h.of(t).tolist()
+        if not any(ord(c) >= shingles.PLANES or c == "😀" for c in t):
+            assert len(got) == len(words), t
+            for w, x in zip(words, got, strict=True):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    rng = random.Random(1)
+    many = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(200_000)})
+    assert len(set(h.of(" ".join(many)).tolist())) == len(many)
+    assert h.of("xx yy " * 5 + "zz").tolist()[:2] == h.of("xx yy").tolist()
+
+
 def test_samples_agree_with_weighted_jaccard():
     rng = np.random.default_rng(4)
     ids = np.unique(rng.integers(0, 1 << 63, 40_000, np.uint64)) * np.uint64(2)

@@ -89,13 +89,13 @@ class Hashes:
         words = words_of(text)
         if not words:
             return [], False
-        return (self.winnowed(self.words.hashed(words)) if len(words) >= SHORT else [self.one(words)]), len(words) >= OUTSIDE_WORDS
+        return (self.winnowed(self.words.of(text)) if len(words) >= SHORT else [self.one(words)]), len(words) >= OUTSIDE_WORDS
 
     def written(self, own: list[str]) -> list[int]:
         """Hashes by which a message may be quoted."""
         text = "\n".join(own)
         words = words_of(text)
-        out = set(self.winnowed(self.words.hashed(words))) if len(words) >= SHORT else set()
+        out = set(self.winnowed(self.words.of(text))) if len(words) >= SHORT else set()
         for piece in {*text.split("\n"), *SENTENCE.split(text), *PARAGRAPH.split(text)}:
             if len(few := words_of(piece)) < SHORT and few:
                 out.add(self.one(few))

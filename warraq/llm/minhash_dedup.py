@@ -28,6 +28,8 @@ BLOCK = 512
 SHARE = 1024
 #: Triples of random variates, as a power of two.
 TABLE_BITS = 16
+#: Shingles that are drawn from at a time.
+STEP = 512
 
 
 class Sampler:
@@ -42,6 +44,9 @@ class Sampler:
         self.beta = rng.random(n)
         # ln a of a shingle of weight w lies between log_c - r - ln w and log_c - ln w.
         self.least = (self.log_c - self.r).astype(np.float32)
+        # Products of 32 bits are the faster; two shingles of a text seldom share the upper half of their hashes.
+        self.half = (self.odd >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self.place, self.at, self.bound = np.empty(samples * STEP, np.uint32), np.empty(samples * STEP, np.int64), np.empty(samples * STEP, np.float32)
 
     def draw(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit mark of the drawn (shingle, quantised weight) per sample.
@@ -50,29 +55,37 @@ class Sampler:
         """
         log_w = np.log(weights)
         low_w = log_w.astype(np.float32)
-        samples, step = len(self.odd), 1024
+        samples = len(self.odd)
+        every = np.arange(samples)
         limit = np.full(samples, np.inf)
-        who, which, values, levels = [], [], [], []
-        for lo in range(0, len(ids), step):
-            some = ids[lo : lo + step]
-            place = ((self.odd * some) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
-            bound = self.least.take(place)
-            bound -= low_w[lo : lo + step]
+        found = []
+        for lo in range(0, len(ids), STEP):
+            some = ids[lo : lo + STEP]
+            n = len(some)
+            # The same memory for each stretch, which stays in the cache.
+            place, bound = self.place[: samples * n].reshape(samples, n), self.bound[: samples * n].reshape(samples, n)
+            np.multiply(self.half, (some >> np.uint64(32)).astype(np.uint32), out=place)
+            np.right_shift(place, np.uint32(32 - TABLE_BITS), out=place)
+            at = self.at[: samples * n].reshape(samples, n)
+            np.copyto(at, place)
+            np.take(self.least, at, out=bound, mode="clip")
+            bound -= low_w[lo : lo + n]
             first = bound.argmin(axis=1)
-            value, _ = self._value(place[np.arange(samples), first], log_w[lo + first])
+            value, _ = self._value(at[every, first], log_w[lo + first])
             limit = np.minimum(limit, value)
-            s, i = np.nonzero(bound <= (limit + 1e-4)[:, None].astype(np.float32))
-            value, level = self._value(place[s, i], log_w[lo + i])
-            who.append(s)
-            which.append(lo + i)
-            values.append(value)
-            levels.append(level)
-        s, i, value, level = map(np.concatenate, (who, which, values, levels))
+            hit = np.flatnonzero(bound <= (limit + 1e-4).astype(np.float32)[:, None])
+            s, i = hit // n, hit % n
+            value, level = self._value(at.ravel()[hit], log_w[lo + i])
+            low = value <= limit[s]
+            found.append((s[low], lo + i[low], value[low], level[low]))
+        s, i, value, level = map(np.concatenate, zip(*found, strict=True))
+        least = np.full(samples, np.inf)
+        np.minimum.at(least, s, value)
+        keep = np.flatnonzero(value == least[s])
         # Shingles that share an entry of the table and a weight tie; a hash of each and the sample decides.
-        tie = mixed(ids[i] ^ self.odd[s, 0])
-        order = np.lexsort((tie, value, s))
-        s, i, level = s[order], i[order], level[order]
-        first = np.searchsorted(s, np.arange(samples))
+        tie = mixed(ids[i[keep]] ^ self.odd[s[keep], 0])
+        order = keep[np.lexsort((tie, s[keep]))]
+        first = order[np.searchsorted(s[order], every)]
         return mixed(ids[i[first]] + level[first].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _value(self, place: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from warraq.llm.common import groups, ship
 
 WIDTH = 5
-CACHE = 250_000
 #: Document frequencies up to this number are kept as they are, larger ones to a fifth of a doubling, so that each is one byte.
 EXACT = 128
 STEPS = 5
 #: Scripts that are written without blanks (Thai, Lao, Myanmar, Khmer, Han and Kana), each character of which is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD, WORD_OR_SIGN, SIGN = re.compile(r"\w+"), re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]"), re.compile(f"[{UNSPACED}]")
+#: Characters of the first three planes; those beyond are signs, a word each.
+PLANES = 0x30000
+#: An odd base of words' hashes, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Odd multipliers of the five words of a shingle.
 MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xC2B2AE3D27D4EB4F << k)) % (1 << 64) | 1 for k in range(WIDTH)]
 
@@ -33,23 +37,51 @@ def words_of(text: str) -> list[str]:
 
 
 class WordHashes:
-    """64-bit hashes of a text's words, remembered in two generations of a dictionary."""
+    """64-bit hashes of a text's words, all at once: sums of characters times powers of a base, from one running sum over the text."""
 
     def __init__(self):
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        kinds = bytearray(PLANES + 1)
+        for k in range(PLANES):
+            c = chr(k)
+            kinds[k] = c.isalnum() or c == "_"
+        for m in SIGN.finditer("".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, PLANES)))):
+            kinds[ord(m[0])] = 2
+        kinds[PLANES] = 2
+        self.kinds = np.frombuffer(bytes(kinds), np.uint8)
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        def powers(base: int) -> np.ndarray:
+            out = np.full(n + 1, base, np.uint64)
+            out[0] = 1
+            return np.cumprod(out, dtype=np.uint64)
+
+        self.up, self.down = powers(BASE), powers(INVERSE)
 
     def of(self, text: str) -> np.ndarray:
-        return self.hashed(words_of(text) or text.split())
-
-    def hashed(self, words: list[str]) -> np.ndarray:
-        young = self.young
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
-            young = self.young
-        for w in set(words).difference(young):
-            young[w] = self.old.get(w) or xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
+        """Hashes of the words in lower case: runs of letters, digits and underlines, and each character of a script without blanks.
+
+        Of a text that has none, those of its parts between blanks.
+        """
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(points)
+        if n >= len(self.up):
+            self._grow(2 * n)
+        kind = self.kinds.take(points, mode="clip")
+        run, sign = kind == 1, kind == 2
+        edge = np.empty(n + 1, bool)
+        edge[:n] = run
+        edge[n] = False
+        first = run.copy()
+        first[1:] &= ~run[:-1]
+        last = run & ~edge[1:]
+        starts, ends = np.flatnonzero(first | sign), np.flatnonzero(last | sign) + 1
+        if not len(starts):
+            return np.array([xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64)
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(points * self.down[:n], out=sums[1:], dtype=np.uint64)
+        return mixed(mixed((sums[ends] - sums[starts]) * self.up[starts]))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
