@@ -6,9 +6,9 @@ import pytest
 
 from warraq.engine import Engine, own_words
 from warraq.functions.scan import tokens_of
-from warraq.operators import evaluation, privacy, rules, spans, templates, voice
+from warraq.operators import backends, evaluation, phrases, privacy, rules, spans, templates, voice
 from warraq.operators.sentences import split_sentences
-from warraq.sources import packs, sinks
+from warraq.sources import generator, packs, sinks
 
 
 def docs(spark, *texts):
@@ -210,3 +210,33 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.id, r.v) for r in sinks.put(store, changes, "id", "at").collect()) == [("a", "z"), ("c", "w")]
     out = spark.createDataFrame([(1, 50, 9), (2, 10, 9), (3, 10, 1), (4, 99, 0)], "id int, due_ms long, created_ms long")
     assert [r.id for r in sinks.due(out, 60, 2).collect()] == [3, 2]
+
+
+def test_phrases_allow_marks_blanks_and_conjunctions(spark):
+    got = phrases.matches(docs(spark, "ومِنْ  أجل هذا، من أجلك. فجدا", None), profiles=()).collect()
+    assert [(r.rule_id, r.start, r.stop, r.suggestion) for r in got] == [("WORDY_FOR", 0, 10, "ولأجل"), ("WORDY_VERY", 25, 29, None)]
+    with pytest.raises(ValueError, match="word"):
+        phrases.tolerant(" ")
+    got = phrases.in_sentences(docs(spark, "نلتقي\nهنا. نلتقي  غدا")).collect()
+    assert [(r.rule_id, r.start, r.suggestion) for r in got] == [("REDUNDANT_MEET", 12, "نجتمع غدا")]
+
+
+def test_generated_labels_point_at_their_errors(spark):
+    rows = generator.generate(spark, 300).collect()
+    assert len({r.text for r in rows}) == 300 and sum(r.category is None for r in rows) == 75
+    wrong = {(p[1], p[2], p[3]) for p in generator.PATTERNS}
+    assert all((r.text[r.start : r.stop], r.accepted[0], r.category) in wrong for r in rows if r.category)
+    hits = rules.literal_hits(spark.createDataFrame([(r.id, r.text) for r in rows], "doc_id long, text string"), rules.rule_table(spark)).where("category = 'spelling'").collect()
+    assert {(h.doc_id, h.start, h.stop) for h in hits} == {(r.id, r.start, r.stop) for r in rows if r.category == "spelling"}
+
+
+def test_backends(spark):
+    class Missing(backends.Weighted):
+        def available(self):
+            return False
+
+    with pytest.raises(ValueError, match="available"):
+        backends.first_available([Missing({}, name="x")])
+    rows = spark.createDataFrame([(1, "a", {"f": 9.0}), (1, "b", {"f": 0.0}), (2, "c", {"f": 1.0}), (2, "d", {"f": 1.0}), (3, "e", None)], "k int, c string, features map<string,double>")
+    got = {r.k: (r.c, r.accepted) for r in backends.decided(backends.scored(rows, backends.first_available([Missing({}), backends.Weighted({"f": 1.0})])), "k", "c").collect()}
+    assert got == {1: ("a", True), 2: ("c", False), 3: ("e", True)}

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warraq.engine import Engine
-from warraq.operators import evaluation, privacy, rules, spans, templates, voice
+from warraq.operators import backends, evaluation, phrases, privacy, rules, spans, templates, voice
 from warraq.plans import duck as D
 from warraq.plans.registry import SPAN, docs, long, query
+from warraq.sources import generator
 from warraq.sources.corpus import arabic, table
 
 #: Private spans in SQL: addresses and e-mails by cutting texts into matches and single characters, phone numbers by trying
@@ -212,3 +213,49 @@ def template_documents(spark, sf):
     meeting = c.select("c_custkey", F.create_map(F.lit("title"), "c_name", F.lit("attendees"), "c_mktsegment").alias("values"))
     made = lambda rows, name: templates.render(rows, name, templates.TEMPLATES[name][0][0]).select("c_custkey", F.lit(name).alias("template"), "letter", F.array_join("missing", ",").alias("missing"))
     return made(mail, "professional_email").unionByName(made(meeting, "meeting_summary"))
+
+
+_PHRASES = (("WORDY_FOR", "من", "أجل", "", "لأجل"), ("WORDY_MAY", "من", "الممكن", "أن", "قد"), ("REDUNDANT_EFFORT", "بجد", "واجتهاد", "", "بجد"), ("WORDY_VERY", "جدا", "", "", ""))
+
+
+@query(D.sql(
+    D.arabic(), D.pieces(D.RUN, "ar", "u"), D.lexicon("pl", "rule_id, p1, p2, p3, suggestion", _PHRASES),
+    f"pw AS (SELECT doc_id, start, stop, regexp_replace(piece, '[{D.MARKS}]', '', 'g') AS w1, " + ", ".join(f"lead(piece, {2 * k - 1}) OVER x AS g{k}, regexp_replace(lead(piece, {2 * k}) OVER x, '[{D.MARKS}]', '', 'g') AS w{k + 1}, lead(stop, {2 * k}) OVER x AS s{k + 1}" for k in (1, 2)) + " FROM u WINDOW x AS (PARTITION BY doc_id ORDER BY idx))",
+    f"SELECT doc_id, rule_id, start, CASE WHEN p2 = '' THEN stop WHEN p3 = '' THEN s2 ELSE s3 END::BIGINT AS stop, CASE WHEN suggestion <> '' THEN CASE WHEN w1 = p1 THEN '' ELSE left(w1, 1) END || suggestion END AS suggestion FROM pw JOIN pl ON (w1 = p1 OR w1 = 'و' || p1 OR w1 = 'ف' || p1) WHERE (p2 = '' OR (w2 = p2 AND regexp_matches(g1, '\\A[{D.BLANK}]+\\z'))) AND (p3 = '' OR (w3 = p3 AND regexp_matches(g2, '\\A[{D.BLANK}]+\\z')))",
+))
+def style_phrases(spark, sf):
+    """Phrases for formal writers."""
+    return phrases.matches(arabic(spark, sf), profiles=("formal",)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+@query(D.sql(
+    D.arabic(), D.sentences("ar"),
+    *(f"rs{k} AS (SELECT doc_id, sent, start AS base, regexp_extract_all(body, '{p}|(?s:.)') AS ps FROM sp WHERE regexp_matches(body, '{p}'))" for k, p in enumerate(("ارتفع\\s+إلى\\s+\\S+\\s+خلال", "نلتقي\\s+(?:هنا|غدا)", "نهائي\\s+ولا\\s+رجعة"))),
+    "se AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, doc_id, sent, base, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM rs{k}" for k, n in enumerate(("REDUNDANT_RISE", "REDUNDANT_MEET", "CONTRADICTION_FINAL"))) + ")",
+    "sf AS (SELECT *, (base + sum(length(p)) OVER (PARTITION BY rule_id, doc_id, sent ORDER BY i) - length(p))::BIGINT AS start FROM se)",
+    "SELECT doc_id, rule_id, start, (start + length(p))::BIGINT AS stop, CASE rule_id WHEN 'REDUNDANT_RISE' THEN regexp_replace(p, 'ارتفع\\s+إلى\\s+(\\S+)\\s+خلال', 'بلغ \\1 خلال') WHEN 'REDUNDANT_MEET' THEN regexp_replace(p, 'نلتقي\\s+', 'نجتمع ') END AS suggestion FROM sf WHERE length(p) > 1",
+))
+def redundant_phrases(spark, sf):
+    return phrases.in_sentences(arabic(spark, sf)).select("doc_id", "rule_id", *long(*SPAN), "suggestion")
+
+
+_ROWS = ", ".join("(" + ", ".join(map(D.quoted, (k, *p))) + ")" for k, p in enumerate(generator.PATTERNS))
+_at = lambda values, e: "[" + ", ".join(map(D.quoted, values)) + f"][{e} % {len(values)} + 1]"
+
+
+@query(D.sql(
+    f"gp(k, frame, bad, good, category) AS (VALUES {_ROWS})", f"g0 AS (SELECT range AS id, {_at(generator.DOMAINS, 'range')} AS domain, {_at(generator.DIALECTS, '(range // 7)')} AS dialect, {_at(generator.OPENINGS, '(range // 3)')} AS opening, range % 4 = 3 AS clean, (range // 5) % 7 AS k FROM range(5000))",
+    "g1 AS (SELECT *, opening || replace(frame, '%', CASE WHEN clean THEN good ELSE bad END) || ' [' || id::VARCHAR || ']' AS text, (length(opening) + strpos(frame, '%') - 1)::BIGINT AS place FROM g0 JOIN gp USING (k))",
+    "SELECT id::BIGINT AS id, text, domain, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split, dialect, CASE WHEN NOT clean THEN category END AS category, CASE WHEN NOT clean THEN place END AS start, CASE WHEN NOT clean THEN place + length(bad) END::BIGINT AS stop, CASE WHEN NOT clean THEN good END AS accepted FROM (SELECT *, CAST('0x' || left(sha256(text), 8) AS BIGINT) % 100 AS b FROM g1)",
+))
+def generated_corpus(spark, sf):
+    """Five thousand labelled cases, as many as the corpus of that kind has."""
+    return generator.generate(spark, 5000).withColumn("accepted", F.element_at("accepted", 1))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n, max(value) AS top FROM events GROUP BY ALL), s AS (SELECT *, 0.5::DOUBLE + n * 0.9::DOUBLE + coalesce(top, 0) * 0.01::DOUBLE AS score FROM c), e AS (SELECT *, exp((score - max(score) OVER w) / 0.82) AS e FROM s WINDOW w AS (PARTITION BY user_id)), p AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS prob FROM e), r AS (SELECT *, row_number() OVER x AS nth, prob - coalesce(lead(prob) OVER x, 0) AS gap FROM p WINDOW x AS (PARTITION BY user_id ORDER BY score DESC, event_type)) SELECT user_id, event_type, round(prob, 6)::DOUBLE AS prob, round(gap, 6)::DOUBLE AS margin, prob >= 0.985 AND gap >= 0.7 AS accepted FROM r WHERE nth = 1")
+def backend_decisions(spark, sf):
+    """Kinds of events of a user stand for candidates of a word; a backend of weights ranks them."""
+    rows = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.max("value"), F.lit(0.0)).alias("top"))
+    rows = rows.select("user_id", "event_type", F.create_map(F.lit("n"), "n", F.lit("top"), "top", F.lit("unknown"), F.lit(3.0)).alias("features"))
+    return backends.decided(backends.scored(rows, backends.first_available([backends.Weighted({"n": 0.9, "top": 0.01}, 0.5)])), "user_id", "event_type")
