@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from warraq.functions.resources import DIALECT_FORMS, TONE_WORDS, VARIANTS
 from warraq.functions.scan import bare, rows_of, tokens_of, words_of
 from warraq.functions.text import normalize, tokens
+from warraq.operators.sentences import measured as sentence_measures
 from warraq.operators.sentences import split_sentences
 
 ENDS, PARAGRAPH = re.compile(r"[.!?؟؛…]"), re.compile(r"[^\n]+")
@@ -228,3 +229,20 @@ def tone_balance(scores: DataFrame) -> DataFrame:
     p = F.col("score") / F.sum("score").over(total)
     rows = scores.where("score > 0").withColumn("p", p).groupBy("doc_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count(F.lit(1)).alias("n"), F.max_by("tone", F.struct("score", "tone")).alias("dominant"))
     return rows.select("doc_id", "dominant", F.round(F.when(F.col("n") > 1, clamp(F.col("h") / F.log2("n") * 100)).otherwise(0.0), 4).alias("balance"))
+
+
+def vocabulary_report(docs: DataFrame) -> DataFrame:
+    """Words, types, type-token and hapax shares, mean length, longest sentence, clauses, complexity and its band, in one pass over each text.
+
+    A clause is one, and one more for each comma, semicolon or colon. Words without a sentence have no longest one.
+    """
+
+    def found(text: str) -> Iterator[tuple]:
+        yield (*measured(text), max((x[2] for x in sentence_measures(text)), default=0), 1 + sum(map(text.count, "،؛:")))
+
+    rows = readable(rows_of(docs, found, MEASURES + ", longest long, clauses long"), "types", "hapax", "longest", "clauses")
+    value = clamp((100 - F.col("clarity")) * 0.62 + F.greatest(F.lit(0.0), F.col("avg_words") - 12) * 1.25 + F.greatest(F.lit(0), F.col("clauses") - 1) * 7.0)
+    value = F.when(F.col("words") == 0, 0.0).otherwise(value)
+    band = F.when(value < 22, "simple").when(value < 45, "moderate").when(value < 68, "advanced").otherwise("complex")
+    share = lambda a, b: six(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)))
+    return rows.select("doc_id", "words", "types", share("types", "words").alias("ttr"), share("hapax", "types").alias("hapax_ratio"), "avg_chars", "longest", "clauses", F.round(value, 4).alias("complexity"), band.alias("band"))

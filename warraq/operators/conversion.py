@@ -43,3 +43,13 @@ def marked(words: DataFrame, cases: DataFrame) -> DataFrame:
     bare = F.regexp_replace("piece", f"[{MARKS}]+$", "")
     rows = words.join(cases.withColumnRenamed("dependent", "idx"), ["doc_id", "idx"]).where((F.col("number") == "singular") & F.col("case").isNotNull() & ~F.substring(bare, -1, 1).isin("ا", "ى", "ي", "و"))
     return rows.select("doc_id", "idx", "piece", "case", F.concat(bare, F.when(F.col("definite"), pick(0)).otherwise(pick(1))).alias("marked"))
+
+
+def mark_suggestions(words: DataFrame, cases: DataFrame, least: float = 0.55) -> DataFrame:
+    """Matches ``doc_id, rule_id, start, stop, suggestion, confidence`` for words whose final mark is missing or another, where the case is sure enough.
+
+    ``cases`` as syntax.cases() gives them.
+    """
+    sure = cases.select("doc_id", F.col("dependent").alias("idx"), "confidence")
+    rows = marked(words, settled(cases)).where("marked <> piece").join(sure, ["doc_id", "idx"]).where(F.col("confidence") >= least)
+    return rows.join(words.select("doc_id", "idx", "start", "stop"), ["doc_id", "idx"]).select("doc_id", F.lit("DIACRITICS_CASE").alias("rule_id"), "start", "stop", F.col("marked").alias("suggestion"), "confidence")

@@ -78,3 +78,16 @@ def best(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The first analysis of each word that is sure enough; its token confidence also weighs the margin."""
     sure = F.round(F.least(F.lit(0.999), F.col("confidence") * 0.82 + F.least(F.lit(0.18), F.col("margin") * 0.6)), 6)
     return analyses(words, lexicon).where((F.col("rank") == 1) & (F.col("confidence") >= LEAST)).withColumn("sure", sure)
+
+
+def by_root(lexicon: DataFrame, root: str) -> DataFrame:
+    """Lexemes of a root, the most frequent first."""
+    return lexicon.where(F.col("root") == root).orderBy(F.desc("frequency"), "lemma")
+
+
+def forms_of(lexicon: DataFrame, lemma: str, pos: str | None = None, **features) -> DataFrame:
+    """Forms of a lemma that have the features asked for, as ``number="plural"``, the surest first."""
+    rows = forms(lexicon).where(F.col("lemma") == lemma)
+    for name, value in {"pos": pos, **features}.items():
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows.orderBy(F.desc("confidence"), "form")

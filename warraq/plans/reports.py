@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warraq.engine import Engine
-from warraq.operators import backends, evaluation, phrases, privacy, rules, spans, templates, voice
+from warraq.operators import analytics, backends, conversion, evaluation, morphology, phrases, privacy, rules, spans, syntax, templates, voice
 from warraq.plans import duck as D
+from warraq.plans import grammar_sql as G
 from warraq.plans.registry import SPAN, docs, long, query
 from warraq.sources import generator
-from warraq.sources.corpus import arabic, table
+from warraq.sources.corpus import arabic, grammar, table
+from warraq.streaming import stateful
 
 #: Private spans in SQL: addresses and e-mails by cutting texts into matches and single characters, phone numbers by trying
 #: each digit that may begin one with each number of digits, the longest first.
@@ -259,3 +261,37 @@ def backend_decisions(spark, sf):
     rows = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.max("value"), F.lit(0.0)).alias("top"))
     rows = rows.select("user_id", "event_type", F.create_map(F.lit("n"), "n", F.lit("top"), "top", F.lit("unknown"), F.lit(3.0)).alias("features"))
     return backends.decided(backends.scored(rows, backends.first_available([backends.Weighted({"n": 0.9, "top": 0.01}, 0.5)])), "user_id", "event_type")
+
+
+@query(D.sql(G.corpus(), G.relations(), G.endings()[0], f"es AS ({G.endings()[1]})", "kd AS (SELECT doc_id, dependent, max(conf) AS conf FROM rel GROUP BY ALL)", "SELECT es.doc_id, 'DIACRITICS_CASE' AS rule_id, w2.start, w2.stop, marked AS suggestion, conf AS confidence FROM es JOIN w2 ON w2.doc_id = es.doc_id AND w2.idx = es.idx JOIN kd ON kd.doc_id = es.doc_id AND kd.dependent = es.idx WHERE conf >= 0.55 AND marked <> es.piece"))
+def diacritic_suggestions(spark, sf):
+    words = syntax.parsed(grammar(spark, sf), morphology.lexemes(spark))
+    return conversion.mark_suggestions(words, syntax.cases(syntax.relations(syntax.pairs(words)))).select("doc_id", "rule_id", *long(*SPAN), "suggestion", "confidence")
+
+
+@query(D.sql(G.forms(), "SELECT form, lemma, gender, preposition, confidence FROM fm WHERE lemma = 'طالب' AND pos = 'noun' AND number = 'plural' UNION ALL SELECT lemma, lemma, NULL, root, NULL FROM (VALUES " + ", ".join(f"({D.quoted(r[0])}, {D.quoted(r[1])})" for r in D.R.LEXEMES) + ") x(lemma, root) WHERE root = 'كتب'"))
+def lemma_forms(spark, sf):
+    """Plural forms of a noun, and the lexemes of a root."""
+    lex = morphology.lexemes(spark)
+    none = lambda kind: F.lit(None).cast(kind)
+    root = morphology.by_root(lex, "كتب").select(F.col("lemma").alias("form"), "lemma", none("string").alias("gender"), F.col("root").alias("preposition"), none("double").alias("confidence"))
+    return morphology.forms_of(lex, "طالب", "noun", number="plural").select("form", "lemma", "gender", "preposition", "confidence").unionByName(root)
+
+
+@query(D.readability("f2 AS (SELECT 1)").removesuffix("f2 AS (SELECT 1)").rstrip() + ", " + D.sql(
+    D.heat(), "lg AS (SELECT doc_id, max(words) AS longest FROM ht GROUP BY doc_id)", "vo AS (SELECT doc_id, count(*) AS types, count(*) FILTER (n = 1) AS hapax FROM (SELECT doc_id, form, count(*) AS n FROM w GROUP BY ALL) GROUP BY doc_id)",
+    "vc AS (SELECT documents.doc_id, f.words, coalesce(types, 0)::BIGINT AS types, coalesce(hapax, 0)::BIGINT AS hapax, avg_chars, avg_words, clarity, coalesce(longest, 0)::BIGINT AS longest, (1 + len(regexp_extract_all(coalesce(text, ''), '[،؛:]')))::BIGINT AS clauses FROM documents JOIN f USING (doc_id) LEFT JOIN lg USING (doc_id) LEFT JOIN vo USING (doc_id))",
+    "vq AS (SELECT *, CASE WHEN words = 0 THEN 0 ELSE least(100.0::DOUBLE, greatest(0.0::DOUBLE, (100 - clarity) * 0.62::DOUBLE + greatest(0.0::DOUBLE, avg_words - 12) * 1.25::DOUBLE + greatest(0, clauses - 1) * 7.0::DOUBLE)) END::DOUBLE AS cx FROM vc)",
+    "SELECT doc_id, words, types, round(coalesce(types / nullif(words, 0), 0), 6)::DOUBLE AS ttr, round(coalesce(hapax / nullif(types, 0), 0), 6)::DOUBLE AS hapax_ratio, avg_chars, longest, clauses, round(cx, 4)::DOUBLE AS complexity, CASE WHEN cx < 22 THEN 'simple' WHEN cx < 45 THEN 'moderate' WHEN cx < 68 THEN 'advanced' ELSE 'complex' END AS band FROM vq",
+).removeprefix("WITH "))
+def vocabulary_report(spark, sf):
+    return analytics.vocabulary_report(docs(spark, sf))
+
+
+@query("WITH e AS (SELECT user_id AS doc, (epoch_us(ts) // 1000)::BIGINT AS ms, event_id AS seq FROM events), a AS (SELECT doc, quantile_disc(ms, 0.5) AS ms FROM e WHERE doc % 3 > 0 GROUP BY doc) SELECT e.doc, e.ms, e.seq FROM e LEFT JOIN a USING (doc) WHERE a.ms IS NULL OR (e.ms, e.seq) > (a.ms, 500)")
+def journal_source(spark, sf):
+    """Events as a stream of journal records, for two users of three from a cursor on."""
+    e = table(spark, sf, "events")
+    of = lambda x: x.select(F.col("user_id").alias("doc"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("seq"))
+    after = of(e).where("doc % 3 > 0").groupBy("doc").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").cast("long").alias("ms")).withColumn("seq", F.lit(500).cast("long"))
+    return stateful.played(stateful.journal(of(stateful.stream_of(e, f"{sf}/event[s].parquet")), after))

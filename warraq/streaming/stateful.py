@@ -134,3 +134,12 @@ def learn_voices(samples: DataFrame, to: str, key: str) -> DataFrame:
     samples.writeStream.foreachBatch(batch).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
     kind = f"`{key}` string, feature string, n bigint, s decimal(38,0), q decimal(38,0)"
     return analytics.profile(analytics.merged(samples.sparkSession.read.schema(kind).parquet(f"{to}/sums/*"), key))
+
+
+def journal(records: DataFrame, after: DataFrame) -> DataFrame:
+    """A stream of journal records ``doc, ms, seq, ..`` from each document's cursor in ``after(doc, ms, seq)`` on; without one, from the beginning.
+
+    Cursors compare as pairs of numbers. Progress is kept in the stream's checkpoint, so a reader that is started again goes on where it was.
+    """
+    seen = after.select("doc", F.struct("ms", "seq").alias("seen"))
+    return records.join(seen, "doc", "left").where(F.col("seen").isNull() | (F.struct("ms", "seq") > F.col("seen"))).drop("seen")
