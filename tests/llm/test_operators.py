@@ -197,6 +197,16 @@ def test_secrets_are_decoded_whatever_they_begin_with():
         assert secrets.confirmed_spans(clean) == []
 
 
+def test_secrets_of_odd_rows(spark):
+    key = base64.b64encode(der_key()).decode()
+    rows = [(None, f"k {key}"), (3, f"k {key}"), (3, f"k {key}"), (3, "password=abcdefghijkl"), (4, None), (5, ""), (6, "x " * 400_000 + key)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, spans string, n_hex int")
+    got = sorted(((r.doc_id, r.spans, r.n_assign, r.n_confirmed) for r in secrets.scan(frame).collect()), key=str)
+    span = f"der:2:{2 + len(key)}"
+    assert got == sorted([(None, span, 0, 1), (3, span, 0, 1), (3, span, 0, 1), (3, "assign:0:21", 1, 0), (4, "", 0, 0), (5, "", 0, 0), (6, f"der:800000:{800000 + len(key)}", 0, 1)], key=str)
+    assert secrets.scan(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text", ["eyJ" * 300_000, "A" * 1_000_000, "A" * 64 + ("\n" + "A" * 64) * 15_000, "aaaaaaaa." * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "MII" * 300_000, "30" * 400_000])
 def test_secrets_take_linear_time(text):
     start = time.process_time()
