@@ -218,7 +218,7 @@ def test_phrases_allow_marks_blanks_and_conjunctions(spark):
     with pytest.raises(ValueError, match="word"):
         phrases.tolerant(" ")
     got = phrases.in_sentences(docs(spark, "نلتقي\nهنا. نلتقي  غدا")).collect()
-    assert [(r.rule_id, r.start, r.suggestion) for r in got] == [("REDUNDANT_MEET", 12, "نجتمع غدا")]
+    assert [(r.rule_id, r.start, r.suggestion) for r in got] == [("REDUNDANT_MEET", 11, "نجتمع غدا")]
 
 
 def test_generated_labels_point_at_their_errors(spark):
