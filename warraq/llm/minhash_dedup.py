@@ -152,9 +152,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
     return both.repartition(n, "lead", "share").sortWithinPartitions("lead", "share", "member").mapInArrow(run, "a long, b long")
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of groups that are in several parts: ``key, pid, part, outside`` the group's largest part, ``n`` in the group."""
-    parts = components(links)
     part = members.join(parts, F.col("pid") == F.col("node"), "left").select("key", "n", "pid", F.coalesce("component", "pid").alias("part"))
     sizes = part.groupBy("key", "part").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main")).where("parts > 1")
     return part.join(sizes, "key").select("key", "n", "pid", "part", (F.col("part") != F.col("main")).alias("outside"))
@@ -246,7 +245,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     candidates = stored(texts.select("pid", "text").join(used, "pid").join(sketches.select("pid", "codes"), "pid"), "candidates")
     pairs = stored(members.where("pid <> lead").select(F.col("pid").alias("a"), "lead").distinct(), "pairs")
     near = stored(_verified(pairs, candidates, idf, threshold), "near")
-    apart = stored(_apart(members, near), "apart")
+    first_parts = components(near)
+    apart = stored(_apart(members, first_parts), "apart")
     more = stored(_rest(apart, sketches, candidates, idf, threshold), "near")
 
     ids = named.select("doc_id", "same").join(texts.select("same", "pid"), "same").select("doc_id", "pid")
@@ -260,5 +260,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     out = ids.join(classes, "pid", "left").select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
     out = stored(out, "classes")
-    discard(texts, sketches, members, candidates, pairs, near, apart, more, ids, parts)
+    discard(texts, sketches, members, candidates, pairs, near, first_parts, apart, more, ids, parts)
     return out
