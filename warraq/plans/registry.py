@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.sources.corpus import table
+from warraq.sources.corpus import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return documents(spark, sf)
 
 
 long = lambda *names: [F.col(n).cast("long").alias(n) for n in names]

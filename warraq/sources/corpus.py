@@ -17,8 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where the table has fewer splits than there are; a large table is read as it lies."""
+    rows, n = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return rows if rows._jdf.rdd().getNumPartitions() >= n else rows.repartition(n)
+
+
 def arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arabic_of(table(spark, sf_dir, "documents"))
+    return arabic_of(documents(spark, sf_dir))
 
 
 def arabic_of(docs: DataFrame) -> DataFrame:
@@ -53,4 +59,4 @@ def grammar_of(docs: DataFrame) -> DataFrame:
 
 
 def grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grammar_of(table(spark, sf_dir, "documents"))
+    return grammar_of(documents(spark, sf_dir))
