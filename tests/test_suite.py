@@ -1,6 +1,7 @@
 import pytest
 
 from warraq.operators import analytics, rules, seed_suite, spelling, wordpiece
+from warraq.plans import catalogue
 
 
 def test_kth_target_is_kth_occurrence(spark):
@@ -64,3 +65,14 @@ def test_decisions(spark):
 def test_tone_balance(spark):
     s = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (2, "a", 3.0)], "doc_id long, tone string, score double")
     assert {r.doc_id: r.balance for r in analytics.tone_balance(s).collect()} == {1: 100.0, 2: 0.0}
+
+
+def test_sums_of_squares_beyond_64_bits(spark, tmp_path):
+    texts = ["a" * 4000, "ab cd", "a" * 5000, None, "", "1"]
+    spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.feature: (r.n, r.s, r.q) for r in catalogue.profile_merge(spark, str(tmp_path)).collect()}
+    sizes = [4000 * 10**6, 2 * 10**6, 5000 * 10**6]
+    assert got == {"word_length": (3, sum(sizes), sum(x * x for x in sizes))} | dict.fromkeys(("number_share", "mark_share", "comma_share"), (3, 0, 0))
+    assert sum(x * x for x in sizes) >= 1 << 63
+    small = analytics.fitted(spark.createDataFrame([("a", 1, 2, 3)], "feature string, n long, s long, q long").selectExpr("feature", "n", "cast(s as decimal(38,0)) as s", "cast(q as decimal(38,0)) as q"))
+    assert [t for _, t in small.dtypes] == ["string", "bigint", "bigint", "bigint"] and small.collect() == [("a", 1, 2, 3)]

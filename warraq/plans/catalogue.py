@@ -129,7 +129,7 @@ def author_profile(spark, sf):
 @query(D.fingerprint(D.PROFILE, "SELECT feature, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s, sum(q)::BIGINT AS q FROM pr GROUP BY feature"))
 def profile_merge(spark, sf):
     rows = A.features(A.fingerprint(docs(spark, sf), "source"), "source")
-    return A.merged(A.moments(rows, "source")).select("feature", *long("n", "s", "q"))
+    return A.fitted(A.merged(A.moments(rows, "source")))
 
 
 @query(D.fingerprint(D.PROFILE, "SELECT doc_id, round(avg(z / (z + 2)), 4) AS drift, count(*)::BIGINT AS features FROM (SELECT doc_id, abs(value / 1e6 - mean) / greatest(std, abs(mean) * 0.1, 0.02) AS z FROM v JOIN pr USING (source, feature)) GROUP BY doc_id"))
