@@ -530,6 +530,37 @@ def test_minhash_weighs_shingles_by_their_document_frequency(spark):
     assert {r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts), threshold=brute_jaccard(*pair) * 0.8, bands=60, rows=1).collect()} == {0}
 
 
+def test_minhash_of_large_groups_of_near_copies(spark):
+    rng = random.Random(6)
+    base = prose(rng, 200).split()
+    texts = [" ".join(base), *(prose(rng, 60) for _ in range(150))]
+    for k in range(120):
+        w = list(base)
+        for i in rng.sample(range(200), 3):
+            w[i] = f"new{k}x{i}"
+        texts.append(" ".join(w))
+    v = brute_weights(texts)
+    plain = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    links = lambda each: [(a, b) for b in range(len(texts)) for a in range(b + 1, len(texts)) if brute_jaccard(each[a], each[b]) >= 0.8]
+    weighted, want = links(v), brute_components(len(v), links(v) + links(plain))
+    # Half of the table is one group, so that what its members share weighs little: by these weights most are alone.
+    assert brute_components(len(v), weighted).count(0) < 20 and want.count(0) == 121
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(v))] == want
+
+
+def test_least_hashes_agree_with_jaccard_by_counts():
+    rng = np.random.default_rng(5)
+    minima = minhash_dedup.Minima(4000)
+    for n in (20, 600, 3000):
+        ids = np.sort(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1))
+        times = rng.integers(1, 6, n)
+        for share in (0.5, 0.9):
+            a, b = (ids[: int(n * share)], times[: int(n * share)]), (ids[n - int(n * share) :], np.maximum(times[n - int(n * share) :] - n % 2, 1))
+            equal = minima.draw(*a) == minima.draw(*b)
+            assert abs(equal.mean() - shingles.jaccard(a, b)) < 0.04
+
+
 def test_minhash_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SHARE", 2)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 2)

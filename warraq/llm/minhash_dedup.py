@@ -3,8 +3,10 @@
 Each shingle of five words weighs its number of times in the text by its inverse document frequency.
 Improved consistent weighted sampling draws, for each of several samples, one shingle of a text
 such that two texts draw the same with the probability of their weighted Jaccard similarity.
-Samples are cut into bands; texts that share a band are candidates, and weighted Jaccard over
-whole texts decides. Within a band's group every member is compared with the least member; while the group is in several parts, every candidate pair outside the largest is
+A large group of copies makes its own shingles frequent, and every edit in it rare: the more
+documents there are, the less alike its members seem by such weights. So as many samples are drawn
+by counts alone. Samples are cut into bands; texts that share a band of either kind are candidates, and
+weighted Jaccard over whole texts decides, by either weights. Within a band's group every member is compared with the least member; while the group is in several parts, every candidate pair outside the largest is
 compared too, one member against a block of others at a time. Equal texts are one throughout.
 """
 
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.common import components, discard, ship, stored, whole
-from warraq.llm.shingles import Block, WordHashes, coded, document_frequencies, inverse_frequencies, jaccard, mixed, shingled, with_frequencies
+from warraq.llm.shingles import Block, WordHashes, coded, document_frequencies, inverse_frequencies, jaccards, mixed, shingled, with_frequencies
 
 BANDS, ROWS = 14, 4
 THRESHOLD = 0.8
+#: Least similarity by counts alone that links: below it, texts may have in common what many documents hold.
+COPIES = 0.8
 #: Members of a group that are held against at a time.
 BLOCK = 512
 #: Members of a group that a task compares with its least member.
@@ -95,6 +99,24 @@ class Sampler:
         return self.log_c[place] - r * (t - beta + 1), t
 
 
+class Minima:
+    """Least hashes of a text's shingles, the k-th time of each being an element of its own: equal with the probability of the Jaccard similarity by counts."""
+
+    def __init__(self, samples: int = BANDS * ROWS, seed: int = 11):
+        self.odd = np.random.default_rng(seed).integers(0, 1 << 32, samples, np.uint32)[:, None] | np.uint32(1)
+        self.product = np.empty(samples * STEP, np.uint32)
+
+    def draw(self, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        each = (mixed(np.repeat(ids, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.odd), (1 << 32) - 1, np.uint32)
+        for lo in range(0, len(each), STEP):
+            some = each[lo : lo + STEP]
+            product = self.product[: len(self.odd) * len(some)].reshape(len(self.odd), len(some))
+            np.minimum(least, np.multiply(self.odd, some, out=product).min(axis=1), out=least)
+        return least.astype(np.uint64)
+
+
 def band_keys(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key per band, which tells bands apart."""
     m = marks.reshape(bands, -1)
@@ -105,13 +127,17 @@ def band_keys(marks: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, documents: int, chars: int, bands: int, rows: int) -> DataFrame:
-    """``pid, keys, codes``: a text's bands, and its shingles' document frequencies in the order of their hashes."""
+    """``pid, keys, codes``: a text's bands by TF-IDF and then by counts, and its shingles' document frequencies in the order of their hashes."""
     idf = inverse_frequencies(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows)
+        sampler, minima = Sampler(bands * rows), Minima(bands * rows)
+
+        def keys(ids: np.ndarray, times: np.ndarray, code: np.ndarray) -> list[int]:
+            return band_keys(np.concatenate([sampler.draw(ids, times * idf[code]), minima.draw(ids, times)]), 2 * bands).tolist() if len(ids) else []
+
         for some in coded(batches):
-            out = [(pid, band_keys(sampler.draw(ids, times * idf[code]), bands).tolist() if len(ids) else [], code.tobytes()) for pid, ids, times, code in some]
+            out = [(pid, keys(ids, times, code), code.tobytes()) for pid, ids, times, code in some]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["pid", "keys", "codes"])
 
@@ -121,13 +147,20 @@ def _sketches(texts: DataFrame, documents: int, chars: int, bands: int, rows: in
     return out
 
 
-def _weights(words: WordHashes, text: str, codes: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(words: WordHashes, text: str, codes: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their weights and their counts."""
     ids, times = shingled(words.of(text))
-    return ids, times * idf[np.frombuffer(codes, np.uint8)]
+    return ids, times * idf[np.frombuffer(codes, np.uint8)], times.astype(float)
+
+
+def _linked(likeness: list, threshold: float):
+    """Whether similarities by TF-IDF and by counts, numbers or arrays, make a link."""
+    weighted, counted = likeness
+    return (weighted >= threshold) | (counted >= max(threshold, COPIES))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs ``(a, lead)`` whose weighted Jaccard similarity over whole texts reaches the threshold, as ``(a, b)``.
+    """The pairs ``(a, lead)`` whose similarity over whole texts makes a link, as ``(a, b)``.
 
     The members of a lead are dealt into shares; each has the lead's text once, and then theirs.
     """
@@ -140,7 +173,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
                 mine = _weights(words, text, codes, idf)
                 if not member:
                     theirs = mine
-                elif jaccard(mine, theirs) >= threshold:
+                elif _linked(jaccards(mine, theirs), threshold):
                     out.append((a, lead))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -184,7 +217,7 @@ def _rest(apart: DataFrame, sketches: DataFrame, texts: DataFrame, idf: np.ndarr
             block = Block([_weights(words, r[4], r[5], idf) for r in here])
             for _, pid, part, own, text, codes in (r for r in held if not r[0]):
                 first = (keys == np.array(own, np.int64)).argmax(axis=1) == own.index(at[0])
-                for i in np.flatnonzero(first & (block.jaccard(_weights(words, text, codes, idf)) >= threshold)).tolist():
+                for i in np.flatnonzero(first & _linked(block.jaccards(_weights(words, text, codes, idf)), threshold)).tolist():
                     x, y = root(part), root(here[i][2])
                     if x != y:
                         roots[max(x, y)] = min(x, y)
@@ -220,8 +253,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """Classes of near-duplicate documents: ``doc_id, class_id, kept`` per row of docs.
 
     Links are equal texts and pairs of weighted Jaccard similarity >= ``threshold`` over five-word
-    shingles, weighted by count and inverse document frequency, which is counted over all rows; a class is a connected component and
-    its id the least doc_id. A null text is empty; texts without words link with equal texts only, and those of
+    shingles, weighted by count and inverse document frequency, which is counted over all rows; also pairs that reach it, and 0.8, by
+    counts alone, since a large group of copies makes its own shingles frequent. A class is a connected component and its id the least doc_id. A null text is empty; texts without words link with equal texts only, and those of
     fewer than five words are one shingle. Rows that share a doc_id are one document, whose texts are linked. Rows
     with a null id count in the frequencies, link with nothing and are kept. Very long texts are read whole.
     An empty table gives no rows; other columns are not read.

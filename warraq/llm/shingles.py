@@ -118,33 +118,43 @@ def inverse_frequencies(documents: int) -> np.ndarray:
     return np.maximum(np.log((documents + 1) / (frequency + 1)), 0) + 1
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of the lesser over sum of the greater weights."""
+def jaccards(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> list[float]:
+    """Sum of the lesser over sum of the greater weights, for each kind of weights of ``(shingles, weights, ...)``."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
-    total = float(a[1].sum() + b[1].sum()) - shared
-    return shared / total if total > 0 else 0.0
+    out = []
+    for x, y in zip(a[1:], b[1:], strict=True):
+        shared = float(np.minimum(x[i], y[j]).sum())
+        total = float(x.sum() + y.sum()) - shared
+        out.append(shared / total if total > 0 else 0.0)
+    return out
+
+
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    return jaccards(a, b)[0]
 
 
 class Block:
     """Several weighted sets held for comparison with one at a time."""
 
-    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
-        ids = np.concatenate([x for x, _ in sets])
+    def __init__(self, sets: list[tuple[np.ndarray, ...]]):
+        ids = np.concatenate([x[0] for x in sets])
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        self.weights = np.concatenate([w for _, w in sets])[order]
-        self.owner = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])[order]
-        self.total = np.array([w.sum() for _, w in sets])
+        self.weights = [np.concatenate(kind)[order] for kind in zip(*(x[1:] for x in sets), strict=True)]
+        self.owner = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])[order]
+        self.totals = [np.array([w.sum() for w in kind]) for kind in zip(*(x[1:] for x in sets), strict=True)]
 
-    def jaccard(self, one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Weighted Jaccard similarity of one set to each of the block's."""
+    def jaccards(self, one: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Weighted Jaccard similarity of one set to each of the block's, for each kind of weights."""
         low, high = np.searchsorted(self.ids, one[0], "left"), np.searchsorted(self.ids, one[0], "right")
         n = high - low
         at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
-        shared = np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(one[1], n)), len(self.total))
-        both = self.total + one[1].sum() - shared
-        return np.divide(shared, both, out=np.zeros_like(both), where=both > 0)
+        owner, out = self.owner[at], []
+        for mine, weights, total in zip(one[1:], self.weights, self.totals, strict=True):
+            shared = np.bincount(owner, np.minimum(weights[at], np.repeat(mine, n)), len(total))
+            both = total + mine.sum() - shared
+            out.append(np.divide(shared, both, out=np.zeros_like(both), where=both > 0))
+        return out
 
 
 #: Bits of a shingle's hash by which document frequencies are counted, and the size of a count's part that is worked on at a time.
